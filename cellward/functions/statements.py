@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellward.functions.characters import strip, strip_right
+from cellward.functions.characters import WHITESPACE, strip, strip_right
 from cellward.policy import COUNT_ALIAS, MIN_PATIENT_COUNT, PERSON_COLUMN
 from cellward.sources.vocabulary import normal_name
 
@@ -58,7 +58,7 @@ def mask(text: Column) -> Column:
 
 def flat(text: Column) -> Column:
     """Masked text on one line: single blanks, none around the dots of qualified names."""
-    one_line = F.trim(F.regexp_replace(mask(text), r"\s+", " "))
+    one_line = collapse(mask(text))
     return F.regexp_replace(
         F.regexp_replace(one_line, r" ?\. ?", "."), _INNER_FROM, "$1 ,"
     )
@@ -281,11 +281,12 @@ def wrap(text: Column, min_patient_count: int = MIN_PATIENT_COUNT) -> Column:
 def unwrap(text: Column) -> Column:
     """Inverse of ``wrap``; text which is not wrapped comes back as it is."""
     inner = strip(F.regexp_extract(text, _UNWRAP, 1))
-    return F.coalesce(F.nullif(inner, F.lit("")), text)
+    return F.when(text.rlike(_UNWRAP), inner).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Every run of Unicode whitespace becomes one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
 
 
 def query_hash(text: Column) -> Column:

@@ -88,6 +88,61 @@ def distinct_participation(
     return facts.where(F.col(person_col).isNotNull()).select(person_col, *dims).distinct()
 
 
+def summarise_by_person(facts: DataFrame, person_col: str, column: str, dims: Sequence[str] = ()):
+    """Mergeable statistics of a fact column per person (and fact dimension).
+
+    The other aggregates need all facts, not only distinct persons. Summarised first, a person
+    with very many facts joins the person table as one row per dimension value.
+    """
+    value = F.col(column)
+    count = F.count(value)
+    return (
+        facts.where(F.col(person_col).isNotNull())
+        .groupBy(person_col, *dims)
+        .agg(
+            count.alias("_n"),
+            F.sum(value).alias("_sum"),
+            F.min(value).alias("_min"),
+            F.max(value).alias("_max"),
+            (F.var_pop(value) * count).alias("_dev"),  # squared deviations from the own mean
+        )
+    )
+
+
+def guarded_summary(
+    summaries: DataFrame,
+    dims: Sequence[str],
+    name: str,
+    *,
+    person_col: str = PERSON_COLUMN,
+    k: int = MIN_PATIENT_COUNT,
+) -> DataFrame:
+    """Guarded count, sum, avg, min, max, stddev and variance from per-person summaries.
+
+    Equal to aggregating the facts: squared deviations add up within persons, plus the
+    deviations between the persons' means.
+    """
+    _check_dimensions(summaries, dims, person_col)
+    n, total = F.sum("_n"), F.sum("_sum")
+    squares = F.sum(F.try_divide(F.col("_sum") * F.col("_sum"), F.col("_n")))
+    between = squares - F.try_divide(total * total, n)
+    variance = F.when(n > 1, F.try_divide(F.sum("_dev") + between, n - 1))
+    return (
+        summaries.groupBy(*dims)
+        .agg(
+            patient_count(person_col),
+            F.coalesce(n, F.lit(0)).alias(f"n_{name}"),
+            total.alias(f"sum_{name}"),
+            F.try_divide(total, n).alias(f"avg_{name}"),
+            F.min("_min").alias(f"min_{name}"),
+            F.max("_max").alias(f"max_{name}"),
+            F.sqrt(variance).alias(f"stddev_{name}"),
+            variance.alias(f"variance_{name}"),
+        )
+        .where(F.col(COUNT_ALIAS) >= F.lit(k))
+    )
+
+
 def suppression_report(
     df: DataFrame, dims: Sequence[str], *, person_col: str = PERSON_COLUMN, k: int
 ) -> DataFrame:

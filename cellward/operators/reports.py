@@ -41,11 +41,15 @@ def audit_records(verdicts: DataFrame, time_col: str = "ts") -> DataFrame:
     )
 
 
+def utc_text(time: Column) -> Column:
+    """ISO-8601 UTC with a trailing Z, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), TIME_FORMAT)
+
+
 def audit_json(records: DataFrame) -> Column:
     """An audit record as one JSON object: fixed key order, nulls kept, UTC time."""
     fields = [
-        F.date_format("timestamp", TIME_FORMAT).alias("timestamp") if f == "timestamp" else F.col(f)
-        for f in AUDIT_FIELDS
+        utc_text(F.col(f)).alias(f) if f == "timestamp" else F.col(f) for f in AUDIT_FIELDS
     ]
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 

@@ -129,7 +129,7 @@ def _schema_hits() -> Column:
 
 def column_names() -> Column:
     """Distinct names a statement uses as columns (no tables, functions or own aliases)."""
-    declared = st.aliases(F.col("_flat"))
+    declared = F.array_union(st.aliases(F.col("_flat")), st.tables(F.col("_parts")))
     used = F.filter(
         F.col("_ids"), lambda i: ~i["is_function"] & ~i["clause"].isin("FROM", "JOIN", "LIMIT")
     )
