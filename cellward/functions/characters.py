@@ -20,6 +20,9 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The part of it below U+0100: such a class is one bitmap test per character.
+LATIN_WHITESPACE = "".join(c for c in WHITESPACE if c < "\u0100")
+
 
 def is_blank(text: Column) -> Column:
     """Null, empty, or nothing but Unicode whitespace. Stops at the first other character."""
@@ -44,6 +47,18 @@ def is_allowed_control_char(char: Column) -> Column:
     return F.when(F.length(char) == 1, F.ascii(char).isin(0x09, 0x0A, 0x0D))
 
 
+def collapse(text: Column) -> Column:
+    """Every run of Unicode whitespace becomes one blank, none at the ends.
+
+    The full class is only used on texts that hold a character it needs.
+    """
+    return F.trim(
+        F.when(
+            text.rlike(r"[^\x00-\xFF]"), F.regexp_replace(text, f"[{WHITESPACE}]+", " ")
+        ).otherwise(F.regexp_replace(text, f"[{LATIN_WHITESPACE}]+", " "))
+    )
+
+
 def first_forbidden(text: Column) -> Column:
     """0-based position of the first forbidden character, -1 if there is none.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellward.functions.characters import WHITESPACE, strip, strip_right
+from cellward.functions.characters import collapse, strip, strip_right
 from cellward.policy import COUNT_ALIAS, MIN_PATIENT_COUNT, PERSON_COLUMN
 from cellward.sources.vocabulary import normal_name
 
@@ -78,18 +78,27 @@ def statements(code: Column) -> Column:
 
 
 def segments(code: Column) -> Column:
-    """The text cut in front of every clause keyword, in order."""
-    return F.split(code, _CLAUSE_START)
+    """The text cut in front of every clause keyword: ordered ``(clause, text)`` elements.
 
+    A leading part without a clause keyword counts as SELECT.
+    """
+
+    def label(segment):
+        word = F.upper(F.regexp_extract(segment, r"^([A-Za-z]+(?: [Bb][Yy])?)", 1))
+        return F.struct(
+            F.when(word.isin(*CLAUSES), word).otherwise("SELECT").alias("clause"),
+            segment.alias("text"),
+        )
 
-def segment_clause(segment: Column) -> Column:
-    """Clause of a segment; a leading part without a keyword counts as SELECT."""
-    word = F.upper(F.regexp_extract(segment, r"^([A-Za-z]+(?: [Bb][Yy])?)", 1))
-    return F.when(word.isin(*CLAUSES), word).otherwise("SELECT")
+    return F.transform(F.split(code, _CLAUSE_START), label)
 
 
-def _segment_body(segment: Column) -> Column:
-    return F.regexp_replace(segment, r"^(?i)(?:GROUP BY|ORDER BY|[A-Za-z]+)\b", "")
+def _body(segment: Column) -> Column:
+    return F.regexp_replace(segment["text"], r"^(?i)(?:GROUP BY|ORDER BY|[A-Za-z]+)\b", "")
+
+
+def _of(parts: Column, *clauses: str) -> Column:
+    return F.filter(parts, lambda s: s["clause"].isin(*clauses))
 
 
 def identifiers(parts: Column) -> Column:
@@ -100,24 +109,26 @@ def identifiers(parts: Column) -> Column:
     keywords are left out; an alias without AS is kept (it is checked like a column).
     """
 
-    def of_segment(segment):
-        clause = segment_clause(segment)
-        return F.transform(
-            F.filter(
-                F.regexp_extract_all(segment, F.lit(_IDENTIFIER), F.lit(1)), lambda t: t != ""
-            ),
-            lambda t: F.struct(
-                clause.alias("clause"),
-                F.rtrim(t, F.lit("( ")).alias("token"),
-                normal_name(F.substring_index(F.rtrim(t, F.lit("( ")), ".", -1)).alias("name"),
-                t.endswith("(").alias("is_function"),
-            ),
+    def of_token(segment, found):
+        token = F.rtrim(found, F.lit("( "))
+        last = F.substring_index(token, ".", -1)
+        return F.struct(
+            segment["clause"].alias("clause"),
+            token.alias("token"),
+            # unquoted names, nearly all of them, only need the cheap half of normal_name
+            F.when(last.rlike('["`]'), normal_name(last)).otherwise(F.lower(last)).alias("name"),
+            found.endswith("(").alias("is_function"),
         )
 
-    return F.filter(
-        F.flatten(F.transform(parts, of_segment)),
-        lambda i: (i["name"] != "") & ~i["name"].isin(*KEYWORDS),
+    found = F.transform(
+        parts,
+        lambda s: F.transform(
+            F.regexp_extract_all(s["text"], F.lit(_IDENTIFIER), F.lit(1)),
+            lambda t: of_token(s, t),
+        ),
     )
+    # what the alias alternative matched has no name
+    return F.filter(F.flatten(found), lambda i: ~i["name"].isin("", *KEYWORDS))
 
 
 def aliases(code: Column) -> Column:
@@ -129,24 +140,19 @@ def aliases(code: Column) -> Column:
 def tables(parts: Column) -> Column:
     """Tables named after FROM (also in a comma list) and JOIN, in normal form."""
 
-    def of_segment(segment):
-        return F.transform(
-            F.split(_segment_body(segment), ","),
-            lambda item: normal_name(
-                F.substring_index(
-                    F.regexp_extract(F.trim(item), rf"^((?:[\w.$]|{_QUOTED})++)", 1), ".", -1
-                )
-            ),
-        )
+    def name(item):
+        first = F.regexp_extract(F.trim(item), rf"^((?:[\w.$]|{_QUOTED})++)", 1)
+        return normal_name(F.substring_index(first, ".", -1))
 
-    named = F.filter(parts, lambda s: segment_clause(s).isin("FROM", "JOIN"))
-    return F.filter(F.array_distinct(F.flatten(F.transform(named, of_segment))), lambda t: t != "")
+    named = F.transform(
+        _of(parts, "FROM", "JOIN"), lambda s: F.transform(F.split(_body(s), ","), name)
+    )
+    return F.filter(F.array_distinct(F.flatten(named)), lambda t: t != "")
 
 
 def table_terms(parts: Column) -> Column:
     """What stands after FROM and JOIN, unshortened (for allow-listing)."""
-    named = F.filter(parts, lambda s: segment_clause(s).isin("FROM", "JOIN"))
-    return F.transform(named, lambda s: F.trim(_segment_body(s)))
+    return F.transform(_of(parts, "FROM", "JOIN"), lambda s: F.trim(_body(s)))
 
 
 # ---------------------------------------------------------------- single rules
@@ -165,9 +171,9 @@ def has_group_by(code: Column) -> Column:
 def group_by_columns(parts: Column) -> Column:
     """Items of the GROUP BY list as written (empty array without one)."""
     lists = F.transform(
-        F.filter(parts, lambda s: segment_clause(s) == "GROUP BY"),
+        _of(parts, "GROUP BY"),
         lambda s: F.transform(
-            F.split(F.substring_index(_segment_body(s), ";", 1), _NO_INNER_COMMA),
+            F.split(F.substring_index(_body(s), ";", 1), _NO_INNER_COMMA),
             lambda item: F.trim(item),
         ),
     )
@@ -198,13 +204,13 @@ def is_global_aggregate(code: Column, squashed: Column) -> Column:
 def misplaced_aggregate(parts: Column) -> Column:
     """First aggregate call outside SELECT as ``(clause, function)``; null if there is none."""
     call = r"(?i)\b(" + "|".join(AGGREGATES) + r")\s*\("
-    bad = F.filter(parts, lambda s: (segment_clause(s) != "SELECT") & s.rlike(call))
+    bad = F.filter(parts, lambda s: (s["clause"] != "SELECT") & s["text"].rlike(call))
     first = F.try_element_at(bad, F.lit(1))
     return F.when(
         first.isNotNull(),
         F.struct(
-            segment_clause(first).alias("clause"),
-            F.upper(F.regexp_extract(first, call, 1)).alias("function"),
+            first["clause"].alias("clause"),
+            F.upper(F.regexp_extract(first["text"], call, 1)).alias("function"),
         ),
     )
 
@@ -284,11 +290,6 @@ def unwrap(text: Column) -> Column:
     return F.when(text.rlike(_UNWRAP), inner).otherwise(text)
 
 
-def collapse(text: Column) -> Column:
-    """Every run of Unicode whitespace becomes one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "))
-
-
 def query_hash(text: Column) -> Column:
     """SHA-256 of the text with its whitespace collapsed."""
     return F.sha2(collapse(text), 256)

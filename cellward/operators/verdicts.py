@@ -25,21 +25,6 @@ HIT_DDL = (
 )
 
 
-def _hit(code, *, ordinal=0, clause=None, token=None, position=None, code_point=None, reason=None):
-    def col(value):
-        return value if isinstance(value, Column) else F.lit(value)
-
-    return F.struct(
-        col(code).alias("code"),
-        col(ordinal).alias("ordinal"),
-        col(clause).alias("clause"),
-        col(token).alias("token"),
-        col(position).alias("position"),
-        col(code_point).alias("code_point"),
-        col(reason).alias("reason"),
-    ).cast(HIT_DDL)
-
-
 def read_statements(log: DataFrame, query: str = "query") -> DataFrame:
     """Add the derived columns (``_text`` ... ``_ids``) that the rules read."""
     text = log.withColumn("_text", F.coalesce(F.col(query), F.lit("")))
@@ -52,137 +37,140 @@ def read_statements(log: DataFrame, query: str = "query") -> DataFrame:
     return parts.withColumn("_ids", st.identifiers(F.col("_parts")))
 
 
-def drop_derived(df: DataFrame) -> DataFrame:
-    return df.drop("_text", "_flat", "_blank", "_squashed", "_parts", "_ids")
+_DERIVED = ("_text", "_flat", "_blank", "_squashed", "_parts", "_ids")
 
 
-# ------------------------------------------------------------------ rules as hit lists
+def drop_derived(df: DataFrame) -> DataFrame:
+    return df.drop(*_DERIVED)
 
 
-def _ascii_hits() -> Column:
-    text = F.col("_text")
-    position = chars.first_forbidden(text)
-    char = F.substring(text, position + 1, F.lit(1))
-    bad = _hit(
-        chars.char_code(F.ascii(char)), token=char, position=position, code_point=F.ascii(char)
+def column_names() -> Column:
+    """Distinct names a statement uses as columns (no tables, functions or own aliases)."""
+    declared = F.array_union(st.aliases(F.col("_flat")), st.tables(F.col("_parts")))
+    used = F.filter(
+        F.col("_ids"), lambda i: ~i["is_function"] & ~i["clause"].isin("FROM", "JOIN", "LIMIT")
     )
-    return F.when(F.col("_blank"), F.array(_hit("E003"))).when(position >= 0, F.array(bad))
+    return F.array_except(F.transform(used, lambda i: i["name"]), declared)
 
 
-def prohibited_identifiers(vocab: Vocabulary, policy: Policy) -> Column:
-    """The names of a statement that the vocabulary prohibits, in order, with their code.
+# ------------------------------------------------------------------ rules
+#
+# A rule is a fact column plus SQL text which turns the facts into hits. The facts are a
+# projection of their own, so each is computed once however many conditions read it.
 
-    A function's name can only collide with a date part (``MONTH(x)``).
-    """
-    dates = vocab.names("date", policy.strict)
-    everything = vocab.prohibited(policy.strict)
-    found = F.filter(
-        F.col("_ids"),
-        lambda i: F.when(i["is_function"], i["name"].isin(*dates)).otherwise(
-            i["name"].isin(*everything)
-        ),
+
+def _facts(layers) -> dict[str, Column]:
+    text, code, parts = F.col("_text"), F.col("_flat"), F.col("_parts")
+    grouped_persons = F.filter(
+        st.group_by_columns(parts), lambda i: st.is_person_column(st.item_name(i))
     )
+    facts = {
+        "ascii_input": {"_position": chars.first_forbidden(text)},
+        "schema": {"_tables": st.tables(parts), "_columns": column_names()},
+        "phi": {"_star": st.has_select_star(code)},
+        "aggregation": {
+            "_count_ok": st.has_patient_count(code),
+            "_wrong": st.wrong_patient_count(code),
+            "_grouped": st.has_group_by(code),
+            "_global": st.is_global_aggregate(code, F.col("_squashed")),
+            "_misplaced": st.misplaced_aggregate(parts),
+            "_person": F.try_element_at(grouped_persons, F.lit(1)),
+        },
+        "enforcement": {"_cte": st.has_cte(code), "_nested": st.has_subquery(code)},
+        "system": {"_why": st.unreadable(text, code, F.col("_squashed"))},
+    }
+    return {name: column for layer in layers for name, column in facts[layer].items()}
 
-    def code(name):
-        return (
-            F.when(name.isin(*vocab.names("direct", policy.strict)), CODES["direct"])
-            .when(name.isin(*vocab.names("geographic", policy.strict)), CODES["geographic"])
-            .otherwise(CODES["date"])
-        )
 
-    return F.transform(
-        found,
-        lambda i, n: _hit(
-            code(i["name"]),
-            ordinal=n + 1,
-            clause=i["clause"],
-            # the name as written, without table prefix
-            token=F.substring_index(i["token"], ".", -1),
-        ),
+def _hit(code, *, ordinal="0", clause="null", token="null", position="null", code_point="null",
+         reason="null"):
+    """SQL text of one hit; the arguments are SQL texts too."""
+    return (
+        f"named_struct('code', {code}, 'ordinal', int({ordinal}), 'clause', string({clause}), "
+        f"'token', string({token}), 'position', int({position}), "
+        f"'code_point', int({code_point}), 'reason', string({reason}))"
     )
 
 
-def _phi_hits(vocab, policy) -> Column:
-    star = F.when(
-        st.has_select_star(F.col("_flat")), F.array(_hit("E204", clause="SELECT", token="*"))
-    )
-    return F.concat(_or_empty(star), prohibited_identifiers(vocab, policy))
+def _hits(*options):
+    """Array of the hits whose condition holds, in the given (fixed) order."""
+    cases = ", ".join(f"CASE WHEN {condition} THEN {hit} END" for condition, hit in options)
+    return f"array_compact(array({cases}))"
 
 
-def _schema_hits() -> Column:
-    columns = catalog_columns()
-    pairs = [f"{t}.{c}" for t, names in columns.items() for c in names]
-    tables = st.tables(F.col("_parts"))
-    unknown_tables = F.transform(
-        F.filter(tables, lambda t: ~t.isin(*columns)),
-        lambda t, n: _hit("E101", ordinal=n, token=t),
-    )
-    names = column_names()
-    unknown_columns = F.transform(
-        F.filter(
-            names, lambda c: ~F.exists(tables, lambda t: F.concat_ws(".", t, c).isin(*pairs))
-        ),
-        lambda c, n: _hit("E102", ordinal=n + 1000, token=c),
-    )
-    return F.concat(unknown_tables, unknown_columns)
+def _names(names):
+    return ", ".join(f"'{n}'" for n in sorted(names)) or "''"
 
 
-def column_names() -> Column:
-    """Distinct names a statement uses as columns (no tables, functions or own aliases)."""
-    declared = F.array_union(st.aliases(F.col("_flat")), st.tables(F.col("_parts")))
-    used = F.filter(
-        F.col("_ids"), lambda i: ~i["is_function"] & ~i["clause"].isin("FROM", "JOIN", "LIMIT")
+def _prohibited(vocab: Vocabulary, policy: Policy) -> str:
+    """The names of a statement that the vocabulary prohibits, in order, with their code.
+
+    ``IN`` over literals is a hash-set lookup. A function's name can only collide with a date
+    part (``MONTH(x)``). The reported token is the name as written, without table prefix.
+    """
+    direct, geographic, dates = (
+        _names(vocab.names(c, policy.strict)) for c in ("direct", "geographic", "date")
+    )
+    everything = _names(vocab.prohibited(policy.strict))
+    code = (
+        f"CASE WHEN i.name IN ({direct}) THEN '{CODES['direct']}' "
+        f"WHEN i.name IN ({geographic}) THEN '{CODES['geographic']}' ELSE '{CODES['date']}' END"
+    )
+    hit = _hit(code, ordinal="n + 1", clause="i.clause", token="substring_index(i.token, '.', -1)")
+    return (
+        "transform(filter(_ids, i -> CASE WHEN i.is_function "
+        f"THEN i.name IN ({dates}) ELSE i.name IN ({everything}) END), (i, n) -> {hit})"
     )
-    return F.array_except(F.transform(used, lambda i: i["name"]), declared)
 
 
-def _aggregation_hits() -> Column:
-    code, parts = F.col("_flat"), F.col("_parts")
-    wrong = st.wrong_patient_count(code)
-    misplaced = st.misplaced_aggregate(parts)
-    grouped_person = F.try_element_at(
-        F.filter(st.group_by_columns(parts), lambda i: st.is_person_column(st.item_name(i))),
-        F.lit(1),
-    )
-    # fixed order: the person count, then the grouping, then the place of aggregates
-    count = F.when(wrong.isNotNull(), F.array(_hit("E303", token=wrong))).when(
-        ~st.has_patient_count(code), F.array(_hit("E302"))
+def _rules(vocab: Vocabulary, policy: Policy) -> dict[str, str]:
+    char = "substring(_text, _position + 1, 1)"
+    columns = catalog_columns()
+    pairs = _names(f"{t}.{c}" for t, names in columns.items() for c in names)
+    unknown_tables = (
+        f"transform(filter(_tables, t -> t NOT IN ({_names(columns)})), "
+        f"(t, n) -> {_hit(repr('E101'), ordinal='n', token='t')})"
     )
-    grouping = F.when(
-        ~st.has_group_by(code) & ~st.is_global_aggregate(code, F.col("_squashed")),
-        F.array(_hit("E301", ordinal=1)),
+    unknown_columns = (
+        "transform(filter(_columns, c -> "
+        f"NOT exists(_tables, t -> concat(t, '.', c) IN ({pairs}))), "
+        f"(c, n) -> {_hit(repr('E102'), ordinal='n + size(_tables)', token='c')})"
     )
-    place = F.when(
-        misplaced.isNotNull(),
-        F.array(
-            _hit("E304", ordinal=2, clause=misplaced["clause"], token=misplaced["function"])
+    star = _hits(("_star", _hit("'E204'", clause="'SELECT'", token="'*'")))
+    return {
+        "ascii_input": _hits(
+            ("_blank", _hit("'E003'")),
+            (
+                "NOT _blank AND _position >= 0",
+                _hit(
+                    f"CASE WHEN ascii({char}) > {chars.LAST_PRINTABLE} THEN 'E001' ELSE 'E002' END",
+                    token=char, position="_position", code_point=f"ascii({char})",
+                ),
+            ),
         ),
-    )
-    person = F.when(
-        grouped_person.isNotNull(),
-        F.array(
-            _hit(
-                "E305", ordinal=3, clause="GROUP BY", token=grouped_person,
-                reason="the person key is only for the distinct count",
-            )
+        "schema": f"concat({unknown_tables}, {unknown_columns})",
+        "phi": f"concat({star}, {_prohibited(vocab, policy)})",
+        # fixed order: the person count, then the grouping, then the place of aggregates
+        "aggregation": _hits(
+            ("_wrong IS NOT NULL", _hit("'E303'", token="_wrong")),
+            ("_wrong IS NULL AND NOT _count_ok", _hit("'E302'")),
+            ("NOT _grouped AND NOT _global", _hit("'E301'", ordinal="1")),
+            (
+                "_misplaced IS NOT NULL",
+                _hit("'E304'", ordinal="2", clause="_misplaced.clause",
+                     token="_misplaced.function"),
+            ),
+            (
+                "_person IS NOT NULL",
+                _hit("'E305'", ordinal="3", clause="'GROUP BY'", token="_person",
+                     reason="'the person key is only for the distinct count'"),
+            ),
         ),
-    )
-    return F.concat(*[_or_empty(h) for h in (count, grouping, place, person)])
-
-
-def _enforcement_hits() -> Column:
-    cte = F.when(st.has_cte(F.col("_flat")), F.array(_hit("E402", clause="WITH")))
-    nested = F.when(st.has_subquery(F.col("_flat")), F.array(_hit("E401", ordinal=1)))
-    return F.concat(_or_empty(cte), _or_empty(nested))
-
-
-def _system_hits() -> Column:
-    why = st.unreadable(F.col("_text"), F.col("_flat"), F.col("_squashed"))
-    return F.when(why.isNotNull(), F.array(_hit("E802", reason=why)))
-
-
-def _or_empty(hits: Column) -> Column:
-    return F.coalesce(hits, F.array().cast(f"array<{HIT_DDL}>"))
+        "enforcement": _hits(
+            ("_cte", _hit("'E402'", clause="'WITH'")), ("_nested", _hit("'E401'", ordinal="1"))
+        ),
+        "system": _hits(("_why IS NOT NULL", _hit("'E802'", reason="_why"))),
+    }
 
 
 def layer_hits(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Policy()):
@@ -190,21 +178,19 @@ def layer_hits(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy =
 
     Only the character layer rejects a blank text; the others let it pass.
     """
-    rules = {
-        "ascii_input": lambda: _or_empty(_ascii_hits()),
-        "schema": lambda: _unless_blank(_schema_hits()),
-        "phi": lambda: _unless_blank(_phi_hits(vocab, policy)),
-        "aggregation": lambda: _unless_blank(_aggregation_hits()),
-        "enforcement": lambda: _unless_blank(_enforcement_hits()),
-        "system": lambda: _unless_blank(_or_empty(_system_hits())),
-    }
-    read = read_statements(log)
-    hits = read.withColumns({f"_hits_{name}": rules[name]() for name in policy.layers})
-    return drop_derived(hits)
-
-
-def _unless_blank(hits: Column) -> Column:
-    return F.when(~F.col("_blank"), hits).otherwise(F.array().cast(f"array<{HIT_DDL}>"))
+    facts = read_statements(log).withColumns(_facts(policy.layers))
+    rules = _rules(vocab, policy)
+    none = f"cast(array() as array<{HIT_DDL}>)"
+    fields = []
+    for name in policy.layers:
+        rule = rules[name]
+        if name != "ascii_input":
+            rule = f"CASE WHEN _blank THEN {none} ELSE {rule} END"
+        fields.append(f"'_hits_{name}', {rule}")
+    # A one-element generator: a filter on the outcome (say, only failures) then reads the
+    # hits instead of being pushed below them with a second copy of all rules.
+    hits = f"inline(array(named_struct({', '.join(fields)})))"
+    return facts.select(*log.columns, F.expr(hits))
 
 
 # ------------------------------------------------------------------ outcomes

@@ -77,11 +77,9 @@ def check_sql(
                 "terms": st.table_terms(F.col("_parts")),
                 "forbidden": F.col("_flat").rlike(_FORBIDDEN),
                 "person_elsewhere": F.exists(
-                    F.filter(
-                        F.col("_parts"),
-                        lambda s: st.segment_clause(s).isin("SELECT", "ORDER BY"),
-                    ),
-                    lambda s: F.regexp_replace(s, st.COUNT_WITHOUT_ALIAS, "").rlike(
+                    F.col("_parts"),
+                    lambda s: s["clause"].isin("SELECT", "ORDER BY")
+                    & F.regexp_replace(s["text"], st.COUNT_WITHOUT_ALIAS, "").rlike(
                         rf"(?i)\b{PERSON_COLUMN}\b"
                     ),
                 ),

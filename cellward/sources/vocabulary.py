@@ -7,6 +7,7 @@ other (``phi_dictionary``), which is the way for organisation lists too long for
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,7 +124,11 @@ def normal_name(name: Column) -> Column:
 
 
 def _clean(names):
-    return frozenset(str(n).lower().replace("-", "_") for n in names or ())
+    cleaned = frozenset(str(n).strip().lower().replace("-", "_") for n in names or ())
+    odd = sorted(n for n in cleaned if not re.fullmatch(r"[\w .$]+", n, re.ASCII))
+    if odd:
+        raise ConfigError("vocabulary", f"not usable as column names: {odd}")
+    return cleaned
 
 
 @dataclass(frozen=True)
