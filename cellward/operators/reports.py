@@ -123,8 +123,15 @@ def exact_percentile(
     """
     by = list(by)
     v = F.col("_v")
-    size = F.floor(F.log2(F.abs(v)) * per_octave) + 1100 * per_octave  # > 0 for any double
-    bucket = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    # 1 ... 2200 * per_octave for any finite double, monotone in |v|
+    octaves = F.least(F.log2(F.abs(v)), F.lit(1025.0))
+    size = F.floor(octaves * per_octave) + 1100 * per_octave
+    bucket = (
+        F.when(F.isnan(v), F.lit(2**40))
+        .when(v > 0, size)
+        .when(v < 0, -size)
+        .otherwise(F.lit(0).cast("long"))
+    )
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
@@ -147,11 +154,13 @@ def exact_percentile(
         .where(
             (F.col("_start") <= F.ceil(rank)) & (F.col("_start") + F.col("_size") > F.floor(rank))
         )
-        .select(*by, "_bucket", "_start", "_total")
+        .select(*[F.col(c).alias(f"_by_{c}") for c in [*by, "_bucket"]], "_start", "_total")
     )
+    # null is a group of its own
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in [*by, "_bucket"]]
     inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.join(wanted, [*by, "_bucket"]).withColumn(
+    placed = counts.join(wanted, same).withColumn(
         "_end", F.col("_start") + F.sum("_n").over(upto)
     )
 
@@ -167,5 +176,6 @@ def exact_percentile(
             at(F.ceil(rank)).alias("_high"),
             F.max(rank - F.floor(rank)).alias("_part"),
         )
-        .select(*by, "n", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("value"))
+        .withColumn("value", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"))
+        .select(*by, "n", "value")
     )

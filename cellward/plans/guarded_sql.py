@@ -35,6 +35,10 @@ _SESSION_SETTINGS = {
     "spark.sql.runSQLOnFiles": "false",  # no FROM parquet.`/path`
     "spark.sql.lateralColumnAlias.enableImplicitResolution": "false",
     "spark.sql.variable.substitute": "false",
+    # the text's joins run as written: split a person with very many rows even when the
+    # following aggregation could have used the join's partitioning
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
