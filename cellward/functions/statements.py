@@ -58,9 +58,8 @@ def mask(text: Column) -> Column:
 
 def flat(text: Column) -> Column:
     """Masked text on one line: single blanks, none around the dots of qualified names."""
-    one_line = collapse(mask(text))
     return F.regexp_replace(
-        F.regexp_replace(one_line, r" ?\. ?", "."), _INNER_FROM, "$1 ,"
+        F.regexp_replace(collapse(mask(text)), r" \. ?|\. ", "."), _INNER_FROM, "$1 ,"
     )
 
 
@@ -161,7 +160,8 @@ def table_terms(parts: Column) -> Column:
 def has_select_star(code: Column) -> Column:
     """``*``, ``t.*`` or ``DISTINCT *`` in a list or a call; ``COUNT(*)`` stays legal."""
     rest = F.regexp_replace(code, r"(?i)\bCOUNT\s*\(\s*\*\s*\)", "COUNT{}")
-    return rest.rlike(r"(?i)(?:\bSELECT\b|[(,])\s*(?:(?:DISTINCT|ALL)\s+)?(?:[\w\"`]++\.)*+\*")
+    star = r"(?i)(?:\bSELECT\b|[(,])\s*(?:(?:DISTINCT|ALL)\s+)?(?:[\w\"`]++\.)*+\*"
+    return code.contains("*") & rest.rlike(star)
 
 
 def has_group_by(code: Column) -> Column:
@@ -248,22 +248,35 @@ def has_subquery(code: Column) -> Column:
 
 
 def unreadable(text: Column, code: Column, squashed: Column) -> Column:
-    """Why a text cannot be judged (E802), null when it can. Every doubt fails closed."""
+    """Why a text cannot be judged (E802), null when it can. Every doubt fails closed.
+
+    Each pattern is tried only on texts that hold the character it is about.
+    """
+
+    def odd(quote):
+        return code.contains(quote) & (F.regexp_count(code, F.lit(quote)) % 2 != 0)
+
     return (
         # an escape or a nested comment which engines read differently could hide code
-        F.when(text.rlike(r"\\['\"`\r\n]"), "backslash before a quote or a line end")
-        .when(text.rlike(r"(?s)/\*(?:(?!\*/).)*?/\*"), "nested comment")
+        F.when(
+            text.contains("\\") & text.rlike(r"\\['\"`\r\n]"),
+            "backslash before a quote or a line end",
+        )
+        .when(
+            text.contains("/*") & text.rlike(r"(?s)/\*(?:(?!\*/).)*?/\*"), "nested comment"
+        )
         .when(
             code.contains("'") | code.contains("/*") | code.contains("*/"),
             "unterminated literal or comment",
         )
+        .when(odd('"') | odd("`"), "unterminated quoted name")
+        .when(
+            squashed.contains("(") | squashed.contains(")"),
+            "unbalanced or too deep parentheses",
+        )
         .when(
-            (F.regexp_count(code, F.lit('"')) % 2 != 0)
-            | (F.regexp_count(code, F.lit("`")) % 2 != 0),
-            "unterminated quoted name",
+            code.contains(";") & (F.size(statements(code)) > 1), "more than one statement"
         )
-        .when(squashed.rlike(r"[()]"), "unbalanced or too deep parentheses")
-        .when(F.size(statements(code)) > 1, "more than one statement")
         .when(~code.rlike(r"(?i)^(?:SELECT|WITH)\b"), "statement does not start with SELECT")
     )
 

@@ -145,11 +145,11 @@ def ascii_positions(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """One row per forbidden character: key columns, 0-based position, character, code point.
 
     Clean texts are filtered out first; the characters stream through the generator, so no row
-    holds its whole result.
+    holds its whole result. (An inner generator would split each text twice, see log_tables.)
     """
     return (
         df.where(F.col(text).rlike(chars.FORBIDDEN))
-        .select(*key, F.posexplode(F.split(F.col(text), "")).alias("position", "character"))
+        .select(*key, F.posexplode_outer(F.split(F.col(text), "")).alias("position", "character"))
         .where(F.col("character").rlike(chars.FORBIDDEN))
         .withColumn("code_point", F.ascii("character"))
     )

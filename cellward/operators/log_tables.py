@@ -2,6 +2,9 @@
 
 Dictionaries and catalogs join without a hint: Catalyst broadcasts them while their known size
 is below its threshold and falls back to a shuffle join beyond it.
+
+The generators are outer ones, followed by a filter: for an inner one Catalyst would add a "not
+empty" filter on the array, push it to the scan and so compute the whole text analysis twice.
 """
 
 from __future__ import annotations
@@ -19,18 +22,19 @@ def identifier_rows(log: DataFrame) -> DataFrame:
     """One row per name in a text: ``request_id, ordinal, clause, token, name, is_function``."""
     return (
         read_statements(log)
-        .select("request_id", F.posexplode("_ids").alias("ordinal", "_i"))
+        .select("request_id", F.posexplode_outer("_ids").alias("ordinal", "_i"))
+        .where(F.col("_i").isNotNull())
         .select("request_id", "ordinal", "_i.*")
     )
 
 
 def prohibited_rows(identifiers: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Names that the dictionary prohibits (semi join). Functions only count as date parts."""
-    names = dictionary.where(~F.col("allowed")).select("name", "category")
-    plain = identifiers.where(~F.col("is_function")).join(names, "name", "left_semi")
-    dates = names.where(F.col("category") == "date")
-    called = identifiers.where("is_function").join(dates, "name", "left_semi")
-    return plain.unionByName(called)
+    names = dictionary.where(~F.col("allowed")).select(F.col("name").alias("_name"), "category")
+    hit = (F.col("name") == F.col("_name")) & (
+        ~F.col("is_function") | (F.col("category") == "date")
+    )
+    return identifiers.join(names, hit, "left_semi")
 
 
 def name_usage(log: DataFrame) -> DataFrame:
@@ -41,9 +45,11 @@ def name_usage(log: DataFrame) -> DataFrame:
 
 def group_by_rows(log: DataFrame) -> DataFrame:
     """Group list items: ``request_id, ordinal, item``."""
-    read = read_statements(log)
-    return read.select(
-        "request_id", F.posexplode(st.group_by_columns(F.col("_parts"))).alias("ordinal", "item")
+    items = F.posexplode_outer(st.group_by_columns(F.col("_parts")))
+    return (
+        read_statements(log)
+        .select("request_id", items.alias("ordinal", "item"))
+        .where(F.col("item").isNotNull())
     )
 
 
@@ -61,8 +67,9 @@ def check_group_by(
         .select(
             "request_id",
             st.tables(F.col("_parts")).alias("_tables"),
-            F.posexplode(st.group_by_columns(F.col("_parts"))).alias("ordinal", "item"),
+            F.posexplode_outer(st.group_by_columns(F.col("_parts"))).alias("ordinal", "item"),
         )
+        .where(F.col("item").isNotNull())
         .withColumn("_name", st.item_name(F.col("item")))
     )
     homes = catalog.groupBy(F.col("column_name").alias("_name")).agg(
@@ -83,8 +90,9 @@ def check_group_by(
 def unknown_tables(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Tables that the approved schema does not have (E101)."""
     used = read_statements(log).select(
-        "request_id", F.explode(st.tables(F.col("_parts"))).alias("table_name")
+        "request_id", F.explode_outer(st.tables(F.col("_parts"))).alias("table_name")
     )
+    used = used.where(F.col("table_name").isNotNull())
     return used.join(catalog.select("table_name"), "table_name", "left_anti")
 
 
@@ -93,8 +101,9 @@ def unknown_columns(log: DataFrame, catalog: DataFrame) -> DataFrame:
     used = read_statements(log).select(
         "request_id",
         st.tables(F.col("_parts")).alias("_tables"),
-        F.explode(column_names()).alias("column_name"),
+        F.explode_outer(column_names()).alias("column_name"),
     )
+    used = used.where(F.col("column_name").isNotNull())
     known = catalog.select("table_name", F.col("column_name").alias("_column"))
     found = (F.col("column_name") == F.col("_column")) & F.array_contains(
         F.col("_tables"), F.col("table_name")

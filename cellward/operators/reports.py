@@ -176,6 +176,11 @@ def exact_percentile(
             at(F.ceil(rank)).alias("_high"),
             F.max(rank - F.floor(rank)).alias("_part"),
         )
-        .withColumn("value", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"))
+        .withColumn(
+            "value",
+            F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(
+                F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
+            ),
+        )
         .select(*by, "n", "value")
     )

@@ -273,7 +273,8 @@ def violations(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy =
     every = F.concat(*[_labelled(name) for name in policy.layers])
     if policy.max_errors is not None:
         every = F.slice(every, 1, policy.max_errors)
-    rows = hits.select("request_id", F.posexplode(every).alias("ordinal", "_v"))
+    rows = hits.select("request_id", F.posexplode_outer(every).alias("ordinal", "_v"))
+    rows = rows.where(F.col("_v").isNotNull())
     return rows.select(
         "request_id",
         F.col("_v.layer").alias("layer"),

@@ -289,7 +289,11 @@ def _(spark, sf_dir):
         "ts", F.date_trunc("month", "ts")
     )
     streams.stream_audit(
-        source, f"{path}/out", f"{path}/state", available_now=True
+        source,
+        f"{path}/out",
+        f"{path}/state",
+        available_now=True,
+        partitions=spark.sparkContext.defaultParallelism,
     ).awaitTermination()
     stored = audit_files.read_audit(spark, f"{path}/out")
     return stored.groupBy("validation_result", "layer_failed", "error_code").agg(

@@ -25,11 +25,15 @@ def stream_audit(
     *,
     policy: Policy = Policy(),
     available_now: bool = False,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Append a log stream's audit records to day partitions of JSON lines.
 
-    The file sink with its checkpoint writes every record exactly once.
+    The file sink with its checkpoint writes every record exactly once. ``partitions`` spreads
+    each batch over that many tasks, for sources which deliver a batch in few splits.
     """
+    if partitions is not None:
+        log = log.repartition(partitions, "request_id")
     lines = audit_lines(audit_records(verdicts(log, vocab, policy=policy)))
     writer = (
         lines.writeStream.format("text")
