@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cellward.policy import Policy
@@ -54,6 +54,16 @@ def audit_json(records: DataFrame) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
+def observe_audit(verdicts: DataFrame, observation: Observation) -> DataFrame:
+    """Let the audit job itself report its counts (``observation.get``), without a second pass."""
+    return verdicts.observe(
+        observation,
+        F.count(F.lit(1)).alias("n_queries"),
+        F.count(F.when(~F.col("success"), 1)).alias("n_rejected"),
+        F.count(F.when(F.col("over_length"), 1)).alias("n_over_length"),
+    )
+
+
 def query_metadata(verdicts: DataFrame) -> DataFrame:
     """Hash and layer progress per query. Times come from Spark's own metrics."""
     return verdicts.select(

@@ -59,11 +59,13 @@ def column_names() -> Column:
 # projection of their own, so each is computed once however many conditions read it.
 
 
-def _facts(layers) -> dict[str, Column]:
+def _facts(policy: Policy) -> dict[str, Column]:
     text, code, parts = F.col("_text"), F.col("_flat"), F.col("_parts")
-    grouped_persons = F.filter(
-        st.group_by_columns(parts), lambda i: st.is_person_column(st.item_name(i))
-    )
+
+    def unfit(item):
+        person = st.is_person_column(st.item_name(item))
+        return person | ~st.is_plain_column(item) if policy.plain_group_by else person
+
     facts = {
         "ascii_input": {"_position": chars.first_forbidden(text)},
         "schema": {"_tables": st.tables(parts), "_columns": column_names()},
@@ -74,12 +76,12 @@ def _facts(layers) -> dict[str, Column]:
             "_grouped": st.has_group_by(code),
             "_global": st.is_global_aggregate(code, F.col("_squashed")),
             "_misplaced": st.misplaced_aggregate(parts),
-            "_person": F.try_element_at(grouped_persons, F.lit(1)),
+            "_unfit": F.try_element_at(F.filter(st.group_by_columns(parts), unfit), F.lit(1)),
         },
         "enforcement": {"_cte": st.has_cte(code), "_nested": st.has_subquery(code)},
         "system": {"_why": st.unreadable(text, code, F.col("_squashed"))},
     }
-    return {name: column for layer in layers for name, column in facts[layer].items()}
+    return {name: column for layer in policy.layers for name, column in facts[layer].items()}
 
 
 def _hit(code, *, ordinal="0", clause="null", token="null", position="null", code_point="null",
@@ -161,9 +163,9 @@ def _rules(vocab: Vocabulary, policy: Policy) -> dict[str, str]:
                      token="_misplaced.function"),
             ),
             (
-                "_person IS NOT NULL",
-                _hit("'E305'", ordinal="3", clause="'GROUP BY'", token="_person",
-                     reason="'the person key is only for the distinct count'"),
+                "_unfit IS NOT NULL",
+                _hit("'E305'", ordinal="3", clause="'GROUP BY'", token="_unfit",
+                     reason="'only columns other than the person key can be group items'"),
             ),
         ),
         "enforcement": _hits(
@@ -178,7 +180,7 @@ def layer_hits(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy =
 
     Only the character layer rejects a blank text; the others let it pass.
     """
-    facts = read_statements(log).withColumns(_facts(policy.layers))
+    facts = read_statements(log).withColumns(_facts(policy))
     rules = _rules(vocab, policy)
     none = f"cast(array() as array<{HIT_DDL}>)"
     fields = []
@@ -237,7 +239,7 @@ def verdicts(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Po
     """One verdict per query: the first failing layer decides. Batch or streaming input.
 
     Keeps the log's columns and adds ``success, layer, code, message, details, layers_passed,
-    total_layers, query_hash``.
+    total_layers, query_hash`` and the warning ``over_length`` (no code of its own).
     """
     hits = layer_hits(log, vocab, policy=policy)
     decided = hits.withColumns(
@@ -253,6 +255,7 @@ def verdicts(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Po
             "details": messages.details(hit),
             "total_layers": F.lit(len(policy.layers)),
             "query_hash": st.query_hash(F.coalesce(F.col("query"), F.lit(""))),
+            "over_length": F.coalesce(F.length("query"), F.lit(0)) > policy.max_query_length,
         }
     ).drop("_first")
 

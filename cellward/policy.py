@@ -40,7 +40,8 @@ class Policy:
     min_cell: int = MIN_PATIENT_COUNT
     layers: tuple[str, ...] = DEFAULT_LAYERS
     strict: bool = True  # also prohibit the columns which only the clinical catalog marks
-    max_query_length: int = 10000
+    plain_group_by: bool = False  # also refuse expressions and ordinals as group items
+    max_query_length: int = 10000  # longer texts are marked, not refused
     max_errors: int | None = 1  # violations reported per query; None = all
     verbosity: int = 3  # 1 message, 2 + guidance, 3 + pattern and link
     retention_days: int = 2190

@@ -66,6 +66,17 @@ def test_verdict_files(spark):
     assert stored.count() == 30 and "dt" in stored.columns
 
 
+def test_observed_audit(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    result = reports.observe_audit(
+        verdicts(make_log(spark, 8), policy=Policy(max_query_length=30)), seen
+    )
+    result.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n_queries": 8, "n_rejected": 6, "n_over_length": 2}
+
+
 def test_outcomes(spark):
     df = literal_table(spark, [(None,), ("E201",), ("E802",)], "c string")
     assert [r[0] for r in df.select(reports.outcome(F.col("c"))).collect()] == [

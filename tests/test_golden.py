@@ -150,3 +150,11 @@ def test_schema_layer(log_of):
 def test_catalog_only_columns(log_of, strict, code):
     log = log_of("SELECT npi, COUNT(DISTINCT person_id) AS Count_Patients FROM p GROUP BY npi")
     assert verdicts(log, policy=Policy(strict=strict)).first()["code"] == code
+
+
+def test_plain_group_by_is_an_option(log_of):
+    log = log_of(f"SELECT {BY_GENDER}, FLOOR(x / 10)", f"SELECT {BY_GENDER}")
+    policy = Policy(plain_group_by=True)
+    got = [r["code"] for r in verdicts(log, policy=policy).orderBy("request_id").collect()]
+    assert got == ["E305", None]
+    assert verdicts(log).where("NOT success").count() == 0
