@@ -87,7 +87,9 @@ def message(hit: Column) -> Column:
         )
         .when(
             code == "E304",
-            F.format_string("Aggregate %s in the %s clause; only SELECT may aggregate", text, clause),
+            F.format_string(
+                "Aggregate %s in the %s clause; only SELECT may aggregate", text, clause
+            ),
         )
         .when(code == "E305", F.format_string("Cannot group by '%s': %s", text, hit["reason"]))
         .when(code == "E401", "Subqueries and set operations are not allowed")

@@ -12,7 +12,6 @@ from cellward.plans.registry import query
 from cellward.plans.sample_log import values
 from cellward.policy import Policy
 from cellward.sources import catalog, tables
-from cellward.sources.vocabulary import CODES, DEFAULT
 
 PERSON_SQL = """person AS (
   SELECT c_custkey AS person_id, c_name AS patient_name, c_mktsegment AS gender_concept_id,
@@ -309,7 +308,8 @@ def _(spark, sf_dir):
 @query(
     "guarded_sql",
     f"""WITH {BOTH_SQL}, {LOCATION_SQL}
-    SELECT country, condition_concept_id AS condition, count(DISTINCT p.person_id) AS Count_Patients,
+    SELECT country, condition_concept_id AS condition,
+           count(DISTINCT p.person_id) AS Count_Patients,
            round(avg(CAST(p.year_of_birth AS FLOAT)), 3) AS avg_year
     FROM {JOINED_SQL} JOIN location l ON p.location_id = l.location_id
     WHERE p.year_of_birth > 1930
@@ -336,8 +336,6 @@ def _load(sf_dir, maker, spark):
 
 # ---------------------------------------------------------------- checks of data tables
 
-_DATA = ("customer", "orders", "lineitem", "supplier", "pages", "events", "documents")
-
 
 @query(
     "catalog_phi_scan",
@@ -378,7 +376,6 @@ _HAVE = {
     "labels": ["doc_id", "quality", "toxic"],
 }
 _APPROVED = [(t, c) for t, names in catalog.catalog_columns().items() for c in names]
-_PROHIBITED_BY = {n: c for c in CODES for n in DEFAULT.names(c)}
 
 
 @query(

@@ -11,12 +11,10 @@ from cellward.plans.sample_log import (
     HASH_SQL,
     HITS_SQL,
     LOG_SQL,
-    TEXTS,
     VERDICT_SQL,
     expected,
     log_from_orders,
     per_text,
-    sample_log,
     values,
 )
 from cellward.plans.vocabularies import ALL_ERRORS, log

@@ -88,6 +88,11 @@ def table_schema(name: str) -> StructType:
     return StructType.fromDDL(TABLES[name])
 
 
+def read_table(spark: SparkSession, path: str, name: str, format: str = "parquet", **options):
+    """A clinical table with its approved schema (no inference, columns by name)."""
+    return spark.read.schema(table_schema(name)).format(format).options(**options).load(path)
+
+
 def catalog_columns(tables=TABLES) -> dict[str, list[str]]:
     return {t: [part.split()[0] for part in ddl.split(",")] for t, ddl in tables.items()}
 

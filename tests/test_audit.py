@@ -16,7 +16,6 @@ from cellward.sources import vocabulary as voc
 from cellward.streaming import audit as streams
 
 GOOD = "SELECT COUNT(DISTINCT person_id) AS Count_Patients FROM person"
-LOG = "request_id string, ts timestamp, user_id string, session_id string, ip_address string, query string"
 
 
 def make_log(spark, n=30, start=datetime(2024, 3, 1)):
@@ -27,7 +26,7 @@ def make_log(spark, n=30, start=datetime(2024, 3, 1)):
         )
         for i in range(n)
     ]
-    return literal_table(spark, rows, LOG)
+    return literal_table(spark, rows, query_log.LOG_DDL)
 
 
 def test_audit_files_round_trip(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellward.operators import cells, conformance, deidentify
 from cellward.policy import GuardError
-from cellward.session import literal_table
+from cellward.session import fresh_path, literal_table
 from cellward.sources import catalog
 from cellward.sources.vocabulary import DEFAULT
 
@@ -175,6 +175,24 @@ def test_output_scan(spark):
     assert got == {"a": (1, 0, False), "b": (2, 1, True)}
 
 
+@pytest.mark.parametrize("format", ["parquet", "json", "csv"])
+def test_read_clinical_table(spark, format):
+    path = fresh_path(spark, "person")
+    written = spark.range(5).selectExpr("id AS person_id", "1990 AS year_of_birth", "7 AS extra")
+    options = {"header": "true"} if format == "csv" else {}
+    if format == "csv":  # files of this format go by position, so they hold every column
+        names = catalog.catalog_columns()["person"]
+        written = written.selectExpr(
+            *[n if n in ("person_id", "year_of_birth") else f"string(null) AS {n}" for n in names]
+        )
+    written.write.format(format).options(**options).save(path)
+    people = catalog.read_table(spark, path, "person", format, **options)
+    assert people.schema == catalog.table_schema("person")
+    view = deidentify.safe_view(people)
+    assert "month_of_birth" not in view.columns
+    assert cells.guarded_aggregate(view, ["year_of_birth"], k=5).collect() == [(1990, 5)]
+
+
 def test_vocabulary_sizes():
     assert len(DEFAULT.prohibited(strict=False)) == 166
     assert len(DEFAULT.prohibited()) == 190

@@ -43,7 +43,8 @@ def corpus():
 
 
 def test_corpus_is_complete():
-    assert len({c[0].split(".")[0] for c in corpus()}) == 93  # the other 20 check helpers or are empty
+    # the other 20 check helpers or are empty
+    assert len({c[0].split(".")[0] for c in corpus()}) == 93
 
 
 def test_every_case(spark):
