@@ -1,98 +1,87 @@
-"""Details and message of a rule hit (own wording)."""
+"""Details and message of a rule hit, from its struct column (own wording)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellward.functions.characters import u_notation
 from cellward.policy import COUNT_ALIAS, PERSON_COLUMN
 from cellward.sources.catalog import SCHEMA_NAME
-from cellward.sources.vocabulary import identifier_type
+from cellward.sources.vocabulary import identifier_type_sql
 
 _EXACT = f"COUNT(DISTINCT {PERSON_COLUMN}) AS {COUNT_ALIAS}"
+_TYPE, _SCHEMA = "identifier type", "schema"
 
+# code -> (template, fields of the hit that fill it)
+_TEMPLATES = {
+    "E001": (
+        'Non-ASCII character "%s" (U+%04X) at position %d',
+        ("token", "code_point", "position"),
+    ),
+    "E002": (
+        "Control character U+%04X at position %d; only tab, newline and carriage return are "
+        "allowed",
+        ("code_point", "position"),
+    ),
+    "E003": ("The query is empty or only whitespace", ()),
+    "E101": (f'Table "%s" is not in {SCHEMA_NAME}', ("token",)),
+    "E102": (f'Column "%s" is in none of the {SCHEMA_NAME} tables of the query', ("token",)),
+    "E201": ('Direct identifier "%s" (%s) in the %s clause', ("token", _TYPE, "clause")),
+    "E202": ('Geography below state level: "%s" in the %s clause', ("token", "clause")),
+    "E203": ('Date finer than the year: "%s" in the %s clause', ("token", "clause")),
+    "E204": ("SELECT * is prohibited; list the columns", ()),
+    "E301": ("GROUP BY is missing and the query is no global aggregate", ()),
+    "E302": (f"The person count is missing: {_EXACT}", ()),
+    "E303": (f'Person count written as "%s"; the exact form is {_EXACT}', ("token",)),
+    "E304": ("Aggregate %s in the %s clause; only SELECT may aggregate", ("token", "clause")),
+    "E305": ('Cannot group by "%s": %s', ("token", "reason")),
+    "E401": ("Subqueries and set operations are not allowed", ()),
+    "E402": ("WITH clauses are not allowed", ()),
+    "E802": ("Cannot read the statement: %s", ("reason",)),
+}
 
-def details(hit: Column) -> Column:
-    """Facts of a hit as map<string,string>; keys differ by code, empty when there are none."""
-    text = hit["token"]
-    entries = {
-        "position": F.when(hit["code"].isin("E001", "E002"), hit["position"].cast("string")),
-        "character": F.when(hit["code"] == "E001", text),
-        "code_point": F.when(
-            hit["code"].isin("E001", "E002"), hit["code_point"].cast("string")
-        ),
-        "table_name": F.when(hit["code"] == "E101", text),
-        "column_name": F.when(hit["code"].isin("E102", "E201", "E202", "E203", "E305"), text),
-        "identifier_type": F.when(hit["code"] == "E201", identifier_type(F.lower(text))),
-        "found_syntax": F.when(hit["code"] == "E303", text),
-        "function": F.when(hit["code"] == "E304", text),
-        "reason": F.when(hit["code"].isin("E802", "E305"), hit["reason"]),
-        "clause": F.when(
-            hit["code"].isin("E201", "E202", "E203", "E304"), hit["clause"]
-        ),
-        "schema": F.when(hit["code"].isin("E101", "E102"), F.lit(SCHEMA_NAME)),
-    }
-    pairs = [x for key, value in entries.items() for x in (F.lit(key), value)]
-    return F.when(
-        hit["code"].isNotNull(), F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+# Keys of the details, the field behind each, and the codes that report it.
+_DETAILS = {
+    "position": ("position", ("E001", "E002")),
+    "character": ("token", ("E001",)),
+    "code_point": ("code_point", ("E001", "E002")),
+    "table_name": ("token", ("E101",)),
+    "schema": (_SCHEMA, ("E101", "E102")),
+    "column_name": ("token", ("E102", "E201", "E202", "E203", "E305")),
+    "identifier_type": (_TYPE, ("E201",)),
+    "found_syntax": ("token", ("E303",)),
+    "function": ("token", ("E304",)),
+    "reason": ("reason", ("E305", "E802")),
+    "clause": ("clause", ("E201", "E202", "E203", "E304")),
+}
+
+
+def _field(hit: str, name: str) -> str:
+    if name == _TYPE:
+        return identifier_type_sql(f"lower({hit}.token)")
+    if name == _SCHEMA:
+        return f"'{SCHEMA_NAME}'"
+    return f"{hit}.{name}"
+
+
+def message(hit: str) -> Column:
+    """One sentence for the hit in the struct column ``hit``, null if there is none."""
+    cases = " ".join(
+        f"WHEN '{code}' THEN "
+        + f"format_string({', '.join([repr(text), *(_field(hit, f) for f in used)])})"
+        for code, (text, used) in _TEMPLATES.items()
     )
+    return F.expr(f"CASE {hit}.code {cases} END")
 
 
-def message(hit: Column) -> Column:
-    code, text, clause = hit["code"], hit["token"], hit["clause"]
-    return (
-        F.when(
-            code == "E001",
-            F.format_string(
-                "Non-ASCII character '%s' (%s) at position %d",
-                text, u_notation(hit["code_point"]), hit["position"],
-            ),
-        )
-        .when(
-            code == "E002",
-            F.format_string(
-                "Control character %s at position %d; only tab, newline and carriage return "
-                "are allowed",
-                u_notation(hit["code_point"]), hit["position"],
-            ),
-        )
-        .when(code == "E003", "The query is empty or only whitespace")
-        .when(code == "E101", F.format_string(f"Table '%s' is not in {SCHEMA_NAME}", text))
-        .when(
-            code == "E102",
-            F.format_string(f"Column '%s' is in none of the query's {SCHEMA_NAME} tables", text),
-        )
-        .when(
-            code == "E201",
-            F.format_string(
-                "Direct identifier '%s' (%s) in the %s clause",
-                text, identifier_type(F.lower(text)), clause,
-            ),
-        )
-        .when(
-            code == "E202",
-            F.format_string("Geography below state level: '%s' in the %s clause", text, clause),
-        )
-        .when(
-            code == "E203",
-            F.format_string("Date finer than the year: '%s' in the %s clause", text, clause),
-        )
-        .when(code == "E204", "SELECT * is prohibited; list the columns")
-        .when(code == "E301", "GROUP BY is missing and the query is no global aggregate")
-        .when(code == "E302", f"The person count is missing: {_EXACT}")
-        .when(
-            code == "E303",
-            F.format_string(f"Person count written as '%s'; the exact form is {_EXACT}", text),
-        )
-        .when(
-            code == "E304",
-            F.format_string(
-                "Aggregate %s in the %s clause; only SELECT may aggregate", text, clause
-            ),
-        )
-        .when(code == "E305", F.format_string("Cannot group by '%s': %s", text, hit["reason"]))
-        .when(code == "E401", "Subqueries and set operations are not allowed")
-        .when(code == "E402", "WITH clauses are not allowed")
-        .when(code == "E802", F.format_string("Cannot read the statement: %s", hit["reason"]))
-    )
+def details(hit: str) -> Column:
+    """Facts of a hit as map<string,string>; keys differ by code, empty when there are none."""
+    entries = ", ".join(
+        f"'{key}', CASE WHEN {hit}.code IN ({', '.join(map(repr, codes))}) "
+        f"THEN string({_field(hit, name)}) END"
+        for key, (name, codes) in _DETAILS.items()
+    )
+    return F.expr(
+        f"CASE WHEN {hit}.code IS NOT NULL "
+        f"THEN map_filter(map({entries}), (k, v) -> v IS NOT NULL) END"
+    )

@@ -14,7 +14,6 @@ AUDIT_FIELDS = (
     "request_id", "timestamp", "user_id", "query_hash", "validation_result", "layer_failed",
     "error_code", "ip_address", "session_id",
 )
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def outcome(code: Column) -> Column:
@@ -41,9 +40,25 @@ def audit_records(verdicts: DataFrame, time_col: str = "ts") -> DataFrame:
     )
 
 
+def utc_wall_clock(time: Column) -> Column:
+    """An instant's UTC date and time, free of the session's time zone and its clock changes."""
+    seconds = F.unix_micros(time.cast("timestamp")).cast("decimal(20,0)") / 1000000
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def utc_day(time: Column) -> Column:
+    return utc_wall_clock(time).cast("date")
+
+
 def utc_text(time: Column) -> Column:
-    """ISO-8601 UTC with a trailing Z, whatever the session's time zone."""
-    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), TIME_FORMAT)
+    """ISO-8601 with six decimals and a trailing Z."""
+    shown = utc_wall_clock(time).cast("string")
+    micros = F.pmod(F.unix_micros(time.cast("timestamp")), F.lit(1000000))
+    return F.concat(
+        F.substring(shown, 1, 10), F.lit("T"), F.substring(shown, 12, 8), F.lit("."),
+        F.lpad(micros.cast("string"), 6, "0"), F.lit("Z"),
+    )
 
 
 def audit_json(records: DataFrame) -> Column:
@@ -119,7 +134,7 @@ def retain(audit: DataFrame, as_of: Column, *, time_col: str = "timestamp", poli
     prunes whole partitions."""
     limit = as_of - F.make_dt_interval(F.lit(policy.retention_days))
     kept = audit.where(F.col(time_col) >= limit)
-    return kept.where(F.col("dt") >= F.to_date(limit)) if "dt" in audit.columns else kept
+    return kept.where(F.col("dt") >= utc_day(limit)) if "dt" in audit.columns else kept
 
 
 def exact_percentile(

@@ -245,14 +245,13 @@ def verdicts(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Po
     decided = hits.withColumns(
         {"_first": _first_hit(policy), "layers_passed": _passed_layers(policy)}
     ).drop(*[f"_hits_{n}" for n in policy.layers])
-    hit = F.col("_first.hit")
     return decided.withColumns(
         {
             "success": F.col("_first").isNull(),
             "layer": F.col("_first.layer"),
-            "code": hit["code"],
-            "message": F.coalesce(messages.message(hit), F.lit("All layers passed")),
-            "details": messages.details(hit),
+            "code": F.col("_first.hit.code"),
+            "message": F.coalesce(messages.message("_first.hit"), F.lit("All layers passed")),
+            "details": messages.details("_first.hit"),
             "total_layers": F.lit(len(policy.layers)),
             "query_hash": st.query_hash(F.coalesce(F.col("query"), F.lit(""))),
             "over_length": F.coalesce(F.length("query"), F.lit(0)) > policy.max_query_length,
@@ -286,7 +285,7 @@ def violations(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy =
         F.col("_v.hit.clause").alias("clause"),
         F.col("_v.hit.token").alias("token"),
         F.col("_v.hit.position").alias("position"),
-        messages.details(F.col("_v.hit")).alias("details"),
+        messages.details("_v.hit").alias("details"),
     )
 
 

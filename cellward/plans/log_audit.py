@@ -12,6 +12,7 @@ from cellward.plans.sample_log import (
     HITS_SQL,
     LOG_SQL,
     VERDICT_SQL,
+    by_month,
     expected,
     log_from_orders,
     per_text,
@@ -96,8 +97,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = fresh_path(spark, "verdicts")
-    # by month: the test log is far too thin for a directory per day
-    made = v.verdicts(log(spark, sf_dir)).withColumn("ts", F.date_trunc("month", "ts"))
+    made = v.verdicts(by_month(log(spark, sf_dir)))
     audit_files.write_verdicts(made.drop("query", "message"), path)
     stored = spark.read.parquet(path)
     return stored.groupBy(F.year("dt").alias("year"), "success").agg(
@@ -282,10 +282,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = fresh_path(spark, "audit")
-    # by month: the test log is far too thin for a directory per day
-    source = log_from_orders(_stream(spark, sf_dir, "orders")).withColumn(
-        "ts", F.date_trunc("month", "ts")
-    )
+    source = by_month(log_from_orders(_stream(spark, sf_dir, "orders")))
     streams.stream_audit(
         source,
         f"{path}/out",

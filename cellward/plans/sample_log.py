@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellward.functions.characters import WHITESPACE
+from cellward.operators.reports import utc_day
 from cellward.sources.tables import table
 
 _BLANK_TEXT = " \n\t\u00a0 "
@@ -217,11 +218,11 @@ def log_from_orders(orders: DataFrame) -> DataFrame:
     kind = F.when(key % 3 == 0, 0).otherwise(key % len(TEXTS)).cast("int")
     text = F.element_at(F.array(*[F.lit(t.query) for t in TEXTS]), kind + 1)
     filled = F.replace(text, F.lit("{n}"), (key % 100).cast("string"))
-    # the orders carry wall-clock times, which count as UTC
-    local = (F.col("o_orderdate") + F.make_dt_interval(secs=key % 86400)).cast("timestamp")
+    # the orders carry days without a time zone, which count as UTC
+    days = F.unix_date(F.col("o_orderdate").cast("date"))
     return orders.select(
         key.cast("string").alias("request_id"),
-        F.from_utc_timestamp(local, F.current_timezone()).alias("ts"),
+        F.timestamp_seconds(days.cast("long") * 86400 + key % 86400).alias("ts"),
         F.when(key % 3 == 1, "u0")
         .otherwise(F.concat(F.lit("u"), F.col("o_custkey") % 20))
         .alias("user_id"),
@@ -231,6 +232,12 @@ def log_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
+def by_month(log: DataFrame) -> DataFrame:
+    """The log with its times cut to the UTC month: it is far too thin to be stored by day."""
+    month = F.trunc(utc_day(F.col("ts")), "month")
+    return log.withColumn("ts", F.timestamp_seconds(F.unix_date(month).cast("long") * 86400))
+
+
 def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_from_orders(table(spark, sf_dir, "orders"))
 

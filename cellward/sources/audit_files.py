@@ -1,11 +1,11 @@
-"""Append-only files of verdicts and audit records, one partition directory per day."""
+"""Append-only files of verdicts and audit records, one partition directory per UTC day."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellward.operators.reports import audit_json
+from cellward.operators.reports import audit_json, utc_day
 
 AUDIT_JSON_DDL = (
     "request_id string, timestamp string, user_id string, query_hash string, "
@@ -17,7 +17,7 @@ AUDIT_JSON_DDL = (
 def _by_day(df: DataFrame, time_col: str) -> DataFrame:
     """Rows gathered per day for writing: ``rebalance`` avoids a small file per task and day,
     and lets adaptive execution split a day that holds a large share of all rows."""
-    dated = df.withColumn("dt", F.to_date(time_col))
+    dated = df.withColumn("dt", utc_day(F.col(time_col)))
     return dated if df.isStreaming else dated.hint("rebalance", F.col("dt"))
 
 
@@ -27,7 +27,7 @@ def write_verdicts(verdicts: DataFrame, path: str, time_col: str = "ts") -> None
 
 def audit_lines(records: DataFrame) -> DataFrame:
     """``value`` (one JSON object per record) and ``dt``."""
-    return records.select(audit_json(records).alias("value"), F.to_date("timestamp").alias("dt"))
+    return records.select(audit_json(records).alias("value"), utc_day(F.col("timestamp")).alias("dt"))
 
 
 def audit_sink(records: DataFrame, path: str) -> None:

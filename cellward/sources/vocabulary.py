@@ -109,6 +109,12 @@ PHI_DDL = (
 )
 
 
+def identifier_type_sql(name: str) -> str:
+    """SQL text of ``identifier_type`` for a name given as SQL text."""
+    cases = " ".join(f"WHEN {name} RLIKE '{f}' THEN '{label}'" for f, label in IDENTIFIER_TYPES)
+    return f"CASE {cases} ELSE '{OTHER_IDENTIFIER}' END"
+
+
 def identifier_type(name: Column) -> Column:
     """Label of a direct identifier, from its (lower-case) name."""
     label = None

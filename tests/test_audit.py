@@ -83,6 +83,25 @@ def test_outcomes(spark):
     ]
 
 
+def test_utc_text_in_any_time_zone(spark):
+    """Also for instants that fall into a clock change of the session's zone."""
+    times = ["2001-04-01T02:07:23.000500Z", "2001-10-28T06:30:00Z", "1969-12-31T23:59:59.9Z"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = literal_table(spark, [(t,) for t in times], "t string")
+        time = F.to_timestamp("t")
+        rows = df.select(reports.utc_text(time).alias("x"), reports.utc_day(time).alias("d"))
+        got = [(r["x"], str(r["d"])) for r in rows.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [
+        ("2001-04-01T02:07:23.000500Z", "2001-04-01"),
+        ("2001-10-28T06:30:00.000000Z", "2001-10-28"),
+        ("1969-12-31T23:59:59.900000Z", "1969-12-31"),
+    ]
+
+
 def test_educational_response_leaves_out_what_is_absent(spark, log_of):
     from cellward.operators.verdicts import audit_log
 

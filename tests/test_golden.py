@@ -143,8 +143,10 @@ def test_schema_layer(log_of):
         f"SELECT {BY_GENDER}".replace("FROM person", "FROM patients"),
         f"SELECT colour, {BY_GENDER}",
     )
-    got = [r["code"] for r in verdicts(log, policy=policy).orderBy("request_id").collect()]
-    assert got == [None, "E101", "E102"]
+    rows = verdicts(log, policy=policy).orderBy("request_id").collect()
+    assert [r["code"] for r in rows] == [None, "E101", "E102"]
+    assert rows[1]["details"] == {"table_name": "patients", "schema": "OMOP 5.4"}
+    assert rows[2]["details"] == {"column_name": "colour", "schema": "OMOP 5.4"}
 
 
 @pytest.mark.parametrize("strict, code", [(True, "E201"), (False, None)])
