@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,16 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder of ``spark.checkpoint.dir`` so that they survive lost
-    executors and are computed once. Only a local session without that setting gets a folder here.
-    """
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session without it (tests) gets one here."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder which all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellward-llm-"))
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; whoever clears that folder ends its life."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder so that they survive lost executors and are
+    computed once."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -65,24 +76,28 @@ def components(edges: DataFrame) -> DataFrame:
         edge = cut(small.distinct())
 
 
-def block_pairs(members: DataFrame, key: str, member: str, size: int) -> DataFrame:
+def block_pairs(members: DataFrame, key: str, member: str, size: int, carry: DataFrame, lead: str | None = None) -> DataFrame:
     """Deal the members of each group ``key`` out to pairs of blocks (``p`` <= ``q``).
 
-    Groups of one are gone. A group of n members has ceil(n / size) blocks; every two blocks, and
-    every block with itself, meet in one piece of work of at most about two blocks, so a group
-    with a large part of all rows is spread over many tasks and still compared whole. ``own`` is
-    a member's own block.
+    Groups of one are gone, and with ``lead`` those without a member for which it is true. A group
+    of n members has ceil(n / size) blocks; every two blocks, and every block with itself, meet in
+    one piece of work of at most about two blocks, so a group with a large part of all rows is
+    spread over many tasks and still compared whole. ``own`` is a member's own block. What is
+    known of a member (``carry``) joins it only then.
     """
-    counts = members.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / size).cast("int")
+    counts = members.groupBy(key).agg(
+        F.count("*").alias("_n"), (F.max(lead) if lead else F.lit(True)).alias("_lead")
+    )
+    counts = counts.where("_n > 1 AND _lead").drop("_lead")
     return (
         members.join(counts, key)
-        .withColumn("_blocks", blocks)
+        .withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("p", F.least("own", "_other"))
         .withColumn("q", F.greatest("own", "_other"))
         .drop("_n", "_blocks", "_other")
+        .join(carry, member)
         .repartition(key, "p", "q")
         .sortWithinPartitions(key, "p", "q", member)
     )

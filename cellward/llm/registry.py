@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from cellward.llm import chat, imatch, simhash, urls
+from cellward.llm import chat, imatch, language, lattice, mixing, packing, pii, simhash, tokens, urls
 
 QUERIES = {
     f.__name__: f
     for f in (
+        language.op1_language_id,
+        tokens.op2_token_counts,
         chat.op3_chat_formatting,
         imatch.op4_imatch_fingerprints,
+        lattice.op5_lattice_near_dedup,
+        mixing.op6_mix_sources,
         simhash.op7_simhash_near_dedup,
         urls.op8_url_filters,
+        pii.op9_personal_data,
+        packing.op10_curve_packing,
     )
 }
 SQL = {

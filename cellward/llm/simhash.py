@@ -177,11 +177,9 @@ def near_duplicate_groups(
     made = cut(made.withColumn("mark", F.sha2("whole", 256)))
     classes = made.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     chosen = made.join(classes, (made.mark == classes.mark) & (made.doc_id == classes.rep), "left_semi")
+    chosen = chosen.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
     met = block_pairs(
-        chosen.select(F.col("doc_id").alias("rep"), "fp", "whole", F.explode("low").alias("key")).dropDuplicates(["key", "rep"]),
-        "key",
-        "rep",
-        block,
+        chosen.select("rep", F.explode("low").alias("key")), "key", "rep", block, chosen.select("rep", "fp", "whole")
     )
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
