@@ -207,25 +207,32 @@ def as_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, **graph) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and ``n_chars`` counted anew."""
-    more = _further(cut(scan(docs.select("doc_id", "text")).drop("text")), **graph)
-    columns = docs.columns
+    names = docs.columns
+    texts = docs.select("doc_id", "text", F.struct(*[docs[n] for n in names if n != "text"]).alias("others"))
+    more = _further(cut(scan(texts.select("doc_id", "text")).drop("text")), **graph)
+    counts = "n_chars" in names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
-            frame = batch.to_pydict()
-            texts = []
-            for text, base, extra in zip(frame["text"], frame["mentions"], frame["more"]):
-                spans = [(m["start"], m["end"], m["kind"]) for m in [*(base or []), *(extra or [])] if m["kind"] >= 0]
-                texts.append(replaced(text, spans) if spans else text)
-            made = {**frame, "text": texts}
-            if "n_chars" in columns:
-                made["n_chars"] = [len(t) if t is not None else n for t, n in zip(texts, frame["n_chars"])]
+            made = []
+            for text, own, further in zip(*[batch.column(c).to_pylist() for c in ("text", "mentions", "more")]):
+                spans = [(m["start"], m["end"], m["kind"]) for m in [*own, *(further or [])] if m["kind"] >= 0]
+                made.append(replaced(text, spans) if spans else text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(made[c], batch.schema.field(c).type) for c in columns], names=columns
+                [batch.column("others"), pa.array(made, pa.string()), pa.array([None if t is None else len(t) for t in made], pa.int64())],
+                names=["others", "text", "chars"],
             )
 
-    again = scan(docs).join(more, "mark", "left")
-    return again.mapInArrow(run, docs.schema)
+    again = scan(texts).join(more, "mark", "left").select("others", "text", "mentions", "more")
+    clean = again.mapInArrow(run, StructType([texts.schema["others"], *StructType.fromDDL("text string, chars long")]))
+    return clean.select(
+        *[
+            F.col("text") if n == "text"
+            else F.coalesce("chars", F.col("others")["n_chars"]).cast(docs.schema[n].dataType).alias(n) if n == "n_chars" and counts
+            else F.col("others")[n].alias(n)
+            for n in names
+        ]
+    )
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -240,5 +247,6 @@ def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
-    many = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    many = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *many, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
