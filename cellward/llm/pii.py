@@ -129,17 +129,18 @@ _ARROW = pa.struct(
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``, perhaps others) with ``mark`` and ``mentions``; a row with
-    mentions has a mark that tells it from rows with another id or text."""
+    """``docs`` (``doc_id``, ``text``, perhaps others) with ``mark`` and ``mentions``; the mark tells
+    a row from those with another id or text. Every row has one, so that rows without mentions are
+    no hot key of the join that brings what was found."""
     out = StructType([*docs.schema, *StructType.fromDDL(f"mark string, mentions array<{_MENTION}>")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
-            marks, found = [], []
+            found, marks = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 own = mentions(text, base_spans(text)) if text and _HINT.search(text) else []
                 found.append(own)
-                marks.append(hashlib.blake2b(f"{doc} {text}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if own else None)
+                marks.append(hashlib.blake2b(f"{doc} {text}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(marks, pa.string()), pa.array(found, pa.list_(_ARROW))],
                 names=[*batch.schema.names, "mark", "mentions"],
