@@ -17,13 +17,8 @@ from cellward.functions.characters import collapse, strip, strip_right
 from cellward.policy import COUNT_ALIAS, MIN_PATIENT_COUNT, PERSON_COLUMN
 from cellward.sources.vocabulary import normal_name
 
-# The aggregate functions the rules know, and the exact count pattern.
+# The aggregate functions the rules know.
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE")
-PATIENT_COUNT = (
-    r"(?i)COUNT\s*\(\s*DISTINCT\s+(?:\w+\.)?person_id\s*\)\s+AS\s+(\w+)"
-)
-COUNT_WITHOUT_DISTINCT = r"(?i)(COUNT\s*\(\s*person_id\s*\))"
-COUNT_WITHOUT_ALIAS = r"(?i)(COUNT\s*\(\s*DISTINCT\s+(?:\w+\.)?person_id\s*\))"
 
 CLAUSES = (
     "SELECT", "FROM", "JOIN", "ON", "USING", "WHERE", "GROUP BY", "HAVING", "ORDER BY",
@@ -47,8 +42,10 @@ _CLAUSE_START = r"(?i)(?=\b(?:" + "|".join(CLAUSES) + r")\b)"
 _IDENTIFIER = (
     rf"(?i)\bAS\s+(?:\w++|{_QUOTED})|((?:[A-Za-z_.][\w.$]*+|{_QUOTED})++(?:\s*\()?)"
 )
-_NESTING = 6  # parentheses deeper than this fail closed (E802)
-_NO_INNER_COMMA = r",(?![^()]*\))"
+# Calls of aggregates, parentheses and commas, words, and what stands between them.
+_TOKENS = r"(?i)(?:" + "|".join(AGGREGATES) + r")\s*\(|[(),]|[\w$]++|[^\w$(),]++"
+_CHUNK = 256
+_CUT = "\x01"
 
 
 def mask(text: Column) -> Column:
@@ -63,12 +60,92 @@ def flat(text: Column) -> Column:
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where it stands inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _walk(code: Column, emit) -> Column:
+    """One pass over the tokens with a running depth of parentheses, however deep they are.
+
+    ``emit(state, token)`` says what a token becomes; ``state`` has the ``depth`` in front of it
+    and ``inside``, the depth of the outermost open aggregate call (0 for none). Tokens are taken
+    in chunks, so that a huge text is not copied once for each of its tokens.
+    """
+
+    def step(state, token):
+        opens, closes = token.endswith("("), token == ")"
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        inside = (
+            F.when((state["inside"] == 0) & opens & (token != "("), depth)
+            .when(closes & (depth < state["inside"]), 0)
+            .otherwise(state["inside"])
+        )
+        return F.struct(depth.alias("depth"), inside.alias("inside"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("inside"))
+
+    def rewrite(chunk, state):
+        return F.aggregate(
+            chunk,
+            F.struct(state.alias("state"), F.lit("").alias("text")),
+            lambda done, token: F.struct(
+                step(done["state"], token).alias("state"),
+                F.concat(done["text"], emit(done["state"], token)).alias("text"),
+            ),
+            lambda done: done["text"],
+        )
+
+    def chunked(tokens):
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(_CHUNK)),
+            lambda at: F.slice(tokens, at + 1, _CHUNK),
+        )
+
+    def joined(chunks):
+        states = F.aggregate(
+            F.slice(chunks, 1, F.size(chunks) - 1),
+            F.array(begin),
+            lambda done, chunk: F.concat(
+                done, F.array(F.aggregate(chunk, F.element_at(done, -1), step))
+            ),
+        )
+        return F.array_join(F.zip_with(chunks, states, rewrite), "")
+
+    tokens = F.regexp_extract_all(code, F.lit(_TOKENS), F.lit(0))
+    return _once(tokens, lambda t: _once(chunked(t), joined))
+
+
 def squash(code: Column) -> Column:
-    """Parenthesised parts replaced by ``{}``, innermost first. A ``(`` or ``)`` that is left
-    means unbalanced or very deep nesting."""
-    for _ in range(_NESTING):
-        code = F.regexp_replace(code, r"\([^()]*+\)", "{}")
-    return code
+    """Parenthesised parts replaced by ``{}``. A ``(`` or ``)`` that is left means unbalanced."""
+
+    def emit(state, token):
+        shown = F.when(
+            token.endswith("("), F.concat(F.rtrim(token, F.lit("( ")), F.lit("{}"))
+        ).otherwise(token)
+        return F.when(state["depth"] == 0, shown).when(state["depth"] < 0, ")").otherwise("")
+
+    opened = F.regexp_count(code, F.lit(r"\(")) - F.regexp_count(code, F.lit(r"\)"))
+    return F.concat(_walk(code, emit), F.when(opened > 0, "(").otherwise(""))
+
+
+def top_level_items(code: Column) -> Column:
+    """The text cut at the commas outside of all parentheses."""
+    marked = _walk(
+        F.translate(code, _CUT, " "),
+        lambda state, token: F.when((token == ",") & (state["depth"] == 0), _CUT).otherwise(token),
+    )
+    return F.transform(F.split(marked, _CUT), lambda item: F.trim(item))
+
+
+def without_aggregates(code: Column) -> Column:
+    """Aggregate calls with all their arguments replaced by ``{}``."""
+
+    def emit(state, token):
+        call = token.endswith("(") & (token != "(")
+        return F.when(state["inside"] > 0, "").when(call, "{}").otherwise(token)
+
+    return _walk(code, emit)
 
 
 def statements(code: Column) -> Column:
@@ -100,12 +177,13 @@ def _of(parts: Column, *clauses: str) -> Column:
     return F.filter(parts, lambda s: s["clause"].isin(*clauses))
 
 
-def identifiers(parts: Column) -> Column:
+def identifiers(parts: Column, listed=()) -> Column:
     """Ordered names of a statement with their clause, from its ``segments``.
 
     Element: ``(clause, token, name, is_function)``. ``token`` is the text as written,
     ``name`` its last part in normal form. An alias after AS, a cast's target type and SQL
-    keywords are left out; an alias without AS is kept (it is checked like a column).
+    keywords are left out; an alias without AS is kept (it is checked like a column). A quoted
+    name is never a keyword, nor is one in ``listed`` (normal forms which a vocabulary knows).
     """
 
     def of_token(segment, found):
@@ -126,8 +204,12 @@ def identifiers(parts: Column) -> Column:
             lambda t: of_token(s, t),
         ),
     )
+    words = [k for k in KEYWORDS if k not in listed]
     # what the alias alternative matched has no name
-    return F.filter(F.flatten(found), lambda i: ~i["name"].isin("", *KEYWORDS))
+    return F.filter(
+        F.flatten(found),
+        lambda i: (i["name"] != "") & (~i["name"].isin(words) | i["token"].rlike('["`]')),
+    )
 
 
 def aliases(code: Column) -> Column:
@@ -173,8 +255,7 @@ def group_by_columns(parts: Column) -> Column:
     lists = F.transform(
         _of(parts, "GROUP BY"),
         lambda s: F.transform(
-            F.split(F.substring_index(_body(s), ";", 1), _NO_INNER_COMMA),
-            lambda item: F.trim(item),
+            top_level_items(F.substring_index(_body(s), ";", 1)), lambda item: F.trim(item)
         ),
     )
     return F.filter(F.flatten(lists), lambda item: item != "")
@@ -189,16 +270,24 @@ def item_name(item: Column) -> Column:
     return normal_name(F.substring_index(item, ".", -1))
 
 
-def select_items(squashed: Column) -> Column:
-    """Items of the first top-level select list; calls appear as ``NAME{}``."""
-    body = F.regexp_extract(squashed, r"(?is)\bSELECT\s+(.*?)(?:\s+FROM\b|;|$)", 1)
-    return F.transform(F.split(body, ","), lambda item: F.trim(item))
+def select_items(parts: Column) -> Column:
+    """Items of the first select list as written."""
+    first = F.try_element_at(_of(parts, "SELECT"), F.lit(1))
+    return top_level_items(F.substring_index(_body(first), ";", 1))
+
+
+def is_global_aggregate(code: Column, parts: Column) -> Column:
+    """No GROUP BY, and in every item of the select list an aggregate call and no column outside
+    of one: ``AVG(x) + 1`` and ``ROUND(AVG(x), 1)`` are, ``AVG(x) + x`` is not."""
+    words = r"(?i)\b(?:" + "|".join(k for k in KEYWORDS if k != "as") + r")\b"
 
+    def only_aggregates(item):
+        rest = without_aggregates(item)
+        unnamed = F.regexp_replace(rest, r"(?i)(?<=[})\d])\s+(?:AS\s+)?(?:\w+|\"[^\"]*+\"|`[^`]*+`)\s*$", "")
+        plain = F.regexp_replace(F.regexp_replace(unnamed, r"(?i)\bAS\s+\w+", ""), words, " ")
+        return rest.contains("{}") & ~plain.rlike(r"[A-Za-z_\"`][\w.$\"`]*+(?!\s*[(\w.$\"`])")
 
-def is_global_aggregate(code: Column, squashed: Column) -> Column:
-    """No GROUP BY, and nothing but (aliased) aggregate calls in the select list."""
-    call = r"(?i)^(?:" + "|".join(AGGREGATES) + r")\s*\{\}(?:\s+(?:AS\s+)?\w+)?$"
-    return ~has_group_by(code) & F.forall(select_items(squashed), lambda i: i.rlike(call))
+    return ~has_group_by(code) & F.forall(select_items(parts), only_aggregates)
 
 
 def misplaced_aggregate(parts: Column) -> Column:
@@ -215,27 +304,35 @@ def misplaced_aggregate(parts: Column) -> Column:
     )
 
 
-def patient_count_alias(code: Column) -> Column:
-    """Alias of the first distinct person count, '' if there is none."""
-    return F.regexp_extract(code, PATIENT_COUNT, 1)
+def person_counts(parts: Column) -> Column:
+    """Counts of the person key that start an item of the select list, in order.
 
+    Element: ``(written, distinct, name)``; ``name`` is the declared alias, '' without one.
+    """
+    call = rf"(?i)^COUNT ?\( ?(DISTINCT )?(?:[\w$]++\.)*+{PERSON_COLUMN} ?\)"
+    items = F.flatten(
+        F.transform(_of(parts, "SELECT"), lambda s: top_level_items(_body(s)))
+    )
 
-def has_patient_count(code: Column) -> Column:
-    return patient_count_alias(code) == COUNT_ALIAS
+    def one(item):
+        distinct = F.regexp_extract(item, call, 1) != ""
+        name = F.when(distinct, F.regexp_extract(item, call + r" AS (\w+)", 2)).otherwise("")
+        declared = F.when(name != "", F.concat(F.lit(" AS "), name)).otherwise("")
+        written = F.concat(F.regexp_extract(item, call, 0), declared)
+        return F.struct(written.alias("written"), distinct.alias("distinct"), name.alias("name"))
 
+    return F.transform(F.filter(items, lambda i: i.rlike(call)), one)
 
-def wrong_patient_count(code: Column) -> Column:
-    """The faulty person count as written (E303), null when it is right or absent."""
-    right = f"({PATIENT_COUNT[4:]})"
-    return F.when(
-        patient_count_alias(code) != "",
-        F.when(~has_patient_count(code), F.regexp_extract(code, "(?i)" + right, 1)),
-    ).otherwise(
-        F.coalesce(
-            F.nullif(F.regexp_extract(code, COUNT_WITHOUT_DISTINCT, 1), F.lit("")),
-            F.nullif(F.regexp_extract(code, COUNT_WITHOUT_ALIAS, 1), F.lit("")),
-        )
-    )
+
+def has_patient_count(counts: Column) -> Column:
+    """A distinct person count under its mandatory name, among ``person_counts``."""
+    return F.exists(counts, lambda c: c["distinct"] & (c["name"] == COUNT_ALIAS))
+
+
+def wrong_patient_count(counts: Column) -> Column:
+    """The faulty person count as written (E303), null when there is a right one or none."""
+    first = F.try_element_at(counts, F.lit(1))
+    return F.when(~has_patient_count(counts), first["written"])
 
 
 def has_cte(code: Column) -> Column:
@@ -272,7 +369,7 @@ def unreadable(text: Column, code: Column, squashed: Column) -> Column:
         .when(odd('"') | odd("`"), "unterminated quoted name")
         .when(
             squashed.contains("(") | squashed.contains(")"),
-            "unbalanced or too deep parentheses",
+            "unbalanced parentheses",
         )
         .when(
             code.contains(";") & (F.size(statements(code)) > 1), "more than one statement"
@@ -286,10 +383,6 @@ def unreadable(text: Column, code: Column, squashed: Column) -> Column:
 # The wrapper around an accepted query.
 _WRAP_HEAD = "SELECT * FROM (\n    "
 _WRAP_TAIL = "\n) AS validated_query\nWHERE Count_Patients >= "
-_UNWRAP = (
-    r"(?is)SELECT \* FROM \(\s*(.+?)\s*\) AS validated_query\s+"
-    r"WHERE Count_Patients >= \d+"
-)
 
 
 def wrap(text: Column, min_patient_count: int = MIN_PATIENT_COUNT) -> Column:
@@ -298,9 +391,15 @@ def wrap(text: Column, min_patient_count: int = MIN_PATIENT_COUNT) -> Column:
 
 
 def unwrap(text: Column) -> Column:
-    """Inverse of ``wrap``; text which is not wrapped comes back as it is."""
-    inner = strip(F.regexp_extract(text, _UNWRAP, 1))
-    return F.when(text.rlike(_UNWRAP), inner).otherwise(text)
+    """Inverse of ``wrap``, by its fixed head and tail in any spacing and case; text which is not
+    wrapped comes back as it is."""
+    one_line = F.upper(collapse(text))
+    head, tail = _WRAP_HEAD.strip().upper(), " ".join(_WRAP_TAIL.split()).upper()
+    number = F.substring_index(one_line, tail, -1)
+    wrapped = one_line.startswith(head) & (one_line.contains(tail)) & F.trim(number).rlike(r"^\d+$")
+    after = F.substring(text, F.instr(text, "(") + 1, F.length(text))
+    inner = F.left(after, F.length(after) - F.length(F.substring_index(after, ")", -1)) - 1)
+    return F.when(wrapped, strip(inner)).otherwise(text)
 
 
 def query_hash(text: Column) -> Column:
@@ -308,5 +407,6 @@ def query_hash(text: Column) -> Column:
     return F.sha2(collapse(text), 256)
 
 
-def is_person_column(name: Column) -> Column:
-    return name == PERSON_COLUMN
+def names_person(item: Column) -> Column:
+    """The person key anywhere in an expression, qualified or quoted."""
+    return item.rlike(rf"(?i)(?<![\w$]){PERSON_COLUMN}(?![\w$])")

@@ -76,8 +76,8 @@ def check_group_by(
         F.collect_set("table_name").alias("_homes")  # at most the catalog's number of tables
     )
     status = (
-        F.when(~st.is_plain_column(F.col("item")), "expression")
-        .when(st.is_person_column(F.col("_name")), "person_key")
+        F.when(st.names_person(F.col("item")), "person_key")
+        .when(~st.is_plain_column(F.col("item")), "expression")
         .when(F.col("_name").isin(*vocab.prohibited(policy.strict)), "prohibited")
         .when(F.coalesce(F.arrays_overlap("_tables", "_homes"), F.lit(False)), "ok")
         .otherwise("unknown")

@@ -25,7 +25,9 @@ HIT_DDL = (
 )
 
 
-def read_statements(log: DataFrame, query: str = "query") -> DataFrame:
+def read_statements(
+    log: DataFrame, vocab: Vocabulary = DEFAULT, query: str = "query"
+) -> DataFrame:
     """Add the derived columns (``_text`` ... ``_ids``) that the rules read."""
     text = log.withColumn("_text", F.coalesce(F.col(query), F.lit("")))
     code = text.withColumns(
@@ -34,10 +36,15 @@ def read_statements(log: DataFrame, query: str = "query") -> DataFrame:
     parts = code.withColumns(
         {"_squashed": st.squash(F.col("_flat")), "_parts": st.segments(F.col("_flat"))}
     )
-    return parts.withColumn("_ids", st.identifiers(F.col("_parts")))
+    return parts.withColumns(
+        {
+            "_ids": st.identifiers(F.col("_parts"), vocab.prohibited(True)),
+            "_counts": st.person_counts(F.col("_parts")),
+        }
+    )
 
 
-_DERIVED = ("_text", "_flat", "_blank", "_squashed", "_parts", "_ids")
+_DERIVED = ("_text", "_flat", "_blank", "_squashed", "_parts", "_ids", "_counts")
 
 
 def drop_derived(df: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def _facts(policy: Policy) -> dict[str, Column]:
     text, code, parts = F.col("_text"), F.col("_flat"), F.col("_parts")
 
     def unfit(item):
-        person = st.is_person_column(st.item_name(item))
+        person = st.names_person(item)
         return person | ~st.is_plain_column(item) if policy.plain_group_by else person
 
     facts = {
@@ -71,10 +78,10 @@ def _facts(policy: Policy) -> dict[str, Column]:
         "schema": {"_tables": st.tables(parts), "_columns": column_names()},
         "phi": {"_star": st.has_select_star(code)},
         "aggregation": {
-            "_count_ok": st.has_patient_count(code),
-            "_wrong": st.wrong_patient_count(code),
+            "_count_ok": st.has_patient_count(F.col("_counts")),
+            "_wrong": st.wrong_patient_count(F.col("_counts")),
             "_grouped": st.has_group_by(code),
-            "_global": st.is_global_aggregate(code, F.col("_squashed")),
+            "_global": st.is_global_aggregate(code, parts),
             "_misplaced": st.misplaced_aggregate(parts),
             "_unfit": F.try_element_at(F.filter(st.group_by_columns(parts), unfit), F.lit(1)),
         },
@@ -180,7 +187,7 @@ def layer_hits(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy =
 
     Only the character layer rejects a blank text; the others let it pass.
     """
-    facts = read_statements(log).withColumns(_facts(policy))
+    facts = read_statements(log, vocab).withColumns(_facts(policy))
     rules = _rules(vocab, policy)
     none = f"cast(array() as array<{HIT_DDL}>)"
     fields = []

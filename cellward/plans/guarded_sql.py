@@ -19,17 +19,31 @@ from cellward.policy import COUNT_ALIAS, PERSON_COLUMN, GuardError, Policy
 from cellward.session import literal_table
 from cellward.sources.vocabulary import DEFAULT, Vocabulary
 
-# Parts of Spark's dialect that could forge the person count or leave the safe views:
-# generated rows, pivots, pipe syntax, scripts, calls into the JVM, substituted names.
+# Parts of Spark's dialect that could forge the person count, show rows of withheld cells, or
+# leave the safe views: generated rows, pivots, pipe syntax, scripts, calls into the JVM,
+# substituted names, filters of a single aggregate, windows, joins without a key.
 _FORBIDDEN = (
     r"(?i)\b(?:LATERAL|PIVOT|UNPIVOT|VALUES|TABLE|TABLESAMPLE|TRANSFORM|REFLECT|JAVA_METHOD|"
-    r"TRY_REFLECT|IDENTIFIER)\b|\|>|\$\{"
+    r"TRY_REFLECT|IDENTIFIER|OVER|WINDOW|WITHIN|CROSS|NATURAL|USING)\b|\bFILTER ?\(|\|>|\$\{"
 )
+# Scalar functions that may stand around or beside aggregates. Any other function is refused.
+_SCALARS = frozenset(
+    """abs ceil ceiling coalesce concat date_trunc extract floor length lower month nullif quarter
+    round substr substring trim upper year""".split()
+)
+_AGGREGATES = frozenset(a.lower() for a in st.AGGREGATES)
+# An aggregate may read one column as it is: a condition inside could single out a person.
+_AGGREGATE_CALL = re.compile(
+    rf"\b(?:{'|'.join(st.AGGREGATES)})\s*\(\s*(?:\*|(?:DISTINCT\s+)?[\w.]+)\s*\)", re.IGNORECASE
+)
+_ANY_AGGREGATE = re.compile(rf"\b(?:{'|'.join(st.AGGREGATES)})\s*\(", re.IGNORECASE)
 # One table after FROM or JOIN: a bare name with an optional alias, then join words.
 _TABLE_TERM = re.compile(
-    r"(\w+)(?: (?:AS )?\w+)??(?: (?:INNER|LEFT|RIGHT|FULL|OUTER|CROSS|SEMI|ANTI|NATURAL))*;?",
-    re.IGNORECASE,
+    r"(\w+)(?: (?:AS )?(\w+))??(?: (?:INNER|LEFT|RIGHT|FULL|OUTER|SEMI|ANTI))*;?", re.IGNORECASE
 )
+_KEY_EQUALITY = re.compile(r"(\w+)\.(\w+) ?= ?(\w+)\.(\w+)")
+_JOIN_WORDS = re.compile(r"(?: (?:INNER|LEFT|RIGHT|FULL|OUTER|SEMI|ANTI))+;?$", re.IGNORECASE)
+_COMMENT = re.compile(r"('[^']*'|\"[^\"]*\"|`[^`]*`)|--[^\r\n]*|/\*.*?\*/", re.DOTALL)
 
 _SESSION_SETTINGS = {
     "spark.sql.runSQLOnFiles": "false",  # no FROM parquet.`/path`
@@ -72,36 +86,90 @@ def check_sql(
     *,
     policy: Policy = Policy(),
 ) -> None:
-    """Raise ``GuardError`` unless the text passes every layer and reads only ``tables``."""
+    """Raise ``GuardError`` unless the text passes every layer, reads only ``tables``, joins them
+    by their keys, and shows nothing but group items and plain aggregates."""
     log = literal_table(session, [("1", text)], "request_id string, query string")
-    read = read_statements(verdicts(log, vocab, policy=policy))
+    read = read_statements(verdicts(log, vocab, policy=policy), vocab)
+    parts = F.col("_parts")
     facts = drop_derived(
         read.withColumns(
             {
-                "terms": st.table_terms(F.col("_parts")),
+                "code_text": F.col("_flat"),
+                "clauses": F.transform(parts, lambda s: F.struct(s["clause"], F.trim(s["text"]))),
+                "functions": F.transform(
+                    F.filter("_ids", lambda i: i["is_function"]), lambda i: i["name"]
+                ),
                 "forbidden": F.col("_flat").rlike(_FORBIDDEN),
-                "person_elsewhere": F.exists(
-                    F.col("_parts"),
-                    lambda s: s["clause"].isin("SELECT", "ORDER BY")
-                    & F.regexp_replace(s["text"], st.COUNT_WITHOUT_ALIAS, "").rlike(
-                        rf"(?i)\b{PERSON_COLUMN}\b"
-                    ),
+                "items": st.select_items(parts),
+                "counts": F.col("_counts"),
+                "person_order": F.exists(
+                    parts, lambda s: s["clause"].isin("ORDER BY", "HAVING") & st.names_person(s["text"])
                 ),
             }
         )
     ).first()
     if not facts["success"]:
         raise GuardError(facts["code"], facts["message"], facts["details"])
-    if facts["forbidden"]:
-        raise GuardError("E802", "the text uses a construct that guarded queries may not use")
-    allowed = {t.lower() for t in tables}
-    for term in facts["terms"]:
-        for item in term.split(","):
-            found = _TABLE_TERM.fullmatch(item.strip())
-            if found is None or found[1].lower() not in allowed:
-                raise GuardError("E101", f"'{item.strip()}' is not an approved table")
-    if facts["person_elsewhere"]:
+    right = {c["written"] for c in facts["counts"] if c["distinct"]}
+    person = re.compile(rf"(?<![\w$]){PERSON_COLUMN}(?![\w$])", re.IGNORECASE)
+    if facts["person_order"] or any(person.search(i) for i in facts["items"] if i not in right):
         raise GuardError("E305", "the person key may only be used in the distinct count")
+    if facts["forbidden"] or "/*+" in text:
+        raise GuardError("E802", "the text uses a construct that guarded queries may not use")
+    unknown = [f for f in facts["functions"] if f not in _SCALARS | _AGGREGATES]
+    if unknown:
+        raise GuardError("E802", f"guarded queries may not use the function '{unknown[0]}'")
+    if len(_ANY_AGGREGATE.findall(facts["code_text"])) != len(
+        _AGGREGATE_CALL.findall(facts["code_text"])
+    ):
+        raise GuardError("E802", "an aggregate may only read one column, without a condition")
+    _check_tables(session, [tuple(c) for c in facts["clauses"]], {t.lower() for t in tables})
+
+
+def _check_tables(session: SparkSession, clauses: list[tuple[str, str]], allowed: set[str]) -> None:
+    """Approved tables only. Every further table is tied by equal keys of the same name; tables
+    with the person key are all tied by it, so that a count of persons counts real ones."""
+    bound: dict[str, str] = {}
+    ties: list[tuple[str, str, str]] = []
+    joined = 0
+    for clause, text in clauses:
+        body = text[len(clause) :].strip() if text.upper().startswith(clause) else text
+        if clause in ("FROM", "JOIN"):
+            for item in body.split(","):
+                found = _TABLE_TERM.fullmatch(item.strip())
+                if found is None or found[1].lower() not in allowed:
+                    raise GuardError("E101", f"'{item.strip()}' is not an approved table")
+                bound[(found[2] or found[1]).lower()] = found[1].lower()
+                joined += 1
+        elif clause == "ON":
+            for term in re.split(r" AND ", _JOIN_WORDS.sub("", body), flags=re.IGNORECASE):
+                found = _KEY_EQUALITY.fullmatch(term.strip().rstrip(";").strip())
+                if found is None or found[2].lower() != found[4].lower() or not found[2].lower().endswith("_id"):
+                    raise GuardError("E802", f"'{term.strip()}' does not join two equal keys")
+                ties.append((found[1].lower(), found[3].lower(), found[2].lower()))
+    if len(bound) != joined:
+        raise GuardError("E802", "every table needs a name of its own")
+    if any(a == b or a not in bound or b not in bound for a, b, _ in ties):
+        raise GuardError("E802", "a join condition must name two tables of the text")
+    persons = {
+        name for name, table in bound.items()
+        if PERSON_COLUMN in (c.lower() for c in session.table(table).columns)
+    }
+    by_person = [(a, b) for a, b, key in ties if key == PERSON_COLUMN]
+    if not _connected(persons, by_person):
+        raise GuardError("E802", "tables with the person key must be joined by it")
+    if not _connected(set(bound), [(a, b) for a, b, _ in ties]):
+        raise GuardError("E802", "every table must be joined by a key")
+
+
+def _connected(names: set[str], ties: list[tuple[str, str]]) -> bool:
+    reached, before = set(sorted(names)[:1]), -1
+    while len(reached) != before:
+        before = len(reached)
+        for a, b in ties:
+            if {a, b} <= names and {a, b} & reached:
+                reached |= {a, b}
+    return reached == names
 
 
 def guarded_sql(
@@ -117,6 +185,8 @@ def guarded_sql(
     ``session`` comes from ``guarded_session``; ``tables`` are the names registered there.
     """
     check_sql(session, text, tables, vocab, policy=policy)
-    result = session.sql(text.rstrip().rstrip(";"))
+    # without comments: what the rules masked must not reach Spark
+    code = _COMMENT.sub(lambda m: m[1] or " ", text)
+    result = session.sql(code.rstrip().rstrip(";"))
     kept = result.where(F.col(COUNT_ALIAS) >= F.lit(policy.min_cell))
     return kept if policy.max_rows is None else kept.limit(policy.max_rows)

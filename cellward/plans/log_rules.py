@@ -109,8 +109,8 @@ def _(spark, sf_dir):
     FROM log JOIN wrong USING (kind) WHERE trim(query, {quoted(chars.WHITESPACE)}) <> ''""",
 )
 def _(spark, sf_dir):
-    code = F.col("_flat")
-    wrong = st.wrong_patient_count(code)
+    counts = F.col("_counts")
+    wrong = st.wrong_patient_count(counts)
     return (
         _read(spark, sf_dir)
         .where(~F.col("_blank"))
@@ -118,7 +118,7 @@ def _(spark, sf_dir):
             "request_id",
             wrong.alias("found_syntax"),
             F.when(wrong.isNotNull(), "E303")
-            .when(~st.has_patient_count(code), "E302")
+            .when(~st.has_patient_count(counts), "E302")
             .alias("code"),
         )
     )
@@ -133,7 +133,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return _read(spark, sf_dir).select(
-        "request_id", st.has_patient_count(F.col("_flat")).alias("has_count")
+        "request_id", st.has_patient_count(F.col("_counts")).alias("has_count")
     )
 
 
@@ -147,7 +147,7 @@ _rule(
     "global_aggregate",
     lambda t: t.global_aggregate,
     "is_global",
-    lambda: st.is_global_aggregate(F.col("_flat"), F.col("_squashed")),
+    lambda: st.is_global_aggregate(F.col("_flat"), F.col("_parts")),
 )
 _rule(
     "aggregate_misuse",

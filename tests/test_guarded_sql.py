@@ -79,6 +79,35 @@ def test_join(run):
         (f"SELECT collect_set(person_id) AS p, {COUNT} FROM person GROUP BY gender_concept_id",
          "E305"),
         (f"SELECT {COUNT} FROM person; SELECT 1", "E401"),
+        # persons counted who are not tied to the cell
+        ("SELECT p.gender_concept_id, COUNT(DISTINCT q.person_id) AS Count_Patients "
+         "FROM person p, person q GROUP BY p.gender_concept_id", "E802"),
+        ("SELECT p.gender_concept_id, COUNT(DISTINCT q.person_id) AS Count_Patients "
+         "FROM person p CROSS JOIN person q GROUP BY p.gender_concept_id", "E802"),
+        ("SELECT p.gender_concept_id, COUNT(DISTINCT q.person_id) AS Count_Patients FROM person p "
+         "JOIN condition_occurrence q ON p.person_id > 0 GROUP BY p.gender_concept_id", "E802"),
+        ("SELECT p.gender_concept_id, COUNT(DISTINCT q.person_id) AS Count_Patients FROM person p "
+         "JOIN condition_occurrence q ON p.person_id = q.person_id OR 1 = 1 "
+         "GROUP BY p.gender_concept_id", "E802"),
+        ("SELECT p.gender_concept_id, COUNT(DISTINCT q.person_id) AS Count_Patients FROM person p "
+         "JOIN condition_occurrence q ON p.person_id = p.person_id GROUP BY p.gender_concept_id",
+         "E802"),
+        (f"SELECT {COUNT} FROM person NATURAL JOIN condition_occurrence", "E802"),
+        # row values and withheld cells
+        (f"SELECT COLLECT_LIST(location_id) AS x, {COUNT} FROM person GROUP BY gender_concept_id",
+         "E802"),
+        (f"SELECT MAX(location_id) FILTER (WHERE location_id = 1001) AS x, {COUNT} FROM person",
+         "E802"),
+        (f"SELECT MAX(CASE WHEN location_id = 1001 THEN location_id END) AS x, {COUNT} FROM person",
+         "E802"),
+        (f"SELECT gender_concept_id, SUM(COUNT(DISTINCT person_id)) OVER () AS x, {COUNT} "
+         "FROM person GROUP BY gender_concept_id", "E802"),
+        # plans forced from the text
+        (f"SELECT /*+ BROADCAST(person) */ {COUNT} FROM person", "E802"),
+        (f"SELECT /*+ REPARTITION(1) */ {COUNT} FROM person", "E802"),
+        # the person key as a group item
+        (f"SELECT {COUNT} FROM person GROUP BY (person_id)", "E305"),
+        (f"SELECT {COUNT} FROM person GROUP BY person_id + 0", "E305"),
     ],
 )
 def test_ways_around_are_refused(run, text, code):
@@ -105,3 +134,24 @@ def test_files_by_path_are_unreachable(spark):
     session = guarded_session(spark, TABLES)
     assert session.conf.get("spark.sql.runSQLOnFiles") == "false"
     assert {t.name for t in session.catalog.listTables() if t.isTemporary} == set(TABLES)
+
+
+def test_comments_do_not_reach_spark(run):
+    text = f"SELECT gender_concept_id, {COUNT} FROM person -- all\n /* x */ GROUP BY gender_concept_id"
+    assert run(text).count() == 3
+
+
+def test_scalar_around_aggregate(run):
+    rows = run(f"SELECT ROUND(AVG(location_id), 1) AS place, AVG(location_id) + 1 AS more, {COUNT} FROM person").collect()
+    assert [tuple(r) for r in rows] == [(1149.5, 1150.5, 300)]
+
+
+def test_no_cartesian_product(run):
+    text = (
+        "SELECT p.gender_concept_id, COUNT(DISTINCT p.person_id) AS Count_Patients FROM person p "
+        "LEFT JOIN condition_occurrence c ON p.person_id = c.person_id GROUP BY p.gender_concept_id"
+    )
+    result = run(text)
+    assert result.count() == 3
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -87,7 +87,7 @@ def facts(log_of, text):
             st.identifiers(F.col("p")).alias("ids"),
             st.tables(F.col("p")).alias("tables"),
             st.group_by_columns(F.col("p")).alias("groups"),
-            st.is_global_aggregate(F.col("code"), F.col("sq")).alias("is_global"),
+            st.is_global_aggregate(F.col("code"), F.col("p")).alias("is_global"),
         )
         .first()
     )
@@ -169,3 +169,42 @@ def test_unknown_code_gets_default_guidance(spark):
     assert rows[0]["guidance"] == "Unknown error code"
     assert rows[0]["documentation"].endswith("/overview")
     assert rows[1]["guidance"] is None and rows[1]["documentation"] is None
+
+
+def test_any_depth_of_parentheses(log_of):
+    deep = "(" * 20 + "year_of_birth" + ")" * 20
+    text = (
+        f"SELECT {deep} AS y, COUNT(DISTINCT person_id) AS Count_Patients FROM person "
+        "GROUP BY COALESCE(a, FLOOR(b)), c, GROUPING SETS ((a, b), ())"
+    )
+    row = facts(log_of, text)
+    assert row["groups"] == ["COALESCE(a, FLOOR(b))", "c", "GROUPING SETS ((a, b), ())"]
+    code = st.flat(F.col("query"))
+    assert "(" not in one(log_of, text, lambda c: st.squash(st.flat(c)))
+    assert one(log_of, "a (b (c) d))", lambda c: st.squash(st.flat(c))).endswith(")")
+    assert one(log_of, "a ((b)", lambda c: st.squash(st.flat(c))).endswith("(")
+    assert code is not None
+
+
+def test_chunks_do_not_show(log_of):
+    """A text of many chunks is cut like a short one."""
+    text = ", ".join(f"f{i}(a, (b{i}))" for i in range(700))
+    items = one(log_of, text, st.top_level_items)
+    assert items == [f"f{i}(a, (b{i}))" for i in range(700)]
+
+
+def test_global_aggregates(log_of):
+    for text, want in (
+        ("SELECT COUNT(DISTINCT person_id) AS Count_Patients FROM t", True),
+        ("SELECT AVG(x) + 1, COUNT(*) FROM t", True),
+        ("SELECT ROUND(AVG(x), 1) AS r FROM t", True),
+        ("SELECT AVG(x) + y FROM t", False),
+        ("SELECT x, COUNT(*) FROM t", False),
+        ("SELECT MAX((((a + ((b)))))) m FROM t", True),
+    ):
+        assert facts(log_of, text)["is_global"] is want, text
+
+
+def test_quoted_names_are_no_keywords(log_of):
+    row = facts(log_of, 'SELECT "date", `rows`, range FROM t')
+    assert [i["name"] for i in row["ids"]] == ["date", "rows", "t"]
