@@ -146,15 +146,16 @@ def near_duplicate_groups(
     words: int = 5,
     similarity: float = 0.8,
     most_bits: int = 24,
-    keys: int = 8,
+    keys: int = 5,
     block: int = 512,
 ) -> DataFrame:
     """``(doc_id, component_id)`` of documents whose shingle sets have Jaccard ``similarity``.
 
     At this similarity fingerprints differ in about ten bits, too many for equal segments to
     narrow a search. So documents meet on their ``keys`` smallest shingle hashes (two sets of
-    similarity 0.8 share none of eight with a chance of about 3 in a million), the pigeonring
-    chains over eight segments prune with ``most_bits``, and the exact similarity decides.
+    similarity 0.8 share none of five with a chance of about 3 in 10 000), the pigeonring
+    chains over eight segments prune with ``most_bits``, and the similarity of the sets (of 32-bit
+    hashes, to spare disk) decides.
     Documents with equal shingle sets are one class. Groups that meet on one key are compared in
     blocks; a pair that is joined already is not compared again, as only components are asked.
     """
@@ -165,7 +166,7 @@ def near_duplicate_groups(
             for text in batch.column(1).to_pylist():
                 found = hashes(text or "", words)
                 unique = np.unique(found)
-                rows.append((fingerprint(found), unique[:keys].view("<i8").tolist(), unique.tobytes()))
+                rows.append((fingerprint(found), unique[:keys].view("<i8").tolist(), np.unique(unique >> np.uint64(32)).astype("<u4").tobytes()))
             fp, low, whole = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
@@ -176,11 +177,9 @@ def near_duplicate_groups(
     made = known.mapInArrow(sketch, "doc_id long, fp long, low array<long>, whole binary")
     made = cut(made.withColumn("mark", F.sha2("whole", 256)))
     classes = made.groupBy("mark").agg(F.min("doc_id").alias("rep"))
-    chosen = made.join(classes, (made.mark == classes.mark) & (made.doc_id == classes.rep), "left_semi")
-    chosen = chosen.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    met = block_pairs(
-        chosen.select("rep", F.explode("low").alias("key")), "key", "rep", block, chosen.select("rep", "fp", "whole")
-    )
+    narrow = made.select(F.col("doc_id").alias("rep"), "mark", "low")
+    chosen = narrow.join(classes, ["mark", "rep"]).select("rep", F.explode("low").alias("key")).distinct()
+    met = block_pairs(chosen, "key", "rep", block, made.select(F.col("doc_id").alias("rep"), "fp", "whole"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(small_batches(batches, 2000), ["key", "p", "q"]):
@@ -212,7 +211,7 @@ def similar_edges(group, similarity: float, most_bits: int) -> list[tuple[int, i
 
     def shingle_set(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = np.frombuffer(whole[i], "<u8")
+            sets[i] = np.frombuffer(whole[i], "<u4")
         return sets[i]
 
     found = []
