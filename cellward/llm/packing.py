@@ -32,7 +32,7 @@ LENGTH = 4096
 CLOSING = 2
 DIMS, AXES, BITS = 256, 4, 12
 #: Words which a worker remembers with their ids; when full, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Text in which words can be encoded one by one: Latin letters and no special token.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*\Z")
 _WORDS = re.compile(
@@ -51,23 +51,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        pieces = self.whole.get_vocab()
+        self.last = np.zeros(max(pieces.values()) + 1, bool)
+        self.last[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Words go through the tokenizer in lines; a piece that ends a word shows where it ends."""
+        lines = [words[at : at + 200] for at in range(0, len(words), 200)]
+        for at in range(0, len(lines), 50):
+            some = lines[at : at + 50]
+            for line, found in zip(some, self.whole.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)):
+                ids = np.array(found.ids, np.uint16)
+                ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+                if len(ends) != len(line):
+                    raise ValueError("the tokenizer does not end each word with one last piece")
+                raw = ids.tobytes()
+                self.known.update(zip(line, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall(t.lower()) if _PLAIN.match(t) and "<|" not in t else None for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known = self.known
-        new = list({w for words in split if words for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, found in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(found.ids, np.uint32).tobytes()
+        words: set[str] = set()
+        for own in split:
+            words.update(own or ())
+        self.learn(list(words.difference(self.known)))
+        look_up = self.known.__getitem__
         return [
-            np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-            if words is None
-            else np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
-            for text, words in zip(texts, split)
+            np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
+            if own is None
+            else np.frombuffer(b"".join(map(look_up, own)), np.uint16)
+            for text, own in zip(texts, split)
         ]
 
 
@@ -128,13 +143,13 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in small_batches(batches, 250):
-            ids = [np.append(i, np.uint32(CLOSING)) for i in own.encode([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [np.append(i, np.uint16(CLOSING)) for i in own.encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(curve_keys(ids), pa.int64()),
                     pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary()),
+                    pa.array([i.astype("<u2", copy=False).tobytes() for i in ids], pa.binary()),
                 ],
                 names=["doc_id", "key", "n", "ids"],
             )
