@@ -271,8 +271,9 @@ def item_name(item: Column) -> Column:
 
 
 def select_items(parts: Column) -> Column:
-    """Items of the first select list as written."""
-    first = F.try_element_at(_of(parts, "SELECT"), F.lit(1))
+    """Items of the outer select list as written: the first one, after a WITH clause the last."""
+    outer = F.when(parts[0]["text"].rlike(r"(?i)^\s*WITH\b"), F.lit(-1)).otherwise(F.lit(1))
+    first = F.try_element_at(_of(parts, "SELECT"), outer)
     return top_level_items(F.substring_index(_body(first), ";", 1))
 
 
@@ -316,9 +317,11 @@ def person_counts(parts: Column) -> Column:
 
     def one(item):
         distinct = F.regexp_extract(item, call, 1) != ""
-        name = F.when(distinct, F.regexp_extract(item, call + r" AS (\w+)", 2)).otherwise("")
-        declared = F.when(name != "", F.concat(F.lit(" AS "), name)).otherwise("")
-        written = F.concat(F.regexp_extract(item, call, 0), declared)
+        named = call + r" AS (\w+)"
+        name = F.when(distinct, F.regexp_extract(item, named, 2)).otherwise("")
+        written = F.when(name != "", F.regexp_extract(item, named, 0)).otherwise(
+            F.regexp_extract(item, call, 0)
+        )
         return F.struct(written.alias("written"), distinct.alias("distinct"), name.alias("name"))
 
     return F.transform(F.filter(items, lambda i: i.rlike(call)), one)

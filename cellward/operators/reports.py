@@ -193,7 +193,7 @@ def exact_percentile(
         covers = (F.col("_end") - F.col("_n") <= position) & (position < F.col("_end"))
         return F.max(F.when(covers, F.col("_v")))
 
-    return (
+    found = (
         placed.groupBy(*by)
         .agg(
             F.max("_total").alias("n"),
@@ -209,3 +209,11 @@ def exact_percentile(
         )
         .select(*by, "n", "value")
     )
+    if not by:
+        return found.withColumn("n", F.coalesce("n", zero))
+    # a group with nothing but nulls has no place in the counts
+    groups = df.select(*[F.col(c).alias(f"_by_{c}") for c in by]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return groups.join(found, same, "left").select(
+        *[F.col(f"_by_{c}").alias(c) for c in by], F.coalesce("n", zero).alias("n"), "value"
+    )

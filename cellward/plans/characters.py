@@ -9,7 +9,6 @@ from cellward.operators import conformance
 from cellward.plans.registry import query
 from cellward.plans.sample_log import LOG_SQL, quoted, sample_log
 from cellward.policy import Policy
-from cellward.session import spread
 from cellward.sources.tables import table
 
 _CLEAN = r"^[\x20-\x7E\t\n\r]*"
@@ -59,7 +58,7 @@ def _(spark, sf_dir):
     FROM c WHERE {_BAD}""",
 )
 def _(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return conformance.ascii_positions(docs, ["doc_id"], "text")
 
 

@@ -12,6 +12,7 @@ from cellward.plans.registry import query
 from cellward.plans.sample_log import values
 from cellward.policy import Policy
 from cellward.sources import catalog, tables
+from cellward.sources.tables import table
 
 PERSON_SQL = """person AS (
   SELECT c_custkey AS person_id, c_name AS patient_name, c_mktsegment AS gender_concept_id,
@@ -127,6 +128,48 @@ def _(spark, sf_dir):
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+_EXPOSED_SQL = """SELECT l_partkey % 25 AS drug_group, o_custkey AS person_id,
+      l_quantity AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def exposures_of_persons(spark, sf_dir):
+    """Every drug exposure with its person, who is known through the visit."""
+    visits = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("visit_occurrence_id"), F.col("o_custkey").alias("person_id")
+    )
+    facts = tables.drug_exposure(spark, sf_dir).join(visits, "visit_occurrence_id")
+    return facts.select("person_id", (F.col("drug_concept_id") % 25).alias("drug_group"), "quantity")
+
+
+@query(
+    "drug_exposure_count",
+    f"""WITH e AS ({_EXPOSED_SQL})
+    SELECT drug_group, count(DISTINCT person_id) AS Count_Patients FROM e
+    GROUP BY 1 HAVING count(DISTINCT person_id) >= 890""",
+)
+def _(spark, sf_dir):
+    return cells.guarded_aggregate(exposures_of_persons(spark, sf_dir), ["drug_group"], k=890)
+
+
+@query(
+    "drug_exposure_quantity",
+    f"""WITH e AS ({_EXPOSED_SQL})
+    SELECT drug_group, count(DISTINCT person_id) AS Count_Patients,
+           count(quantity) AS n_quantity, round(sum(quantity), 2) AS sum_quantity,
+           round(avg(quantity), 4) AS avg_quantity, min(quantity) AS min_quantity,
+           max(quantity) AS max_quantity FROM e
+    GROUP BY 1 HAVING count(DISTINCT person_id) >= 890""",
+)
+def _(spark, sf_dir):
+    facts = exposures_of_persons(spark, sf_dir)
+    per_person = cells.summarise_by_person(facts, "person_id", "quantity", ["drug_group"])
+    out = cells.guarded_summary(per_person, ["drug_group"], "quantity", k=890)
+    out = out.drop("stddev_quantity", "variance_quantity")
+    return out.withColumns(
+        {"sum_quantity": F.round("sum_quantity", 2), "avg_quantity": F.round("avg_quantity", 4)}
+    )
+
+
 @query(
     "suppression_report",
     f"""WITH {BOTH_SQL}, cells AS (

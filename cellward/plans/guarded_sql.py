@@ -34,7 +34,9 @@ _SCALARS = frozenset(
 _AGGREGATES = frozenset(a.lower() for a in st.AGGREGATES)
 # An aggregate may read one column as it is: a condition inside could single out a person.
 _AGGREGATE_CALL = re.compile(
-    rf"\b(?:{'|'.join(st.AGGREGATES)})\s*\(\s*(?:\*|(?:DISTINCT\s+)?[\w.]+)\s*\)", re.IGNORECASE
+    rf"\b(?:{'|'.join(st.AGGREGATES)})\s*\(\s*(?:\*|(?:DISTINCT\s+)?[\w.]+|"
+    r"CAST\s*\(\s*[\w.]+\s+AS\s+\w+\s*\))\s*\)",
+    re.IGNORECASE,
 )
 _ANY_AGGREGATE = re.compile(rf"\b(?:{'|'.join(st.AGGREGATES)})\s*\(", re.IGNORECASE)
 # One table after FROM or JOIN: a bare name with an optional alias, then join words.

@@ -12,7 +12,6 @@ from cellward.plans.sample_log import (
     HITS_SQL,
     LOG_SQL,
     VERDICT_SQL,
-    by_month,
     expected,
     log_from_orders,
     per_text,
@@ -35,7 +34,6 @@ _RESULT_SQL = (
     "CASE WHEN code IS NULL THEN 'PASS' WHEN code LIKE 'E8%' THEN 'ERROR' ELSE 'FAIL' END"
 )
 _TIME_SQL = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
-_MONTH_SQL = "strftime(date_trunc('month', ts), '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
 @query(
@@ -97,7 +95,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     path = fresh_path(spark, "verdicts")
-    made = v.verdicts(by_month(log(spark, sf_dir)))
+    made = v.verdicts(log(spark, sf_dir))
     audit_files.write_verdicts(made.drop("query", "message"), path)
     stored = spark.read.parquet(path)
     return stored.groupBy(F.year("dt").alias("year"), "success").agg(
@@ -277,18 +275,17 @@ def _(spark, sf_dir):
     f"""{_LOG}
     SELECT {_RESULT_SQL} AS validation_result, layer AS layer_failed, code AS error_code,
            count(*) AS n_records,
-           min({_MONTH_SQL}) AS first_seen
+           min({_TIME_SQL}) AS first_seen
     FROM log JOIN verdict USING (kind) GROUP BY 1, 2, 3""",
 )
 def _(spark, sf_dir):
     path = fresh_path(spark, "audit")
-    source = by_month(log_from_orders(_stream(spark, sf_dir, "orders")))
+    source = log_from_orders(_stream(spark, sf_dir, "orders"))
     streams.stream_audit(
         source,
         f"{path}/out",
         f"{path}/state",
         available_now=True,
-        partitions=spark.sparkContext.defaultParallelism,
     ).awaitTermination()
     stored = audit_files.read_audit(spark, f"{path}/out")
     return stored.groupBy("validation_result", "layer_failed", "error_code").agg(

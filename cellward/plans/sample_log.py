@@ -232,12 +232,6 @@ def log_from_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def by_month(log: DataFrame) -> DataFrame:
-    """The log with its times cut to the UTC month: it is far too thin to be stored by day."""
-    month = F.trunc(utc_day(F.col("ts")), "month")
-    return log.withColumn("ts", F.timestamp_seconds(F.unix_date(month).cast("long") * 86400))
-
-
 def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_from_orders(table(spark, sf_dir, "orders"))
 

@@ -19,7 +19,6 @@ from cellward.plans.sample_log import (
     values,
 )
 from cellward.policy import Policy
-from cellward.session import spread
 from cellward.sources import catalog
 from cellward.sources import vocabulary as voc
 from cellward.sources.tables import table
@@ -28,7 +27,7 @@ ALL_ERRORS = Policy(max_errors=None)
 
 
 def log(spark, sf_dir):
-    return spread(sample_log(spark, sf_dir), "request_id")
+    return sample_log(spark, sf_dir)
 
 
 # Names of a masked text by RE2: aliases, cast types, function names, numbers and keywords out.

@@ -1,8 +1,7 @@
-"""Helpers that depend on the session: shared folder, small literal tables, spreading."""
+"""Helpers that depend on the session: shared folder, small literal tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -14,15 +13,13 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a single-machine session without
-    that setting (tests) gets a temporary folder.
+    The cluster (or a test's session) names it in ``spark.checkpoint.dir``. What is written below
+    it stays until whoever owns the folder clears it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder which all executors share")
-    return tempfile.mkdtemp(prefix="cellward-")
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -40,17 +37,3 @@ def literal_table(spark: SparkSession, rows, ddl: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
     table = pa.table([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
     return spark.createDataFrame(table, schema)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores before CPU-heavy text work.
-
-    A large input already has far more splits than cores and passes through unchanged (no
-    shuffle). ``key`` must be unique per row, so that the partitions come out even and a lost
-    task recomputes exactly the same rows.
-    """
-    spark = df.sparkSession
-    wanted = spark.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, key)

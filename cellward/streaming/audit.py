@@ -1,7 +1,7 @@
 """The stateless audit as a stream, and the only stateful job: failures per hour.
 
-Rows behind the watermark are dropped; in append mode a window is emitted once the watermark
-has passed its end.
+In append and update mode rows behind the watermark are dropped, and in append mode a window is
+emitted once the watermark has passed its end; complete mode (``run_to_table``) keeps all.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cellward.operators.reports import audit_records
+from cellward.operators.reports import audit_records, utc_day
 from cellward.operators.verdicts import verdicts
 from cellward.policy import Policy
 from cellward.sources.audit_files import audit_lines
@@ -25,16 +25,18 @@ def stream_audit(
     *,
     policy: Policy = Policy(),
     available_now: bool = False,
-    partitions: int | None = None,
+    files_per_day: int = 1,
 ) -> StreamingQuery:
     """Append a log stream's audit records to day partitions of JSON lines.
 
-    The file sink with its checkpoint writes every record exactly once. ``partitions`` spreads
-    each batch over that many tasks, for sources which deliver a batch in few splits.
+    The file sink with its checkpoint writes every record exactly once. A batch writes at most
+    ``files_per_day`` files for a day: rows are gathered by day and a salt of the whole row, so
+    rows without an id are no hot key.
     """
-    if partitions is not None:
-        log = log.repartition(partitions, "request_id")
-    lines = audit_lines(audit_records(verdicts(log, vocab, policy=policy)))
+    salt = F.pmod(F.xxhash64("request_id", "query"), F.lit(files_per_day))
+    dealt = log.withColumns({"_dt": utc_day(F.col("ts")), "_salt": salt})
+    dealt = dealt.repartition("_dt", "_salt").drop("_dt", "_salt")
+    lines = audit_lines(audit_records(verdicts(dealt, vocab, policy=policy)))
     writer = (
         lines.writeStream.format("text")
         .outputMode("append")
