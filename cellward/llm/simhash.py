@@ -215,12 +215,19 @@ def similar_edges(group, similarity: float, most_bits: int) -> list[tuple[int, i
         return sets[i]
 
     found = []
-    for i in range(len(ids) - 1):
-        bits = prints[i + 1 :] ^ prints[i]
-        near = np.flatnonzero(chains(bits, most_bits) & (np.bitwise_count(bits) <= most_bits)) + i + 1
-        for j in near.tolist():
-            if not same and own[i] == own[j]:
-                continue
+    many = len(ids)
+    rows_at_once = max(1, (1 << 16) // many)
+    for at in range(0, many, rows_at_once):
+        rows = np.arange(at, min(many, at + rows_at_once))
+        asked = np.arange(many)[None, :] > rows[:, None]
+        if not same:
+            asked &= own[rows][:, None] != own[None, :]
+        left, right = np.nonzero(asked)
+        left = rows[left]
+        bits = prints[left] ^ prints[right]
+        near = np.flatnonzero(chains(bits, most_bits))
+        near = near[np.bitwise_count(bits[near]) <= most_bits]
+        for i, j in zip(left[near].tolist(), right[near].tolist()):
             x, y = find(i), find(j)
             if x == y:
                 continue
@@ -236,12 +243,14 @@ def similar_edges(group, similarity: float, most_bits: int) -> list[tuple[int, i
 
 def chains(bits: np.ndarray, most: int) -> np.ndarray:
     """``in_chain`` over eight segments, for an array of differing bits."""
-    ring = np.bitwise_count(bits.view(np.uint8).reshape(-1, 8)).astype(np.int64)
+    ring = np.bitwise_count(bits.view(np.uint8).reshape(-1, 8))
     twice = np.concatenate([ring, ring[:, :7]], axis=1)
+    budgets = np.minimum(np.arange(1, 9) * most // 8, 255).astype(np.uint8)
     found = np.zeros(len(bits), bool)
     for start in range(8):
-        sums = np.cumsum(twice[:, start : start + 8], axis=1)
-        found |= (sums * 8 <= np.arange(1, 9) * most).all(1)
+        open_ = np.flatnonzero(~found & (twice[:, start] <= budgets[0]))
+        sums = np.cumsum(twice[open_, start : start + 8], axis=1, dtype=np.uint8)
+        found[open_] = (sums <= budgets).all(1)
     return found
 
 
