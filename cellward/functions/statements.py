@@ -310,7 +310,8 @@ def person_counts(parts: Column) -> Column:
 
     Element: ``(written, distinct, name)``; ``name`` is the declared alias, '' without one.
     """
-    call = rf"(?i)^COUNT ?\( ?(DISTINCT )?(?:[\w$]++\.)*+{PERSON_COLUMN} ?\)"
+    # without DISTINCT only the bare key counts as a faulty person count
+    call = rf"(?i)^COUNT ?\( ?(?:(DISTINCT )(?:[\w$]++\.)*+)?{PERSON_COLUMN} ?\)"
     items = F.flatten(
         F.transform(_of(parts, "SELECT"), lambda s: top_level_items(_body(s)))
     )
