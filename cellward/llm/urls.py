@@ -99,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(repr, RULES))} AS r(host, path, verdict)")
     judged = judge_urls(table(spark, sf_dir, "pages"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
