@@ -96,7 +96,10 @@ def test_join(run):
         # row values and withheld cells
         (f"SELECT COLLECT_LIST(location_id) AS x, {COUNT} FROM person GROUP BY gender_concept_id",
          "E802"),
+        # (what stands after its WHERE is no select item)
         (f"SELECT MAX(location_id) FILTER (WHERE location_id = 1001) AS x, {COUNT} FROM person",
+         "E302"),
+        (f"SELECT {COUNT}, MAX(location_id) FILTER (WHERE location_id = 1001) AS x FROM person",
          "E802"),
         (f"SELECT MAX(CASE WHEN location_id = 1001 THEN location_id END) AS x, {COUNT} FROM person",
          "E802"),
