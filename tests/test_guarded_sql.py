@@ -104,7 +104,7 @@ def test_join(run):
         (f"SELECT MAX(CASE WHEN location_id = 1001 THEN location_id END) AS x, {COUNT} FROM person",
          "E802"),
         (f"SELECT gender_concept_id, SUM(COUNT(DISTINCT person_id)) OVER () AS x, {COUNT} "
-         "FROM person GROUP BY gender_concept_id", "E802"),
+         "FROM person GROUP BY gender_concept_id", "E305"),
         # plans forced from the text
         (f"SELECT /*+ BROADCAST(person) */ {COUNT} FROM person", "E802"),
         (f"SELECT /*+ REPARTITION(1) */ {COUNT} FROM person", "E802"),
