@@ -146,18 +146,18 @@ def near_duplicate_groups(
     words: int = 5,
     similarity: float = 0.8,
     most_bits: int = 24,
-    keys: int = 5,
+    keys: int = 8,
     block: int = 512,
 ) -> DataFrame:
     """``(doc_id, component_id)`` of documents whose shingle sets have Jaccard ``similarity``.
 
     At this similarity fingerprints differ in about ten bits, too many for equal segments to
     narrow a search. So documents meet on their ``keys`` smallest shingle hashes (two sets of
-    similarity 0.8 share none of five with a chance of about 3 in 10 000), the pigeonring
+    similarity 0.8 share none of eight with a chance of about 3 in a million), the pigeonring
     chains over eight segments prune with ``most_bits``, and the similarity of the sets (of 32-bit
     hashes, to spare disk) decides.
-    Documents with equal shingle sets are one class. Groups that meet on one key are compared in
-    blocks; a pair that is joined already is not compared again, as only components are asked.
+    Documents with equal shingle sets are one class. Keys on which the same documents meet count
+    once, so their sets are not sent again. Groups that meet on one key are compared in blocks; a pair that is joined already is not compared again, as only components are asked.
     """
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def near_duplicate_groups(
     classes = made.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     narrow = made.select(F.col("doc_id").alias("rep"), "mark", "low")
     chosen = narrow.join(classes, ["mark", "rep"]).select("rep", F.explode("low").alias("key")).distinct()
-    met = block_pairs(chosen, "key", "rep", block, made.select(F.col("doc_id").alias("rep"), "fp", "whole"))
+    met = block_pairs(distinct_groups(chosen), "key", "rep", block, made.select(F.col("doc_id").alias("rep"), "fp", "whole"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(small_batches(batches, 2000), ["key", "p", "q"]):
@@ -195,6 +195,16 @@ def near_duplicate_groups(
     return made.select("doc_id", "mark").join(named, "mark").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
+def distinct_groups(members: DataFrame) -> DataFrame:
+    """``members`` (distinct ``rep``, ``key``) of the smallest key of those with the same members;
+    groups of one are gone."""
+    groups = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("two")
+    )
+    first = groups.where("n > 1").groupBy("n", "one", "two").agg(F.min("key").alias("key"))
+    return members.join(first.select("key"), "key", "left_semi").select("rep", "key")
+
+
 def similar_edges(group, similarity: float, most_bits: int) -> list[tuple[int, int]]:
     """Edges that join the similar documents of one piece of work."""
     ids, own = group["rep"].to_numpy(), group["own"].to_numpy()

@@ -239,6 +239,29 @@ def test_near_duplicate_groups(spark, block):
     assert got == want and len(set(want.values())) < len(want)
 
 
+def test_near_duplicates_meet_on_eight_keys(spark):
+    """A copy with a passage appended whose shingles take the six smallest hashes of the two."""
+    draw = np.random.default_rng(8)
+    base = " ".join(f"w{x}" for x in draw.integers(0, 10**6, 200))
+    own = simhash.hashes(base, 5)
+    tail = []
+    while len(tail) < 6:
+        words = " ".join(f"t{x}" for x in draw.integers(0, 10**6, 5))
+        if simhash.hashes(words, 5)[0] < own.min():
+            tail.append(words)
+    longer = f"{base} {' '.join(tail)}"
+    low = [set(np.unique(simhash.hashes(t, 5))[:5].tolist()) for t in (base, longer)]
+    assert not low[0] & low[1]
+    docs = spark.createDataFrame([(1, base), (2, longer)], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()} == {1}
+
+
+def test_distinct_groups(spark):
+    rows = [(1, 10), (2, 10), (1, 11), (2, 11), (1, 12), (3, 12), (1, 13), (2, 13), (3, 13), (4, 14)]
+    left = simhash.distinct_groups(spark.createDataFrame(rows, "rep long, key long"))
+    assert sorted(map(tuple, left.collect())) == [(1, 10), (1, 12), (1, 13), (2, 10), (2, 13), (3, 12), (3, 13)]
+
+
 def test_simhash_odd(odd, none, clashing):
     for docs in (odd, clashing):
         rows = {r["doc_id"]: r for r in simhash.simhash_components(docs).collect()}
