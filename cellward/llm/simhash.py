@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from cellward.llm.common import block_pairs, components, cut, runs, small_batches, table
 
 SEED = 42
+#: Sets of fewer shingles are compared whatever their fingerprints.
+FEW = 16
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -155,7 +157,10 @@ def near_duplicate_groups(
     narrow a search. So documents meet on their ``keys`` smallest shingle hashes (two sets of
     similarity 0.8 share none of eight with a chance of about 3 in a million), the pigeonring
     chains over eight segments prune with ``most_bits``, and the similarity of the sets (of 32-bit
-    hashes, to spare disk) decides.
+    hashes, to spare disk) decides. Fingerprints are those of the distinct shingles, as repeats
+    count for nothing in the similarity; a pair at 0.8 has more than 24 differing bits with a
+    chance of about 2 in a million, and pairs with a set of fewer than ``FEW`` shingles, where it
+    would be up to 1 in 10 000, are not pruned.
     Documents with equal shingle sets are one class. Keys on which the same documents meet count
     once, so their sets are not sent again. Groups that meet on one key are compared in blocks; a pair that is joined already is not compared again, as only components are asked.
     """
@@ -166,7 +171,7 @@ def near_duplicate_groups(
             for text in batch.column(1).to_pylist():
                 found = hashes(text or "", words)
                 unique = np.unique(found)
-                rows.append((fingerprint(found), unique[:keys].view("<i8").tolist(), np.unique(unique >> np.uint64(32)).astype("<u4").tobytes()))
+                rows.append((fingerprint(unique), unique[:keys].view("<i8").tolist(), np.unique(unique >> np.uint64(32)).astype("<u4").tobytes()))
             fp, low, whole = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
@@ -212,6 +217,7 @@ def similar_edges(group, similarity: float, most_bits: int) -> list[tuple[int, i
     prints = group["fp"].to_numpy().view(np.uint64)
     sets: dict[int, np.ndarray] = {}
     whole = group["whole"].to_numpy()
+    sizes = np.array([len(w) // 4 for w in whole])
     root = list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -234,16 +240,16 @@ def similar_edges(group, similarity: float, most_bits: int) -> list[tuple[int, i
             asked &= own[rows][:, None] != own[None, :]
         left, right = np.nonzero(asked)
         left = rows[left]
+        fewest, most = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
+        alike = fewest >= similarity * most
+        left, right, few = left[alike], right[alike], fewest[alike] < FEW
         bits = prints[left] ^ prints[right]
-        near = np.flatnonzero(chains(bits, most_bits))
-        near = near[np.bitwise_count(bits[near]) <= most_bits]
+        near = np.flatnonzero(few | (chains(bits, most_bits) & (np.bitwise_count(bits) <= most_bits)))
         for i, j in zip(left[near].tolist(), right[near].tolist()):
             x, y = find(i), find(j)
             if x == y:
                 continue
             a, b = shingle_set(i), shingle_set(j)
-            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-                continue
             common = len(np.intersect1d(a, b, assume_unique=True))
             if common >= similarity * (len(a) + len(b) - common):
                 root[max(x, y)] = min(x, y)

@@ -262,6 +262,31 @@ def test_distinct_groups(spark):
     assert sorted(map(tuple, left.collect())) == [(1, 10), (1, 12), (1, 13), (2, 10), (2, 13), (3, 12), (3, 13)]
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """One changed word, and one line that the copy holds a hundred times."""
+
+    def text(seed, copies):
+        draw = np.random.default_rng(seed)
+        words = [f"w{x}" for x in draw.integers(0, 10**6, 320)]
+        line = " ".join(f"l{x}" for x in draw.integers(0, 10**6, 24))
+        words[100] = "changed" if copies > 1 else words[100]
+        return f"{' '.join(words)} {' '.join([line] * copies)}"
+
+    rows = [(2 * s + (n > 1), text(s, n)) for s in range(12) for n in (1, 100)]
+    sets = {d: five(t) for d, t in rows}
+    assert all(len(sets[2 * s] & sets[2 * s + 1]) >= 0.8 * len(sets[2 * s] | sets[2 * s + 1]) for s in range(12))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d in sets}
+
+
+def test_near_duplicates_of_few_shingles_are_not_pruned():
+    import pandas as pd
+
+    sets = [np.array(s, "<u4").tobytes() for s in ([1, 2, 3, 4], [1, 2, 3, 4, 5])]
+    group = pd.DataFrame({"rep": [1, 2], "own": [0, 0], "p": [0, 0], "q": [0, 0], "fp": [0, -1], "whole": sets})
+    assert simhash.similar_edges(group, 0.8, 24) == [(1, 2)]
+
+
 def test_simhash_odd(odd, none, clashing):
     for docs in (odd, clashing):
         rows = {r["doc_id"]: r for r in simhash.simhash_components(docs).collect()}
