@@ -15,6 +15,7 @@ left out; further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -161,7 +162,7 @@ def near_duplicate_groups(
     count for nothing in the similarity; a pair at 0.8 has more than 24 differing bits with a
     chance of about 2 in a million, and pairs with a set of fewer than ``FEW`` shingles, where it
     would be up to 1 in 10 000, are not pruned.
-    Documents with equal shingle sets are one class. Keys on which the same documents meet count
+    Documents with equal sets of whole 64-bit hashes are one class. Keys on which the same documents meet count
     once, so their sets are not sent again. Groups that meet on one key are compared in blocks; a pair that is joined already is not compared again, as only components are asked.
     """
 
@@ -171,16 +172,15 @@ def near_duplicate_groups(
             for text in batch.column(1).to_pylist():
                 found = hashes(text or "", words)
                 unique = np.unique(found)
-                rows.append((fingerprint(unique), unique[:keys].view("<i8").tolist(), np.unique(unique >> np.uint64(32)).astype("<u4").tobytes()))
-            fp, low, whole = zip(*rows)
+                rows.append((fingerprint(unique), unique[:keys].view("<i8").tolist(), np.unique(unique >> np.uint64(32)).astype("<u4").tobytes(), hashlib.sha256(unique.tobytes()).digest()))
+            fp, low, whole, mark = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(whole, pa.binary())],
-                names=["doc_id", "fp", "low", "whole"],
+                [batch.column(0), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(whole, pa.binary()), pa.array(mark, pa.binary())],
+                names=["doc_id", "fp", "low", "whole", "mark"],
             )
 
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    made = known.mapInArrow(sketch, "doc_id long, fp long, low array<long>, whole binary")
-    made = cut(made.withColumn("mark", F.sha2("whole", 256)))
+    made = cut(known.mapInArrow(sketch, "doc_id long, fp long, low array<long>, whole binary, mark binary"))
     classes = made.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     narrow = made.select(F.col("doc_id").alias("rep"), "mark", "low")
     chosen = narrow.join(classes, ["mark", "rep"]).select("rep", F.explode("low").alias("key")).distinct()

@@ -287,6 +287,16 @@ def test_near_duplicates_of_few_shingles_are_not_pruned():
     assert simhash.similar_edges(group, 0.8, 24) == [(1, 2)]
 
 
+def test_near_duplicate_classes_need_whole_hashes(spark):
+    """Short texts whose only shingles agree in the upper 32 bits of their hashes."""
+    texts = ["short note 35117", "short note 96794", "Short  note 96794"]
+    one, two, same = (int(simhash.hashes(t, 5)[0]) for t in texts)
+    assert one >> 32 == two >> 32 and one != two == same
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
 def test_simhash_odd(odd, none, clashing):
     for docs in (odd, clashing):
         rows = {r["doc_id"]: r for r in simhash.simhash_components(docs).collect()}
