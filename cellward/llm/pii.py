@@ -2,10 +2,14 @@
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by fixed rules. The
 method then learns from where they stand: the words around a base span are lexical patterns, the
-span's text is an instance. Single words that look like identifiers (some digits, or an ``@``)
-and are not in a base span are instances too, of no known kind. A pattern's confidence in a kind
-is the share of its distinct instances which are of that kind, where an unknown instance counts
-with its own score; an instance's score is the chance that one of its patterns is right. Both are
+span's text is an instance. What looks like an identifier and is in no base span is an instance
+too, of no known kind: single words of five characters or more with three digits or an ``@``, and
+runs of numbers (digits, dots, dashes, parentheses, a plus sign) joined by blanks and dashes, of
+any length and without a checksum. Numbers side by side are one run, as nothing tells where an
+identifier in it would end; its words remain instances, and count with the run once. A pattern's
+confidence in a kind is the share of its distinct instances which are of that kind, where an
+unknown instance counts with its own score; an instance's score is the chance that one of its
+patterns is right. Both are
 computed in turn, ``ROUNDS`` times, as joins and sums over the pattern-instance graph. Unknown
 instances with a score of ``ACCEPT`` or more are personal data wherever they were seen. A pattern
 counts only with ``SEEDS`` distinct base instances or more, so copies of one document teach nothing.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -38,7 +43,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\s]*[0-9@][^\s]*")
-_AROUND = 80
+_TOKEN = re.compile(r"\S+")
+_NUMBER = re.compile(r"[+(]*[0-9][0-9().+-]*")
+_JOINT = re.compile(r"[ \t\u00a0()-]+")
+_OUTER = ".,;:!?()[]{}<>\"'|"
+#: Longer words stand in a pattern as a digest of the characters next to the span, so that lists
+#: without white space neither fill the memory nor take quadratic time.
+_LONG, _NEXT_TO = 64, 1000
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -85,11 +96,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: two words before, two after, one on each side."""
-    before = text[max(0, start - _AROUND) : start].lower().split()
-    after = text[end : end + _AROUND].lower().split()
-    left, right = before[-2:], after[:2]
+def contexts(text: str, start: int, end: int, starts: list[int], ends: list[int]) -> list[str]:
+    """The lexical patterns around a span: two words before, two after, one on each side, however
+    far away. ``starts`` and ``ends`` are those of the text's words."""
+    i, j = bisect_left(starts, start), bisect_right(ends, end)
+    left = [_word(text[max(a, e - _NEXT_TO) : e]) for a, b in zip(starts[max(0, i - 2) : i], ends[max(0, i - 2) : i]) for e in [min(b, start)]]
+    right = [_word(text[a : min(b, a + _NEXT_TO)]) for s, b in zip(starts[j : j + 2], ends[j : j + 2]) for a in [max(s, end)]]
     found = []
     if len(left) == 2:
         found.append("l " + " ".join(left))
@@ -100,31 +112,94 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return found
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Base spans and unknown words that look like identifiers, with their patterns."""
-    found = [{"kind": k, "start": a, "end": b} for k, a, b in spans]
-    taken = sorted((a, b) for _, a, b in spans)
-    at = 0
+def _word(word: str) -> str:
+    return word.lower() if len(word) <= _LONG else "#" + _digest(word.lower())
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def numbers(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without brackets that do not belong to its numbers."""
+    while start < end and (text[start] not in "+(0123456789" or (text[start] == "(" and text.find(")", start, end) < 0)):
+        start += 1
+    while end > start and not "0" <= text[end - 1] <= "9":
+        end -= 1
+    return start, end
+
+
+def unknown_words(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Spans that look like identifiers outside of ``taken`` (in order): for every run of numbers
+    the whole of it first, if it has several words, then its words; other words alone."""
+    at, run, open_ = 0, [], False
+    last = 0
     for m in _WORD.finditer(text):
-        word = m[0].strip(".,;:!?()[]{}<>\"'|")
-        if len(word) < 5 or ("@" not in word and sum("0" <= c <= "9" for c in word) < 3):
-            continue
-        start = m.start() + m[0].index(word)
-        end = start + len(word)
+        inner = m[0].strip(_OUTER)
+        start = m.start() + m[0].index(inner)
+        end = start + len(inner)
+        core = m[0].strip(".,;:!?[]{}<>\"'|")
+        number = bool(_NUMBER.fullmatch(core))
+        if number:
+            start, end = numbers(text, m.start() + m[0].index(core), end)
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        if any(a < end and start < b for a, b in taken[at : at + 4]):
-            continue
-        found.append({"kind": -1, "start": start, "end": end})
+        held = any(a < end and start < b for a, b in taken[at : at + 4])
+        joined = open_ and number and not held and text[m.start()] not in "[{<\"'|" and _JOINT.fullmatch(text, last, m.start())
+        if run and not joined:
+            yield from _chosen(text, run)
+            run = []
+        if not held and inner:
+            run.append((start, end))
+        open_ = number and not held and m[0][-1] not in ".,;:!?]}>\"'|"
+        last = m.end()
+    if run:
+        yield from _chosen(text, run)
+
+
+def _chosen(text: str, run: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    like = lambda a, b: b - a >= 5 and ("@" in text[a:b] or sum("0" <= c <= "9" for c in text[a:b]) >= 3)
+    words = [x for x in run if like(*x)]
+    if len(run) == 1:
+        if words:
+            yield words
+        return
+    whole = numbers(text, run[0][0], run[-1][1])
+    # a first word such as "(017" had no closing bracket of its own
+    if whole[0] > 0 and text[whole[0] - 1] == "(" and text.find(")", *whole) >= 0 and "(" not in text[whole[0] : text.find(")", *whole)]:
+        whole = (whole[0] - 1, whole[1])
+    if like(*whole):
+        yield [whole, *words]
+    elif words:
+        yield words
+
+
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """Base spans and unknown words and runs that look like identifiers, with their patterns.
+
+    ``run`` tells equal runs, ``place`` the start of the run, ``whole`` what is all of it."""
+    found = [{"kind": k, "start": a, "end": b, "run": None, "place": a, "whole": True} for k, a, b in spans]
+    for group in unknown_words(text, sorted((a, b) for _, a, b in spans)):
+        first, end = group[0]
+        run = _digest(text[first:end]) if len(group) > 1 else None
+        for a, b in group:
+            found.append({"kind": -1, "start": a, "end": b, "run": run, "place": first, "whole": (a, b) == group[0]})
+    if found:
+        words = [m.span() for m in _TOKEN.finditer(text)]
+        starts, ends = [a for a, _ in words], [b for _, b in words]
     for x in found:
         x["instance"] = text[x["start"] : x["end"]]
-        x["patterns"] = contexts(text, x["start"], x["end"])
+        x["run"] = x["run"] or x["instance"]
+        x["patterns"] = contexts(text, x["start"], x["end"], starts, ends)
     return found
 
 
-_MENTION = "struct<kind:int, start:long, end:long, instance:string, patterns:array<string>>"
+_MENTION = "struct<kind:int, start:long, end:long, run:string, place:long, whole:boolean, instance:string, patterns:array<string>>"
 _ARROW = pa.struct(
-    [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]
+    [
+        ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("run", pa.string()), ("place", pa.int64()), ("whole", pa.bool_()),
+        ("instance", pa.string()), ("patterns", pa.list_(pa.string())),
+    ]
 )
 
 
@@ -153,27 +228,29 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, accept
     """``(instance, kind)`` of the unknown instances which the graph makes personal data.
 
     ``seen``: rows of single mentions. Every distinct (pattern, instance) is one edge. Patterns
-    without enough base instances, and instances without such a pattern, take no part.
+    without enough base instances, and instances without such a pattern, take no part. A run of
+    numbers and its words are one instance to a pattern, with the best of their scores.
     """
-    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
+    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind", "run").distinct()
     seeded = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
     seeded = cut(seeded.where(F.col("seeds") >= seeds))
     all_of = edges.join(seeded.select("pattern").distinct(), "pattern", "left_semi")
-    totals = all_of.groupBy("pattern").agg(F.count_distinct("instance").alias("all"))
+    totals = all_of.groupBy("pattern").agg(F.count_distinct("run").alias("all"))
     patterns = cut(seeded.join(totals, "pattern"))
     unknown = cut(edges.where("kind < 0").drop("kind").join(patterns.select("pattern").distinct(), "pattern", "left_semi"))
     scores = None
     for _ in range(rounds):
         known = patterns
         if scores is not None:
-            gained = unknown.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
+            gained = unknown.join(scores, "instance").groupBy("pattern", "kind", "run").agg(F.max("score").alias("score"))
+            gained = gained.groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
             known = patterns.join(gained, ["pattern", "kind"], "left")
         else:
             known = known.withColumn("gained", F.lit(0.0))
         sure = known.select("pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("all")).alias("sure"))
         wrong = F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))
         scores = cut(
-            unknown.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(wrong))).alias("score"))
+            unknown.drop("run").distinct().join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(wrong))).alias("score"))
         )
     best = scores.groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"))).alias("best"))
     return best.where(F.col("best.score") >= accept).select("instance", (-F.col("best")["col2"]).alias("kind"))
@@ -183,7 +260,12 @@ def _further(scanned: DataFrame, **graph) -> DataFrame:
     """``(mark, more)``: the discovered spans of the rows with ``mark``."""
     one = scanned.where(F.size("mentions") > 0).select("mark", F.explode("mentions").alias("m")).select("mark", "m.*")
     more = one.where("kind < 0").drop("kind").join(discovered(one, **graph), "instance")
-    return more.groupBy("mark").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
+    # of a run that was found as a whole, its words are not listed again
+    runs = more.groupBy("mark", "place").agg(
+        F.collect_set(F.struct("kind", "start", "end", "whole")).alias("inside"), F.bool_or("whole").alias("all")
+    )
+    one = runs.select("mark", "all", F.explode("inside").alias("s")).where("s.whole OR NOT all")
+    return one.groupBy("mark").agg(F.collect_set(F.struct("s.kind", "s.start", "s.end")).alias("more"))
 
 
 def find(docs: DataFrame, **graph) -> DataFrame:

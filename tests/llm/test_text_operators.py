@@ -380,6 +380,37 @@ def test_contexts_find_unseen_identifiers(spark):
     assert redacted[40] == "build id 9000000 is ready here"
 
 
+def test_contexts_find_spaced_identifiers(spark):
+    """A spaced card that fails the checksum, a phone without plus sign, contexts far away."""
+    cards = ["4111111111111111", "5500 0055 5555 5559", "4012888888881881", "6011-0009-9013-9424", "3530111333300000", "5105105105105100"]
+    rows = [(i, f"please charge card {c} right now thank you") for i, c in enumerate(cards)]
+    rows += [(10 + i, f"call me under +1 (555) 010-77{i:02d} any time you like") for i in range(6)]
+    far, long = " " * 200, "x" * 150
+    rows += [(20 + i, f"{long} mailto{far}a{i}@mail.example.org{far}or {long}") for i in range(6)]
+    new = [
+        (30, "please charge card 4929 1111 2222 3333 right now thank you", "<CARD>"), (31, "call me under (017) 555-7713 any time you like", "<PHONE>"),
+        (32, "call me under 017 555 7714, any time", None), (33, f"{long} mailto{far}admin@localhost{far}or {long}", "<EMAIL>"),
+        (34, "in 1999 1111 2222 people came", None),
+    ]
+    docs = spark.createDataFrame(rows + [x[:2] for x in new], "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find(docs).collect()}
+    assert spans[30] == [(2, 19, 38)] and spans[31] == [(3, 14, 28)] and spans[34] == []
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert redacted[31] == "call me under <PHONE> any time you like" and redacted[34] == new[4][1]
+    assert redacted[33] == f"{long} mailto{far}<EMAIL>{far}or {long}"
+
+
+def test_mentions_of_runs():
+    found = lambda text: [text[m["start"] : m["end"]] for m in pii.mentions(text, pii.base_spans(text)) if m["kind"] < 0]
+    assert found("a (017) 555-7713, b 12 34") == ["(017) 555-7713", "555-7713", "12 34"]
+    assert found("see (017 555 7713) and (x12345)") == ["017 555 7713", "x12345"]
+    assert found("4929 1111. 2222 33333") == ["4929 1111", "2222 33333", "33333"]
+    assert found("tel (017)5557713; 1\n2\n3") == ["(017)5557713"]
+    assert found("no 1 22 a") == []
+    for unit in ("1 ", "12345 ", "a@b,", "(1) ", "1234\n", "1-"):
+        assert pii.mentions(unit * 20_000, []) is not None
+
+
 def test_personal_data_odd(odd, none, clashing):
     for docs in (odd, clashing):
         rows = pii.find(docs).collect()
