@@ -163,6 +163,19 @@ def test_embedding_recall_at_the_threshold():
         assert met.mean() >= least
 
 
+@pytest.mark.parametrize("dims", [16, 32, 128])
+def test_embedding_recall_of_other_lengths(dims):
+    draw = np.random.default_rng(3)
+    a = lattice.unit_rows(list(draw.normal(size=(1000, dims))))
+    own = lattice.Lattice(dims)
+    for cosine, least in ((0.9, 0.9), (0.95, 0.99)):
+        off = draw.normal(size=a.shape)
+        off -= (off * a).sum(1, keepdims=True) * a
+        b = cosine * a + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+        met = lattice.first_meeting(own.cells(a), own.cells(b)) < np.iinfo(np.int64).max
+        assert met.mean() >= least
+
+
 def test_nearest_lattice_point():
     draw = np.random.default_rng(4)
     x = draw.uniform(-2, 2, (300, 8))
