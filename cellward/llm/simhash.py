@@ -168,23 +168,34 @@ def near_duplicate_groups(
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
-            rows = []
+            low, mark = [], []
             for text in batch.column(1).to_pylist():
-                found = hashes(text or "", words)
-                unique = np.unique(found)
-                rows.append((fingerprint(unique), unique[:keys].view("<i8").tolist(), np.unique(unique >> np.uint64(32)).astype("<u4").tobytes(), hashlib.sha256(unique.tobytes()).digest()))
-            fp, low, whole, mark = zip(*rows)
+                unique = np.unique(hashes(text or "", words))
+                low.append(unique[:keys].view("<i8").tolist())
+                mark.append(hashlib.sha256(unique.tobytes()).digest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(whole, pa.binary()), pa.array(mark, pa.binary())],
-                names=["doc_id", "fp", "low", "whole", "mark"],
+                [batch.column(0), pa.array(low, pa.list_(pa.int64())), pa.array(mark, pa.binary())], names=["doc_id", "low", "mark"]
+            )
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 500):
+            fp, whole = [], []
+            for text in batch.column(1).to_pylist():
+                unique = np.unique(hashes(text or "", words))
+                fp.append(fingerprint(unique))
+                whole.append(np.unique(unique >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fp, pa.int64()), pa.array(whole, pa.binary())], names=["rep", "fp", "whole"]
             )
 
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    made = cut(known.mapInArrow(sketch, "doc_id long, fp long, low array<long>, whole binary, mark binary"))
+    made = cut(known.mapInArrow(sketch, "doc_id long, low array<long>, mark binary"))
+    # the sets are made again where they are compared, which takes less disk than keeping them
+    carry = known.mapInArrow(sets, "rep long, fp long, whole binary")
     classes = made.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     narrow = made.select(F.col("doc_id").alias("rep"), "mark", "low")
     chosen = narrow.join(classes, ["mark", "rep"]).select("rep", F.explode("low").alias("key")).distinct()
-    met = block_pairs(distinct_groups(chosen), "key", "rep", block, made.select(F.col("doc_id").alias("rep"), "fp", "whole"))
+    met = block_pairs(distinct_groups(chosen), "key", "rep", block, carry)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(small_batches(batches, 2000), ["key", "p", "q"]):
