@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellward.llm import chat, imatch, language, lattice, mixing, packing, pii, simhash, tokens, urls
+from cellward.llm import chat, imatch, language, lattice, mixing, packing, periodic, pii, simhash, tokens, urls
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         urls.op8_url_filters,
         pii.op9_personal_data,
         packing.op10_curve_packing,
+        periodic.op12_periodic_runs,
     )
 }
 SQL = {
