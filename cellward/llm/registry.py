@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellward.llm import chat, imatch, language, lattice, mixing, packing, periodic, pii, simhash, tokens, urls
+from cellward.llm import chat, imatch, language, lattice, mixing, negatives, packing, periodic, pii, simhash, tokens, urls
 
 QUERIES = {
     f.__name__: f
@@ -17,10 +17,12 @@ QUERIES = {
         urls.op8_url_filters,
         pii.op9_personal_data,
         packing.op10_curve_packing,
+        negatives.op11_hard_negatives,
         periodic.op12_periodic_runs,
     )
 }
 SQL = {
     "op3_chat_formatting": chat.OP3_SQL,
     "op8_url_filters": urls.OP8_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }

@@ -1,0 +1,96 @@
+"""Hard negatives against brute force, and on odd tables."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cellward.llm import negatives
+
+KIND = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, anchors, k=5, n=5, low=80, high=100):
+    """Rows are (vec_id, whole-number vector, label), one for each row of the table."""
+    last = lambda v: float("inf") if v is None else v
+    out = []
+    for i, (aid, av, al) in enumerate(rows):
+        if not anchors(aid):
+            continue
+        scored = sorted(
+            ((-sum(x * y for x, y in zip(av, v)), last(vid), vid, lab) for j, (vid, v, lab) in enumerate(rows) if j != i and len(v) == len(av)),
+            key=lambda r: r[:2],
+        )
+        for s, _, pid, _ in [r for r in scored if r[3] == al][:k]:
+            inside = [r for r in scored if r[3] != al and low * -s <= 100 * -r[0] <= high * -s][:n]
+            out += [(aid, pid, r + 1, nid, -s, -t) for r, (t, _, nid, _) in enumerate(inside)]
+    return sorted(out, key=repr)
+
+
+def whole(rows):
+    """What of a table takes part, by the query's own change of labels."""
+    made = []
+    for vid, v, lab in rows:
+        if lab is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        moved = (lab + 1) % 10 if vid is not None and vid % 7 == 0 else lab
+        made.append((vid, [int(np.floor(256 * float(x))) for x in v], moved))
+    return made
+
+
+def mined(df, **sizes):
+    rows = negatives.whole_vectors(negatives.moved_labels(df))
+    return negatives.mine_negatives(rows, F.col("vec_id") % 100 == 0, **sizes)
+
+
+def test_query_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    got = sorted(map(tuple, negatives.op11_hard_negatives(spark, "/root/testdata/sf0.001").collect()), key=repr)
+    assert got == brute(whole(rows), lambda i: i is not None and i % 100 == 0) and got
+
+
+@pytest.mark.parametrize("sizes", [{}, {"candidates": 7, "anchors": 2, "step": 1}, {"candidates": 40, "anchors": 1, "step": 3}])
+def test_ties_nulls_and_blocks(spark, sizes):
+    draw = np.random.default_rng(5)
+    rows = []
+    for i in range(260):
+        size = 4 if i % 9 else 3
+        v = [float(x) for x in draw.integers(-2, 3, size) / 2]  # many equal scores
+        rows.append((int(draw.integers(0, 12)) * 25 if i % 4 else i, v, int(draw.integers(0, 3))))
+    rows += rows[:6]  # repeated rows
+    nan, inf = float("nan"), float("inf")
+    odd = [
+        (None, [1.0, 1.0, 1.0, 1.0], 0), (None, None, 1), (300, [0.0, 0.0, 0.0, 0.0], 1), (400, [], 2), (500, [], 2), (7, None, 0),
+        (600, [nan, 0.0, 0.0, 0.0], 0), (700, [inf, 0.0, 0.0, 0.0], 0), (800, [None, 1.0, 1.0, 1.0], 0), (900, [1.0, 1.0, 1.0, 1.0], None),
+    ]
+    rows += odd
+    df = spark.createDataFrame(rows, KIND).withColumns({n: F.lit("clash") for n in ("key", "score", "rank", "anchor", "p", "q", "vector")})
+    got = sorted(map(tuple, mined(df.repartition(5), **sizes).collect()), key=repr)
+    assert got == brute(whole(rows), lambda i: i is not None and i % 100 == 0) and got
+
+
+def test_large_components_are_exact(spark):
+    # products beyond the 53 bits of a double, and a component too large for 64-bit scores
+    rows = [(100, [1e5, 3.0], 1), (1, [1e5 + 0.0078125, 1.0], 1), (2, [1e5, 1.0], 2), (3, [1e5, 2.0], 2), (4, [1e30, 1.0], 2), (5, [9e4, 1.0], 2)]
+    df = spark.createDataFrame(rows, KIND.replace("float", "double"))
+    got = sorted(map(tuple, mined(df).collect()))
+    assert got == brute(whole([r for r in rows if r[0] != 4]), lambda i: i == 100) and got
+
+
+def test_empty(spark):
+    assert mined(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_threshold_stops_before_the_end():
+    draw = np.random.default_rng(1)
+    vectors = draw.integers(-9, 10, (4000, 2)).astype(np.int64)
+    vectors[:20] *= 100
+    lists = negatives.Lists(np.arange(4000), np.arange(4000), vectors)
+    best, seen = negatives.Best(5), 0
+    for at, scores, threshold in lists.read(np.array([3, -2]), 16):
+        best.add(at, scores)
+        seen += len(at)
+        if best.complete(threshold):
+            break
+    assert seen < 200
+    want = np.lexsort((np.arange(4000), -(vectors @ [3, -2])))[:5]
+    assert best.at.tolist() == want.tolist()
