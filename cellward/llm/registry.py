@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellward.llm import chat, imatch, language, lattice, mixing, negatives, packing, periodic, pii, simhash, tokens, urls
+from cellward.llm import chat, imatch, language, lattice, mixing, negatives, packing, periodic, pii, scoring, simhash, tokens, urls
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         packing.op10_curve_packing,
         negatives.op11_hard_negatives,
         periodic.op12_periodic_runs,
+        scoring.op13_context_mixing,
     )
 }
 SQL = {
