@@ -42,8 +42,13 @@ _CLAUSE_START = r"(?i)(?=\b(?:" + "|".join(CLAUSES) + r")\b)"
 _IDENTIFIER = (
     rf"(?i)\bAS\s+(?:\w++|{_QUOTED})|((?:[A-Za-z_.][\w.$]*+|{_QUOTED})++(?:\s*\()?)"
 )
-# Calls of aggregates, parentheses and commas, words, and what stands between them.
-_TOKENS = r"(?i)(?:" + "|".join(AGGREGATES) + r")\s*\(|[(),]|[\w$]++|[^\w$(),]++"
+# Parentheses with the text up to the next one.
+_PIECES = r"[()][^()]*+|[^()]++"
+_CALL = r"(?i)\b(?:" + "|".join(AGGREGATES) + r")\s*\("
+# An aggregate's call without parentheses inside.
+_PLAIN_CALL = _CALL + r"[^()]*+\)"
+# Calls of aggregates, parentheses, words, and what stands between them.
+_TOKENS = r"(?i)(?:" + "|".join(AGGREGATES) + r")\s*\(|[()]|[\w$]++|[^\w$()]++"
 _CHUNK = 256
 _CUT = "\x01"
 
@@ -65,41 +70,28 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _walk(code: Column, emit) -> Column:
-    """One pass over the tokens with a running depth of parentheses, however deep they are.
+def _fold(parts: Column, begin: Column, step, emit) -> Column:
+    """``parts`` rewritten and joined again, with a state that runs along them.
 
-    ``emit(state, token)`` says what a token becomes; ``state`` has the ``depth`` in front of it
-    and ``inside``, the depth of the outermost open aggregate call (0 for none). Tokens are taken
-    in chunks, so that a huge text is not copied once for each of its tokens.
+    ``step(state, part)`` is the state after a part, ``emit(state, part)`` its new text, given the state
+    in front of it. Parts are taken in chunks, so that a huge text is not copied once for each part.
     """
 
-    def step(state, token):
-        opens, closes = token.endswith("("), token == ")"
-        depth = state["depth"] + opens.cast("int") - closes.cast("int")
-        inside = (
-            F.when((state["inside"] == 0) & opens & (token != "("), depth)
-            .when(closes & (depth < state["inside"]), 0)
-            .otherwise(state["inside"])
-        )
-        return F.struct(depth.alias("depth"), inside.alias("inside"))
-
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("inside"))
-
     def rewrite(chunk, state):
         return F.aggregate(
             chunk,
             F.struct(state.alias("state"), F.lit("").alias("text")),
-            lambda done, token: F.struct(
-                step(done["state"], token).alias("state"),
-                F.concat(done["text"], emit(done["state"], token)).alias("text"),
+            lambda done, part: F.struct(
+                step(done["state"], part).alias("state"),
+                F.concat(done["text"], emit(done["state"], part)).alias("text"),
             ),
             lambda done: done["text"],
         )
 
-    def chunked(tokens):
+    def chunked(parts):
         return F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)), F.lit(_CHUNK)),
-            lambda at: F.slice(tokens, at + 1, _CHUNK),
+            F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(_CHUNK)),
+            lambda at: F.slice(parts, at + 1, _CHUNK),
         )
 
     def joined(chunks):
@@ -112,40 +104,88 @@ def _walk(code: Column, emit) -> Column:
         )
         return F.array_join(F.zip_with(chunks, states, rewrite), "")
 
-    tokens = F.regexp_extract_all(code, F.lit(_TOKENS), F.lit(0))
-    return _once(tokens, lambda t: _once(chunked(t), joined))
+    return _once(parts, lambda p: _once(chunked(p), joined))
 
 
-def squash(code: Column) -> Column:
-    """Parenthesised parts replaced by ``{}``. A ``(`` or ``)`` that is left means unbalanced."""
+def _turn(part: Column) -> Column:
+    """What a part does to the depth of parentheses."""
+    return F.when(part.startswith("("), 1).when(part.startswith(")"), -1).otherwise(0)
 
-    def emit(state, token):
-        shown = F.when(
-            token.endswith("("), F.concat(F.rtrim(token, F.lit("( ")), F.lit("{}"))
-        ).otherwise(token)
-        return F.when(state["depth"] == 0, shown).when(state["depth"] < 0, ")").otherwise("")
 
-    opened = F.regexp_count(code, F.lit(r"\(")) - F.regexp_count(code, F.lit(r"\)"))
-    return F.concat(_walk(code, emit), F.when(opened > 0, "(").otherwise(""))
+def is_balanced(code: Column) -> Column:
+    """Whether every parenthesis has its partner.
+
+    Pairs that stand directly in one another are taken out; only what a text of unusual depth leaves
+    over is folded to its depth and lowest depth. The code itself is never rebuilt.
+    """
+    rest = F.regexp_replace(code, r"[^()]++", "")
+    for _ in range(4):
+        rest = F.replace(rest, F.lit("()"), F.lit(""))
+
+    def deep(rest):
+        return F.aggregate(
+            F.regexp_extract_all(rest, F.lit(r"[()]"), F.lit(0)),
+            F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low")),
+            lambda done, paren: F.struct(
+                (done["depth"] + _turn(paren)).alias("depth"),
+                F.least(done["low"], done["depth"] + _turn(paren)).alias("low"),
+            ),
+            lambda done: (done["depth"] == 0) & (done["low"] == 0),
+        )
+
+    return _once(rest, lambda r: F.when(r == "", True).otherwise(deep(r)))
 
 
 def top_level_items(code: Column) -> Column:
     """The text cut at the commas outside of all parentheses."""
-    marked = _walk(
-        F.translate(code, _CUT, " "),
-        lambda state, token: F.when((token == ",") & (state["depth"] == 0), _CUT).otherwise(token),
-    )
-    return F.transform(F.split(marked, _CUT), lambda item: F.trim(item))
+
+    def marked(code):
+        return _fold(
+            F.regexp_extract_all(F.translate(code, _CUT, " "), F.lit(_PIECES), F.lit(0)),
+            F.lit(0),
+            lambda depth, part: depth + _turn(part),
+            lambda depth, part: F.when(depth + _turn(part) == 0, F.translate(part, ",", _CUT)).otherwise(part),
+        )
+
+    def cut(code):
+        plain = ~code.contains("(") & ~code.contains(")")
+        return F.when(plain, F.split(code, ",")).otherwise(F.split(marked(code), _CUT))
+
+    return F.transform(_once(code, cut), lambda item: F.trim(item))
 
 
 def without_aggregates(code: Column) -> Column:
-    """Aggregate calls with all their arguments replaced by ``{}``."""
+    """Aggregate calls with all their arguments replaced by ``{}``.
+
+    A call whose arguments hold no parentheses is replaced as text; where another one is left, the
+    tokens are folded to their depth and that of the outermost open call (0 for none).
+    """
+
+    def step(state, token):
+        opens, closes = token.endswith("("), token == ")"
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        inside = (
+            F.when((state["inside"] == 0) & opens & (token != "("), depth)
+            .when(closes & (depth < state["inside"]), 0)
+            .otherwise(state["inside"])
+        )
+        return F.struct(depth.alias("depth"), inside.alias("inside"))
 
     def emit(state, token):
         call = token.endswith("(") & (token != "(")
         return F.when(state["inside"] > 0, "").when(call, "{}").otherwise(token)
 
-    return _walk(code, emit)
+    def folded(code):
+        tokens = F.regexp_extract_all(code, F.lit(_TOKENS), F.lit(0))
+        return _fold(tokens, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("inside")), step, emit)
+
+    def plain(code):
+        return _once(
+            F.regexp_replace(code, _PLAIN_CALL, "{}"),
+            lambda text: F.when(~text.rlike(_CALL), text).otherwise(folded(code)),
+        )
+
+    return _once(code, lambda c: F.when(~c.contains("("), c).otherwise(plain(c)))
 
 
 def statements(code: Column) -> Column:
@@ -177,6 +217,18 @@ def _of(parts: Column, *clauses: str) -> Column:
     return F.filter(parts, lambda s: s["clause"].isin(*clauses))
 
 
+def lists(parts: Column) -> Column:
+    """The select and group lists of a statement, from its ``segments``: ``(clause, items)``, items as
+    written. All rules about lists read these, so that each list is cut once."""
+    return F.transform(
+        _of(parts, "SELECT", "GROUP BY"),
+        lambda s: F.struct(
+            s["clause"].alias("clause"),
+            top_level_items(F.substring_index(_body(s), ";", 1)).alias("items"),
+        ),
+    )
+
+
 def identifiers(parts: Column, listed=()) -> Column:
     """Ordered names of a statement with their clause, from its ``segments``.
 
@@ -218,17 +270,27 @@ def aliases(code: Column) -> Column:
     return F.transform(found, normal_name)
 
 
-def tables(parts: Column) -> Column:
-    """Tables named after FROM (also in a comma list) and JOIN, in normal form."""
+def bound_tables(parts: Column) -> Column:
+    """Tables named after FROM (also in a comma list) and JOIN, in order: ``(name, alias)`` in normal
+    form. A table without an alias goes by its own name."""
 
-    def name(item):
-        first = F.regexp_extract(F.trim(item), rf"^((?:[\w.$]|{_QUOTED})++)", 1)
-        return normal_name(F.substring_index(first, ".", -1))
+    def one(item):
+        term = rf"^((?:[\w.$]|{_QUOTED})++)(?: (?:(?i)AS )?([\w$]++|{_QUOTED}))?"
+        name = normal_name(F.substring_index(F.regexp_extract(item, term, 1), ".", -1))
+        alias = normal_name(F.regexp_extract(item, term, 2))
+        joins = alias.isin("left", "right", "inner", "full", "outer", "cross", "natural", "semi", "anti", "")
+        return F.struct(name.alias("name"), F.when(joins, name).otherwise(alias).alias("alias"))
 
     named = F.transform(
-        _of(parts, "FROM", "JOIN"), lambda s: F.transform(F.split(_body(s), ","), name)
+        _of(parts, "FROM", "JOIN"),
+        lambda s: F.transform(F.split(_body(s), ","), lambda item: one(F.trim(item))),
     )
-    return F.filter(F.array_distinct(F.flatten(named)), lambda t: t != "")
+    return F.filter(F.flatten(named), lambda t: t["name"] != "")
+
+
+def tables(parts: Column) -> Column:
+    """The distinct tables named after FROM and JOIN, in normal form."""
+    return F.array_distinct(F.transform(bound_tables(parts), lambda t: t["name"]))
 
 
 def table_terms(parts: Column) -> Column:
@@ -250,15 +312,10 @@ def has_group_by(code: Column) -> Column:
     return code.rlike(r"(?i)\bGROUP\s+BY\b")
 
 
-def group_by_columns(parts: Column) -> Column:
-    """Items of the GROUP BY list as written (empty array without one)."""
-    lists = F.transform(
-        _of(parts, "GROUP BY"),
-        lambda s: F.transform(
-            top_level_items(F.substring_index(_body(s), ";", 1)), lambda item: F.trim(item)
-        ),
-    )
-    return F.filter(F.flatten(lists), lambda item: item != "")
+def group_by_columns(found: Column) -> Column:
+    """Items of the GROUP BY list as written (empty array without one), from the ``lists``."""
+    groups = F.transform(_of(found, "GROUP BY"), lambda s: s["items"])
+    return F.filter(F.flatten(groups), lambda item: item != "")
 
 
 def is_plain_column(item: Column) -> Column:
@@ -270,14 +327,13 @@ def item_name(item: Column) -> Column:
     return normal_name(F.substring_index(item, ".", -1))
 
 
-def select_items(parts: Column) -> Column:
+def select_items(code: Column, found: Column) -> Column:
     """Items of the outer select list as written: the first one, after a WITH clause the last."""
-    outer = F.when(parts[0]["text"].rlike(r"(?i)^\s*WITH\b"), F.lit(-1)).otherwise(F.lit(1))
-    first = F.try_element_at(_of(parts, "SELECT"), outer)
-    return top_level_items(F.substring_index(_body(first), ";", 1))
+    outer = F.when(has_cte(code), F.lit(-1)).otherwise(F.lit(1))
+    return F.try_element_at(_of(found, "SELECT"), outer)["items"]
 
 
-def is_global_aggregate(code: Column, parts: Column) -> Column:
+def is_global_aggregate(code: Column, found: Column) -> Column:
     """No GROUP BY, and in every item of the select list an aggregate call and no column outside
     of one: ``AVG(x) + 1`` and ``ROUND(AVG(x), 1)`` are, ``AVG(x) + x`` is not."""
     words = r"(?i)\b(?:" + "|".join(k for k in KEYWORDS if k != "as") + r")\b"
@@ -288,7 +344,7 @@ def is_global_aggregate(code: Column, parts: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(unnamed, r"(?i)\bAS\s+\w+", ""), words, " ")
         return rest.contains("{}") & ~plain.rlike(r"[A-Za-z_\"`][\w.$\"`]*+(?!\s*[(\w.$\"`])")
 
-    return ~has_group_by(code) & F.forall(select_items(parts), only_aggregates)
+    return ~has_group_by(code) & F.forall(select_items(code, found), only_aggregates)
 
 
 def misplaced_aggregate(parts: Column) -> Column:
@@ -305,16 +361,14 @@ def misplaced_aggregate(parts: Column) -> Column:
     )
 
 
-def person_counts(parts: Column) -> Column:
+def person_counts(found: Column) -> Column:
     """Counts of the person key that start an item of the select list, in order.
 
     Element: ``(written, distinct, name)``; ``name`` is the declared alias, '' without one.
     """
     # without DISTINCT only the bare key counts as a faulty person count
     call = rf"(?i)^COUNT ?\( ?(?:(DISTINCT )(?:[\w$]++\.)*+)?{PERSON_COLUMN} ?\)"
-    items = F.flatten(
-        F.transform(_of(parts, "SELECT"), lambda s: top_level_items(_body(s)))
-    )
+    items = F.flatten(F.transform(_of(found, "SELECT"), lambda s: s["items"]))
 
     def one(item):
         distinct = F.regexp_extract(item, call, 1) != ""
@@ -348,7 +402,7 @@ def has_subquery(code: Column) -> Column:
     return F.regexp_count(code, F.lit(r"(?i)\bSELECT\b")) > 1
 
 
-def unreadable(text: Column, code: Column, squashed: Column) -> Column:
+def unreadable(text: Column, code: Column, balanced: Column) -> Column:
     """Why a text cannot be judged (E802), null when it can. Every doubt fails closed.
 
     Each pattern is tried only on texts that hold the character it is about.
@@ -371,10 +425,7 @@ def unreadable(text: Column, code: Column, squashed: Column) -> Column:
             "unterminated literal or comment",
         )
         .when(odd('"') | odd("`"), "unterminated quoted name")
-        .when(
-            squashed.contains("(") | squashed.contains(")"),
-            "unbalanced parentheses",
-        )
+        .when(~balanced, "unbalanced parentheses")
         .when(
             code.contains(";") & (F.size(statements(code)) > 1), "more than one statement"
         )

@@ -45,7 +45,7 @@ def name_usage(log: DataFrame) -> DataFrame:
 
 def group_by_rows(log: DataFrame) -> DataFrame:
     """Group list items: ``request_id, ordinal, item``."""
-    items = F.posexplode_outer(st.group_by_columns(F.col("_parts")))
+    items = F.posexplode_outer(st.group_by_columns(F.col("_lists")))
     return (
         read_statements(log)
         .select("request_id", items.alias("ordinal", "item"))
@@ -67,7 +67,7 @@ def check_group_by(
         .select(
             "request_id",
             st.tables(F.col("_parts")).alias("_tables"),
-            F.posexplode_outer(st.group_by_columns(F.col("_parts"))).alias("ordinal", "item"),
+            F.posexplode_outer(st.group_by_columns(F.col("_lists"))).alias("ordinal", "item"),
         )
         .where(F.col("item").isNotNull())
         .withColumn("_name", st.item_name(F.col("item")))

@@ -34,17 +34,18 @@ def read_statements(
         {"_flat": st.flat(F.col("_text")), "_blank": chars.is_blank(F.col("_text"))}
     )
     parts = code.withColumns(
-        {"_squashed": st.squash(F.col("_flat")), "_parts": st.segments(F.col("_flat"))}
+        {"_balanced": st.is_balanced(F.col("_flat")), "_parts": st.segments(F.col("_flat"))}
     )
-    return parts.withColumns(
+    found = parts.withColumns(
         {
             "_ids": st.identifiers(F.col("_parts"), vocab.prohibited(True)),
-            "_counts": st.person_counts(F.col("_parts")),
+            "_lists": st.lists(F.col("_parts")),
         }
     )
+    return found.withColumn("_counts", st.person_counts(F.col("_lists")))
 
 
-_DERIVED = ("_text", "_flat", "_blank", "_squashed", "_parts", "_ids", "_counts")
+_DERIVED = ("_text", "_flat", "_blank", "_balanced", "_parts", "_ids", "_lists", "_counts")
 
 
 def drop_derived(df: DataFrame) -> DataFrame:
@@ -81,12 +82,12 @@ def _facts(policy: Policy) -> dict[str, Column]:
             "_count_ok": st.has_patient_count(F.col("_counts")),
             "_wrong": st.wrong_patient_count(F.col("_counts")),
             "_grouped": st.has_group_by(code),
-            "_global": st.is_global_aggregate(code, parts),
+            "_global": st.is_global_aggregate(code, F.col("_lists")),
             "_misplaced": st.misplaced_aggregate(parts),
-            "_unfit": F.try_element_at(F.filter(st.group_by_columns(parts), unfit), F.lit(1)),
+            "_unfit": F.try_element_at(F.filter(st.group_by_columns(F.col("_lists")), unfit), F.lit(1)),
         },
         "enforcement": {"_cte": st.has_cte(code), "_nested": st.has_subquery(code)},
-        "system": {"_why": st.unreadable(text, code, F.col("_squashed"))},
+        "system": {"_why": st.unreadable(text, code, F.col("_balanced"))},
     }
     return {name: column for layer in policy.layers for name, column in facts[layer].items()}
 

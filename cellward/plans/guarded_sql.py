@@ -102,7 +102,7 @@ def check_sql(
                     F.filter("_ids", lambda i: i["is_function"]), lambda i: i["name"]
                 ),
                 "forbidden": F.col("_flat").rlike(_FORBIDDEN),
-                "items": st.select_items(parts),
+                "items": st.select_items(F.col("_flat"), F.col("_lists")),
                 "counts": F.col("_counts"),
                 "person_order": F.exists(
                     parts, lambda s: s["clause"].isin("ORDER BY", "HAVING") & st.names_person(s["text"])

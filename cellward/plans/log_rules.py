@@ -147,7 +147,7 @@ _rule(
     "global_aggregate",
     lambda t: t.global_aggregate,
     "is_global",
-    lambda: st.is_global_aggregate(F.col("_flat"), F.col("_parts")),
+    lambda: st.is_global_aggregate(F.col("_flat"), F.col("_lists")),
 )
 _rule(
     "aggregate_misuse",

@@ -233,7 +233,10 @@ def log_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def sample_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_from_orders(table(spark, sf_dir, "orders"))
+    """The given orders may be one row group, that is one task: their narrow rows are dealt out over
+    the session's shuffle partitions before the texts are made, as a log of many files would be."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return log_from_orders(orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 # ---------------------------------------------------------------- the same in SQL

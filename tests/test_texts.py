@@ -81,13 +81,14 @@ def facts(log_of, text):
     return (
         log_of(text)
         .select(code.alias("code"))
-        .select("code", st.squash(F.col("code")).alias("sq"), st.segments(F.col("code")).alias("p"))
+        .select("code", st.segments(F.col("code")).alias("p"))
+        .select("code", "p", st.lists(F.col("p")).alias("l"))
         .select(
             "code",
             st.identifiers(F.col("p")).alias("ids"),
             st.tables(F.col("p")).alias("tables"),
-            st.group_by_columns(F.col("p")).alias("groups"),
-            st.is_global_aggregate(F.col("code"), F.col("p")).alias("is_global"),
+            st.group_by_columns(F.col("l")).alias("groups"),
+            st.is_global_aggregate(F.col("code"), F.col("l")).alias("is_global"),
         )
         .first()
     )
@@ -180,9 +181,9 @@ def test_any_depth_of_parentheses(log_of):
     row = facts(log_of, text)
     assert row["groups"] == ["COALESCE(a, FLOOR(b))", "c", "GROUPING SETS ((a, b), ())"]
     code = st.flat(F.col("query"))
-    assert "(" not in one(log_of, text, lambda c: st.squash(st.flat(c)))
-    assert one(log_of, "a (b (c) d))", lambda c: st.squash(st.flat(c))).endswith(")")
-    assert one(log_of, "a ((b)", lambda c: st.squash(st.flat(c))).endswith("(")
+    assert one(log_of, text, lambda c: st.is_balanced(st.flat(c)))
+    for odd in ("a (b (c) d))", "a ((b)", "a )b(", "((((((((()))))))))("):
+        assert one(log_of, odd, lambda c: st.is_balanced(st.flat(c))) is False
     assert code is not None
 
 
