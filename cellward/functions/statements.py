@@ -288,6 +288,12 @@ def bound_tables(parts: Column) -> Column:
     return F.filter(F.flatten(named), lambda t: t["name"] != "")
 
 
+def common_tables(code: Column) -> Column:
+    """Names that a WITH clause declares, in normal form."""
+    found = F.regexp_extract_all(code, F.lit(rf"(?i)(?:\bWITH |\bRECURSIVE |, ?)([\w$]++|{_QUOTED}) AS ?\("), F.lit(1))
+    return F.when(has_cte(code), F.transform(found, normal_name)).otherwise(F.array().cast("array<string>"))
+
+
 def tables(parts: Column) -> Column:
     """The distinct tables named after FROM and JOIN, in normal form."""
     return F.array_distinct(F.transform(bound_tables(parts), lambda t: t["name"]))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellward.functions import statements as st
-from cellward.operators.verdicts import column_names, read_statements
+from cellward.operators.verdicts import column_uses, read_statements, table_names
 from cellward.policy import Policy
 from cellward.sources.vocabulary import DEFAULT, Vocabulary
 
@@ -66,7 +66,7 @@ def check_group_by(
         read_statements(log)
         .select(
             "request_id",
-            st.tables(F.col("_parts")).alias("_tables"),
+            table_names().alias("_tables"),
             F.posexplode_outer(st.group_by_columns(F.col("_lists"))).alias("ordinal", "item"),
         )
         .where(F.col("item").isNotNull())
@@ -90,22 +90,18 @@ def check_group_by(
 def unknown_tables(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Tables that the approved schema does not have (E101)."""
     used = read_statements(log).select(
-        "request_id", F.explode_outer(st.tables(F.col("_parts"))).alias("table_name")
+        "request_id", F.explode_outer(table_names()).alias("table_name")
     )
     used = used.where(F.col("table_name").isNotNull())
     return used.join(catalog.select("table_name"), "table_name", "left_anti")
 
 
 def unknown_columns(log: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Columns that none of the query's tables has (E102)."""
-    used = read_statements(log).select(
-        "request_id",
-        st.tables(F.col("_parts")).alias("_tables"),
-        F.explode_outer(column_names()).alias("column_name"),
-    )
-    used = used.where(F.col("column_name").isNotNull())
+    """Columns that their table does not have, or none of the query's tables if they are not
+    qualified (E102)."""
+    used = read_statements(log).select("request_id", F.explode_outer(column_uses()).alias("_use"))
+    used = used.where(F.col("_use").isNotNull()).select("request_id", "_use.name", "_use.homes")
     known = catalog.select("table_name", F.col("column_name").alias("_column"))
-    found = (F.col("column_name") == F.col("_column")) & F.array_contains(
-        F.col("_tables"), F.col("table_name")
-    )
-    return used.join(known, found, "left_anti").select("request_id", "column_name")
+    found = (F.col("name") == F.col("_column")) & F.array_contains(F.col("homes"), F.col("table_name"))
+    missing = used.join(known, found, "left_anti")
+    return missing.select("request_id", F.col("name").alias("column_name"))

@@ -21,17 +21,19 @@ def outcome(code: Column) -> Column:
     return F.when(code.isNull(), "PASS").when(code.startswith("E8"), "ERROR").otherwise("FAIL")
 
 
-def audit_records(verdicts: DataFrame, time_col: str = "ts") -> DataFrame:
-    """Who asked what when, and the outcome. Never the query text itself, only its hash."""
+def audit_records(verdicts: DataFrame, time_col: str = "ts", *, policy: Policy = Policy()) -> DataFrame:
+    """Who asked what when, and the outcome. Never the query text itself, only its hash; who asked and
+    the hash as far as the policy includes them."""
 
     def optional(name):
-        return F.col(name) if name in verdicts.columns else F.lit(None).cast("string")
+        shown = name in verdicts.columns and policy.include_user
+        return F.col(name) if shown else F.lit(None).cast("string")
 
     return verdicts.select(
         "request_id",
         F.col(time_col).alias("timestamp"),
         optional("user_id").alias("user_id"),
-        "query_hash",
+        F.when(F.lit(policy.include_query_hash), F.col("query_hash")).alias("query_hash"),
         outcome(F.col("code")).alias("validation_result"),
         F.col("layer").alias("layer_failed"),
         F.col("code").alias("error_code"),

@@ -17,7 +17,7 @@ from cellward.functions import statements as st
 from cellward.policy import Policy
 from cellward.sources.catalog import catalog_columns
 from cellward.sources.guidance import with_guidance
-from cellward.sources.vocabulary import CODES, DEFAULT, Vocabulary
+from cellward.sources.vocabulary import CODES, DEFAULT, Vocabulary, normal_name
 
 HIT_DDL = (
     "struct<code:string,ordinal:int,clause:string,token:string,position:int,"
@@ -40,25 +40,64 @@ def read_statements(
         {
             "_ids": st.identifiers(F.col("_parts"), vocab.prohibited(True)),
             "_lists": st.lists(F.col("_parts")),
+            "_bound": st.bound_tables(F.col("_parts")),
+            "_own": st.common_tables(F.col("_flat")),
+        }
+    )
+    return found.withColumns(
+        {
+            "_counts": st.person_counts(F.col("_lists")),
+            # what the statement's own WITH clause declares is no table
+            "_bound": F.filter("_bound", lambda t: ~F.array_contains("_own", t["name"])),
+            "_own": F.array_union(
+                F.array_union(st.aliases(F.col("_flat")), F.col("_own")),
+                F.transform("_bound", lambda t: t["name"]),
+            ),
         }
     )
-    return found.withColumn("_counts", st.person_counts(F.col("_lists")))
 
 
-_DERIVED = ("_text", "_flat", "_blank", "_balanced", "_parts", "_ids", "_lists", "_counts")
+_DERIVED = (
+    "_text", "_flat", "_blank", "_balanced", "_parts", "_ids", "_lists", "_bound", "_own", "_counts",
+)
 
 
 def drop_derived(df: DataFrame) -> DataFrame:
     return df.drop(*_DERIVED)
 
 
-def column_names() -> Column:
-    """Distinct names a statement uses as columns (no tables, functions or own aliases)."""
-    declared = F.array_union(st.aliases(F.col("_flat")), st.tables(F.col("_parts")))
+def table_names() -> Column:
+    """Distinct tables of a statement."""
+    return F.array_distinct(F.transform("_bound", lambda t: t["name"]))
+
+
+def column_uses() -> Column:
+    """Distinct names a statement uses as columns (no tables, functions or own aliases), each with the
+    tables that could have it: ``(name, homes)``.
+
+    A qualified name belongs to the table that goes by its qualifier. A bare name can belong to
+    any table of the statement, and so can one whose qualifier names a nested query; any
+    other qualifier names nothing, and its column has no home.
+    """
     used = F.filter(
         F.col("_ids"), lambda i: ~i["is_function"] & ~i["clause"].isin("FROM", "JOIN", "LIMIT")
     )
-    return F.array_except(F.transform(used, lambda i: i["name"]), declared)
+    qualifier = lambda token: F.when(
+        token.contains("."), normal_name(F.substring_index(F.substring_index(token, ".", -2), ".", 1))
+    ).otherwise("")
+    named = F.array_distinct(
+        F.transform(used, lambda i: F.struct(i["name"].alias("name"), qualifier(i["token"]).alias("of")))
+    )
+    named = F.filter(named, lambda n: (n["of"] != "") | ~F.array_contains("_own", n["name"]))
+
+    def homes(of):
+        own = F.filter("_bound", lambda t: (of == "") | (t["alias"] == of) | (t["name"] == of))
+        fit = F.when((F.size(own) == 0) & st.has_subquery(F.col("_flat")), F.col("_bound")).otherwise(own)
+        return F.transform(fit, lambda t: t["name"])
+
+    return F.transform(
+        named, lambda n: F.struct(n["name"].alias("name"), homes(n["of"]).alias("homes"))
+    )
 
 
 # ------------------------------------------------------------------ rules
@@ -74,9 +113,13 @@ def _facts(policy: Policy) -> dict[str, Column]:
         person = st.names_person(item)
         return person | ~st.is_plain_column(item) if policy.plain_group_by else person
 
+    why = st.unreadable(text, code, F.col("_balanced"))
+    if policy.strict_mode:
+        longer = F.length(text) > policy.max_query_length
+        why = F.coalesce(why, F.when(longer, f"longer than {policy.max_query_length} characters"))
     facts = {
         "ascii_input": {"_position": chars.first_forbidden(text)},
-        "schema": {"_tables": st.tables(parts), "_columns": column_names()},
+        "schema": {"_tables": table_names(), "_uses": column_uses()},
         "phi": {"_star": st.has_select_star(code)},
         "aggregation": {
             "_count_ok": st.has_patient_count(F.col("_counts")),
@@ -87,7 +130,7 @@ def _facts(policy: Policy) -> dict[str, Column]:
             "_unfit": F.try_element_at(F.filter(st.group_by_columns(F.col("_lists")), unfit), F.lit(1)),
         },
         "enforcement": {"_cte": st.has_cte(code), "_nested": st.has_subquery(code)},
-        "system": {"_why": st.unreadable(text, code, F.col("_balanced"))},
+        "system": {"_why": why},
     }
     return {name: column for layer in policy.layers for name, column in facts[layer].items()}
 
@@ -141,9 +184,11 @@ def _rules(vocab: Vocabulary, policy: Policy) -> dict[str, str]:
         f"transform(filter(_tables, t -> t NOT IN ({_names(columns)})), "
         f"(t, n) -> {_hit(repr('E101'), ordinal='n', token='t')})"
     )
+    # columns of unknown tables are not judged, and prohibited names get the more telling code
     unknown_columns = (
-        "transform(filter(_columns, c -> "
-        f"NOT exists(_tables, t -> concat(t, '.', c) IN ({pairs}))), "
+        "transform(array_distinct(transform(filter(_uses, u -> "
+        f"NOT exists(u.homes, t -> t NOT IN ({_names(columns)}) OR concat(t, '.', u.name) IN ({pairs})) "
+        f"AND u.name NOT IN ({_names(vocab.prohibited(policy.strict))})), u -> u.name)), "
         f"(c, n) -> {_hit(repr('E102'), ordinal='n + size(_tables)', token='c')})"
     )
     star = _hits(("_star", _hit("'E204'", clause="'SELECT'", token="'*'")))
@@ -270,8 +315,10 @@ def verdicts(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Po
 def audit_log(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Policy()):
     """Verdicts with guidance, as far as the policy's verbosity allows."""
     result = with_guidance(verdicts(log, vocab, policy=policy))
-    if policy.verbosity < 3:
-        result = result.drop("correct_pattern", "documentation")
+    if policy.verbosity < 3 or not policy.include_examples:
+        result = result.drop("correct_pattern")
+    if policy.verbosity < 3 or not policy.include_links:
+        result = result.drop("documentation")
     if policy.verbosity < 2:
         result = result.drop("guidance")
     return result

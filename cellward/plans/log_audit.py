@@ -55,7 +55,7 @@ def _(spark, sf_dir):
     "audit_verdicts",
     f"""{_LOG}
     SELECT request_id, code IS NULL AS success, layer, code, layers_passed,
-           5 AS total_layers, {HASH_SQL} AS query_hash, {_DOC_SQL} AS documentation
+           {len(DEFAULT_LAYERS)} AS total_layers, {HASH_SQL} AS query_hash, {_DOC_SQL} AS documentation
     FROM log JOIN verdict USING (kind)""",
 )
 def audit_verdicts(spark, sf_dir):
@@ -135,7 +135,7 @@ def _(spark, sf_dir):
     f"""{_LOG}, {HITS_SQL}
     SELECT request_id, verdict.code AS error_code, {_DOC_SQL.replace("(code", "(verdict.code")}
              AS documentation,
-           CASE WHEN verdict.code IN ('E201', 'E202', 'E203', 'E305') THEN token END
+           CASE WHEN verdict.code IN ('E102', 'E201', 'E202', 'E203', 'E305') THEN token END
              AS column_name
     FROM log JOIN verdict USING (kind) JOIN hits USING (kind)
     WHERE ordinal = 0""",
@@ -154,7 +154,7 @@ def _(spark, sf_dir):
     "query_metadata",
     f"""{_LOG}
     SELECT request_id, {HASH_SQL} AS query_hash, layers_passed,
-           CAST(n_layers_passed AS INTEGER) AS n_layers_passed, 5 AS total_layers
+           CAST(n_layers_passed AS INTEGER) AS n_layers_passed, {len(DEFAULT_LAYERS)} AS total_layers
     FROM log JOIN verdict USING (kind)""",
 )
 def _(spark, sf_dir):

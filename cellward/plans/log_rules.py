@@ -20,6 +20,9 @@ from cellward.plans.sample_log import (
     sample_log,
 )
 from cellward.plans.vocabularies import ALL_ERRORS, log
+from cellward.operators.reports import utc_text
+from cellward.session import fresh_path
+from cellward.sources import query_log
 from cellward.sources.catalog import column_catalog
 
 
@@ -39,10 +42,13 @@ def _rule(name, fact, column, rule):
 
 @query(
     "query_log_scan",
-    f"WITH {LOG_SQL} SELECT request_id, user_id, session_id, ip_address, query FROM log",
+    f"""WITH {LOG_SQL} SELECT request_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts,
+           user_id, session_id, ip_address, query FROM log""",
 )
 def _(spark, sf_dir):
-    return sample_log(spark, sf_dir).drop("ts")
+    path = fresh_path(spark, "query-log")
+    sample_log(spark, sf_dir).write.parquet(path)
+    return query_log.read_query_log(spark, path).withColumn("ts", utc_text(F.col("ts")))
 
 
 @query("mask_text", f"WITH {LOG_SQL}, {MASKED_SQL} SELECT request_id, masked FROM masked")

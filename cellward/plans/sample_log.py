@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from cellward.functions.characters import WHITESPACE
 from cellward.operators.reports import utc_day
 from cellward.sources.tables import table
+from cellward.sources.vocabulary import DEFAULT
 
 _BLANK_TEXT = " \n\t\u00a0 "
-_DONE = ("ascii_input", "phi", "aggregation", "enforcement", "system")
+_DONE = ("ascii_input", "schema", "phi", "aggregation", "enforcement", "system")
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,14 @@ class Text:
     global_aggregate: bool = False
     n_statements: int = 1
 
+    def __post_init__(self):
+        # an unknown table leaves its columns unjudged, and prohibited names have a code of their own
+        schema = [("schema", "E101", t, None) for t in self.unknown_tables] or [
+            ("schema", "E102", c, None) for c in self.unknown_columns if c not in DEFAULT.prohibited()
+        ]
+        first = [h for h in self.hits if h[0] == "ascii_input"]
+        object.__setattr__(self, "hits", (*first, *schema, *self.hits[len(first) :]))
+
     def code(self, layer):
         return next((h[1] for h in self.hits if h[0] == layer), None)
 
@@ -167,7 +176,6 @@ TEXTS = (
     Text(
         "WITH c AS (SELECT person_id FROM person WHERE location_id > {n}) " + _count("", "c"),
         hits=(("enforcement", "E402", None, "WITH"), ("enforcement", "E401", None, None)),
-        unknown_tables=("c",),
         global_aggregate=True,
     ),
     Text(

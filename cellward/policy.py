@@ -9,7 +9,7 @@ from pathlib import Path
 # Layer names in the order in which a query meets them. ``system`` comes last so
 # that a query which breaks another rule keeps that rule's code.
 LAYERS = ("ascii_input", "schema", "phi", "aggregation", "enforcement", "system")
-DEFAULT_LAYERS = ("ascii_input", "phi", "aggregation", "enforcement", "system")
+DEFAULT_LAYERS = LAYERS
 
 # The smallest publishable cell, and the name of the mandatory count.
 MIN_PATIENT_COUNT = 20000
@@ -41,12 +41,18 @@ class Policy:
     layers: tuple[str, ...] = DEFAULT_LAYERS
     strict: bool = True  # also prohibit the columns which only the clinical catalog marks
     plain_group_by: bool = False  # also refuse expressions and ordinals as group items
-    max_query_length: int = 10000  # longer texts are marked, not refused
+    strict_mode: bool = False  # refuse what is otherwise only marked: texts of over max_query_length
+    max_query_length: int = 10000
     max_errors: int | None = 1  # violations reported per query; None = all
     verbosity: int = 3  # 1 message, 2 + guidance, 3 + pattern and link
     retention_days: int = 2190
     alert_threshold: int = 10
     max_rows: int | None = None  # size limit of a guarded result
+    # what answers and audit records show
+    include_examples: bool = True
+    include_links: bool = True
+    include_query_hash: bool = True
+    include_user: bool = True
 
     def __post_init__(self):
         unknown = [name for name in self.layers if name not in LAYERS]
@@ -88,11 +94,16 @@ def read_config(path):
 _FILE_KEYS = {
     "min_cell": ("security", "min_patient_count"),
     "layers": ("security", "enabled_layers"),
+    "strict_mode": ("security", "strict_mode"),
     "max_query_length": ("performance", "max_query_length"),
     "max_errors": ("error_handling", "max_errors_returned"),
     "verbosity": ("educational", "verbosity"),
     "retention_days": ("audit", "retention_days"),
     "alert_threshold": ("monitoring", "failure_alert_threshold"),
+    "include_examples": ("educational", "include_examples"),
+    "include_links": ("educational", "include_documentation_links"),
+    "include_query_hash": ("audit", "include_query_hash"),
+    "include_user": ("audit", "include_user_info"),
 }
 
 
@@ -107,6 +118,10 @@ def load_policy(path, **overrides):
         if name == "layers":
             # the output check runs on results (scan_output_ascii), not on query text
             values[name] = tuple(n for n in found if n != "ascii_output") + ("system",)
+        elif isinstance(getattr(Policy, name), bool):
+            if not isinstance(found, bool):
+                raise ConfigError(path, f"{section}.{key} must be true or false")
+            values[name] = found
         elif isinstance(found, bool) or not isinstance(found, int) or found < 0:
             raise ConfigError(path, f"{section}.{key} must be a non-negative integer")
         else:

@@ -36,7 +36,7 @@ def stream_audit(
     salt = F.pmod(F.xxhash64("request_id", "query"), F.lit(files_per_day))
     dealt = log.withColumns({"_dt": utc_day(F.col("ts")), "_salt": salt})
     dealt = dealt.repartition("_dt", "_salt").drop("_dt", "_salt")
-    lines = audit_lines(audit_records(verdicts(dealt, vocab, policy=policy)))
+    lines = audit_lines(audit_records(verdicts(dealt, vocab, policy=policy), policy=policy))
     writer = (
         lines.writeStream.format("text")
         .outputMode("append")

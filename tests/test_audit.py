@@ -169,7 +169,8 @@ def test_custom_vocabulary_file(spark, tmp_path, log_of):
     log = log_of(f"SELECT chart_ref, {count} FROM p GROUP BY 1",
                  f"SELECT seen, {count} FROM p GROUP BY 1",
                  f"SELECT ssn, {count} FROM p GROUP BY 1")
-    got = [r["code"] for r in verdicts(log, vocab).orderBy("request_id").collect()]
+    rules = Policy().only("phi", "aggregation")
+    got = [r["code"] for r in verdicts(log, vocab, policy=rules).orderBy("request_id").collect()]
     assert got == ["E201", "E203", None]
     wider = voc.DEFAULT.extended(direct=["chart_ref"])
     got = [r["code"] for r in verdicts(log, wider).orderBy("request_id").collect()]
@@ -319,3 +320,25 @@ def test_late_rows_are_dropped(spark):
     assert [(r["window_start"], r["n_failures"]) for r in rows] == [
         (start, 6), (start + timedelta(hours=9), 6),
     ]
+
+
+def test_include_flags(spark, tmp_path, log_of):
+    file = tmp_path / "policy.json"
+    file.write_text(json.dumps({
+        "security": {"strict_mode": True},
+        "educational": {"include_examples": False, "include_documentation_links": False},
+        "audit": {"include_query_hash": False, "include_user_info": False},
+    }))
+    policy = load_policy(file)
+    assert policy.strict_mode and not (policy.include_examples or policy.include_links)
+    from cellward.operators.verdicts import audit_log
+
+    answers = audit_log(make_log(spark, 4), policy=policy)
+    assert "guidance" in answers.columns
+    assert not {"correct_pattern", "documentation"} & set(answers.columns)
+    shown = reports.audit_records(verdicts(make_log(spark, 4)), policy=policy).collect()
+    assert all(r["user_id"] is None and r["session_id"] is None and r["query_hash"] is None for r in shown)
+    assert all(r["request_id"] and r["timestamp"] for r in shown)
+    file.write_text(json.dumps({"security": {"strict_mode": "yes"}}))
+    with pytest.raises(ConfigError):
+        load_policy(file)

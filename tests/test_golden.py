@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from cellward.operators.verdicts import layer_results, verdicts
+from cellward.operators.verdicts import layer_results, verdicts, violations
 from cellward.policy import Policy
 from cellward.session import literal_table
 
@@ -125,7 +125,9 @@ def test_additions(spark):
         [(str(i), text) for i, (text, _, _) in enumerate(ADDITIONS)],
         "request_id string, query string",
     )
-    got = {int(r["request_id"]): (r["layer"], r["code"]) for r in verdicts(log).collect()}
+    rules = Policy().only(*(n for n in Policy().layers if n != "schema"))
+    found = verdicts(log, policy=rules).collect()
+    got = {int(r["request_id"]): (r["layer"], r["code"]) for r in found}
     wrong = [(a, got[i]) for i, a in enumerate(ADDITIONS) if got[i] != a[1:]]
     assert not wrong
 
@@ -150,14 +152,72 @@ def test_schema_layer(log_of):
     assert rows[2]["details"] == {"column_name": "colour", "schema": "OMOP 5.4"}
 
 
+_COUNT = "COUNT(DISTINCT p.person_id) AS Count_Patients"
+_JOINED = "FROM person p JOIN condition_occurrence c ON p.person_id = c.person_id"
+# Text, code of the schema layer, unknown names in order.
+SCOPES = [
+    (f"SELECT c.condition_concept_id, {_COUNT} {_JOINED} GROUP BY c.condition_concept_id", None, []),
+    # the column of the other table
+    (f"SELECT p.condition_concept_id, {_COUNT} {_JOINED} GROUP BY p.condition_concept_id", "E102",
+     ["condition_concept_id"]),
+    (f"SELECT c.gender_concept_id, {_COUNT} {_JOINED} GROUP BY c.gender_concept_id, p.colour", "E102",
+     ["gender_concept_id", "colour"]),
+    # bare names belong to any table
+    (f"SELECT condition_concept_id, gender_concept_id, {_COUNT} {_JOINED} GROUP BY 1, 2", None, []),
+    # the same table under two names, AS, quotes, case, a schema in front
+    ("SELECT A.gender_concept_id, b.race_concept_id, COUNT(DISTINCT a.person_id) AS Count_Patients FROM "
+     'cdm.person AS A, "person" b WHERE a.person_id = B.person_id GROUP BY 1, 2', None, []),
+    (f"SELECT person.gender_concept_id, {_COUNT} FROM person p GROUP BY 1", None, []),
+    (f"SELECT person.colour, {_COUNT} FROM person p LEFT JOIN death ON death.person_id = p.person_id", "E102",
+     ["colour"]),
+    # a qualifier that names nothing
+    (f"SELECT x.gender_concept_id, {_COUNT} FROM person p GROUP BY 1", "E102", ["gender_concept_id"]),
+    # nested queries: their columns may come from any table inside
+    ("SELECT s.gender_concept_id, COUNT(DISTINCT s.person_id) AS Count_Patients FROM (SELECT gender_concept_id, "
+     "person_id FROM person) s GROUP BY 1", None, []),
+    ("WITH c AS (SELECT person_id FROM person), d AS (SELECT person_id FROM c) SELECT COUNT(DISTINCT d.person_id) "
+     "AS Count_Patients FROM d", None, []),
+    # columns of unknown tables are not judged, and prohibited names are left to their own layer
+    (f"SELECT q.anything, {_COUNT} FROM persons q JOIN person p ON q.person_id = p.person_id", "E101", ["persons"]),
+    (f"SELECT p.ssn, {_COUNT} FROM person p GROUP BY p.ssn", None, []),
+    # own aliases are no columns, qualified names are
+    ("SELECT gender_concept_id AS colour, COUNT(DISTINCT person_id) AS Count_Patients FROM person GROUP BY colour", None, []),
+    ("SELECT gender_concept_id AS colour, COUNT(DISTINCT person_id) AS Count_Patients FROM person p GROUP BY p.colour",
+     "E102", ["colour"]),
+]
+
+
+def test_columns_belong_to_their_table(log_of):
+    log = log_of(*[text for text, _, _ in SCOPES])
+    rows = violations(log, policy=Policy(max_errors=None).only("schema")).orderBy("ordinal").collect()
+    for i, (text, code, names) in enumerate(SCOPES):
+        own = [r for r in rows if r["request_id"] == str(i)]
+        assert [r["token"] for r in own] == names, text
+        assert {r["code"] for r in own} == ({code} if code else set()), text
+
+
+def test_schema_is_judged_by_default(log_of):
+    log = log_of(f"SELECT {BY_GENDER}", f"SELECT {BY_GENDER}".replace("FROM person", "FROM people"), "SELECT ssn FROM person")
+    rows = verdicts(log).orderBy("request_id").collect()
+    assert [(r["layer"], r["code"]) for r in rows] == [(None, None), ("schema", "E101"), ("phi", "E201")]
+    assert rows[0]["total_layers"] == 6 and rows[1]["layers_passed"] == ["ascii_input"]
+
+
+@pytest.mark.parametrize("strict_mode, code", [(True, "E802"), (False, None)])
+def test_strict_mode_refuses_long_texts(log_of, strict_mode, code):
+    log = log_of(f"SELECT {BY_GENDER}", "SELECT * FROM person" + " " * 300)
+    rows = verdicts(log, policy=Policy(max_query_length=50, strict_mode=strict_mode)).orderBy("request_id").collect()
+    assert [r["code"] for r in rows] == [code, "E204"] and all(r["over_length"] for r in rows)
+
+
 @pytest.mark.parametrize("strict, code", [(True, "E201"), (False, None)])
 def test_catalog_only_columns(log_of, strict, code):
-    log = log_of("SELECT npi, COUNT(DISTINCT person_id) AS Count_Patients FROM p GROUP BY npi")
+    log = log_of("SELECT npi, COUNT(DISTINCT person_id) AS Count_Patients FROM provider JOIN person GROUP BY npi")
     assert verdicts(log, policy=Policy(strict=strict)).first()["code"] == code
 
 
 def test_plain_group_by_is_an_option(log_of):
-    log = log_of(f"SELECT {BY_GENDER}, FLOOR(x / 10)", f"SELECT {BY_GENDER}")
+    log = log_of(f"SELECT {BY_GENDER}, FLOOR(year_of_birth / 10)", f"SELECT {BY_GENDER}")
     policy = Policy(plain_group_by=True)
     got = [r["code"] for r in verdicts(log, policy=policy).orderBy("request_id").collect()]
     assert got == ["E305", None]
