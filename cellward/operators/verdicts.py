@@ -176,7 +176,41 @@ def _prohibited(vocab: Vocabulary, policy: Policy) -> str:
     )
 
 
-def _rules(vocab: Vocabulary, policy: Policy) -> dict[str, str]:
+def prohibited_uses(log: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """What a dictionary table prohibits in each distinct text: ``_text`` and its hits, in order.
+
+    ``dictionary`` has ``name`` (normal form), ``category`` and ``allowed``, and may have any number of rows: names of
+    texts are rows that join with it, without a hint, so that Catalyst broadcasts it below its
+    threshold and shuffles both sides beyond. Only texts with a hit have a row, and only its hits meet in one group.
+    """
+    date, rank = F.col("category") == "date", F.array_position(F.array(*map(F.lit, CODES)), F.col("category"))
+    names = dictionary.where("NOT allowed").groupBy(F.col("name").alias("_listed")).agg(
+        F.min_by(F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), F.col("category")), rank).alias("code"),
+        F.bool_or(date).alias("_date"),
+    )
+    texts = log.select(F.coalesce("query", F.lit("")).alias("_text")).distinct()
+    # also keywords are names, if the dictionary lists them
+    parts = texts.withColumn("_parts", st.segments(st.flat(F.col("_text"))))
+    ids = F.posexplode_outer(st.identifiers(F.col("_parts"), st.KEYWORDS)).alias("_at", "_id")
+    used = parts.select("_text", ids).where("_id IS NOT NULL").select("_text", "_at", "_id.*")
+    found = used.join(names, F.col("name") == F.col("_listed")).where("NOT is_function OR _date")
+    token = F.substring_index("token", ".", -1).alias("token")
+    hits = F.sort_array(F.collect_list(F.struct("_at", "code", "clause", token)))
+    return found.groupBy("_text").agg(
+        F.collect_set("name").alias("_listed_names"),
+        F.transform(
+            hits,
+            lambda h, n: F.struct(
+                h["code"].alias("code"), (n + 1).cast("int").alias("ordinal"), h["clause"].alias("clause"),
+                h["token"].alias("token"), F.lit(None).cast("int").alias("position"),
+                F.lit(None).cast("int").alias("code_point"), F.lit(None).cast("string").alias("reason"),
+            ),
+        ).alias("_listed_hits")
+    )
+
+
+def _rules(vocab: Vocabulary | None, policy: Policy) -> dict[str, str]:
+    """Without a vocabulary, ``_listed_hits`` and ``_listed_names`` have what a dictionary found."""
     char = "substring(_text, _position + 1, 1)"
     columns = catalog_columns()
     pairs = _names(f"{t}.{c}" for t, names in columns.items() for c in names)
@@ -184,11 +218,17 @@ def _rules(vocab: Vocabulary, policy: Policy) -> dict[str, str]:
         f"transform(filter(_tables, t -> t NOT IN ({_names(columns)})), "
         f"(t, n) -> {_hit(repr('E101'), ordinal='n', token='t')})"
     )
+    if vocab is None:
+        listed = "coalesce(array_contains(_listed_names, u.name), false)"
+        prohibited = f"coalesce(_listed_hits, cast(array() as array<{HIT_DDL}>))"
+    else:
+        listed = f"u.name IN ({_names(vocab.prohibited(policy.strict))})"
+        prohibited = _prohibited(vocab, policy)
     # columns of unknown tables are not judged, and prohibited names get the more telling code
     unknown_columns = (
         "transform(array_distinct(transform(filter(_uses, u -> "
         f"NOT exists(u.homes, t -> t NOT IN ({_names(columns)}) OR concat(t, '.', u.name) IN ({pairs})) "
-        f"AND u.name NOT IN ({_names(vocab.prohibited(policy.strict))})), u -> u.name)), "
+        f"AND NOT {listed}), u -> u.name)), "
         f"(c, n) -> {_hit(repr('E102'), ordinal='n + size(_tables)', token='c')})"
     )
     star = _hits(("_star", _hit("'E204'", clause="'SELECT'", token="'*'")))
@@ -204,7 +244,7 @@ def _rules(vocab: Vocabulary, policy: Policy) -> dict[str, str]:
             ),
         ),
         "schema": f"concat({unknown_tables}, {unknown_columns})",
-        "phi": f"concat({star}, {_prohibited(vocab, policy)})",
+        "phi": f"concat({star}, {prohibited})",
         # fixed order: the person count, then the grouping, then the place of aggregates
         "aggregation": _hits(
             ("_wrong IS NOT NULL", _hit("'E303'", token="_wrong")),
@@ -228,14 +268,21 @@ def _rules(vocab: Vocabulary, policy: Policy) -> dict[str, str]:
     }
 
 
-def layer_hits(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Policy()):
+def layer_hits(log: DataFrame, vocab: Vocabulary | DataFrame = DEFAULT, *, policy: Policy = Policy()):
     """Add one array of hits per enabled layer (``_hits_<layer>``), empty when it passes.
 
-    Only the character layer rejects a blank text; the others let it pass.
+    Only the character layer rejects a blank text; the others let it pass. A ``Vocabulary`` becomes part of
+    the plan. A dictionary table (``phi_dictionary``, ``merge_dictionaries``) of any size is joined instead, for
+    which the log must be a batch.
     """
-    facts = read_statements(log, vocab).withColumns(_facts(policy))
-    rules = _rules(vocab, policy)
     none = f"cast(array() as array<{HIT_DDL}>)"
+    if isinstance(vocab, DataFrame):
+        listed = prohibited_uses(log, vocab).withColumnRenamed("_text", "_same")
+        read = read_statements(log).join(listed, F.col("_text") == F.col("_same"), "left")
+        facts, rules = read.withColumns(_facts(policy)), _rules(None, policy)
+    else:
+        facts = read_statements(log, vocab).withColumns(_facts(policy))
+        rules = _rules(vocab, policy)
     fields = []
     for name in policy.layers:
         rule = rules[name]
@@ -251,7 +298,7 @@ def layer_hits(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy =
 # ------------------------------------------------------------------ outcomes
 
 
-def layer_results(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Policy()):
+def layer_results(log: DataFrame, vocab: Vocabulary | DataFrame = DEFAULT, *, policy: Policy = Policy()):
     """First code of every layer on its own (null = passed): columns ``<layer>_code``."""
     hits = layer_hits(log, vocab, policy=policy)
     first = {
@@ -288,7 +335,7 @@ def _passed_layers(policy: Policy) -> Column:
     return F.array_compact(F.array(*names))
 
 
-def verdicts(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Policy()):
+def verdicts(log: DataFrame, vocab: Vocabulary | DataFrame = DEFAULT, *, policy: Policy = Policy()):
     """One verdict per query: the first failing layer decides. Batch or streaming input.
 
     Keeps the log's columns and adds ``success, layer, code, message, details, layers_passed,
@@ -312,7 +359,7 @@ def verdicts(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Po
     ).drop("_first")
 
 
-def audit_log(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Policy()):
+def audit_log(log: DataFrame, vocab: Vocabulary | DataFrame = DEFAULT, *, policy: Policy = Policy()):
     """Verdicts with guidance, as far as the policy's verbosity allows."""
     result = with_guidance(verdicts(log, vocab, policy=policy))
     if policy.verbosity < 3 or not policy.include_examples:
@@ -324,7 +371,7 @@ def audit_log(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = P
     return result
 
 
-def violations(log: DataFrame, vocab: Vocabulary = DEFAULT, *, policy: Policy = Policy()):
+def violations(log: DataFrame, vocab: Vocabulary | DataFrame = DEFAULT, *, policy: Policy = Policy()):
     """One row per violated rule: all of a query's hits, or its first ``max_errors``."""
     hits = layer_hits(log, vocab, policy=policy)
     every = F.concat(*[_labelled(name) for name in policy.layers])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cellward.functions.statements import KEYWORDS
@@ -103,6 +104,34 @@ def _(spark, sf_dir):
     return voc.merge_dictionaries(voc.phi_dictionary(spark), custom)
 
 
+_EXTRA = [
+    (i, n, c)
+    for i, t in enumerate(TEXTS)
+    for n, c in enumerate(("SELECT", "GROUP BY"), 1)
+    if "favourite_colour" in t.query
+]
+
+
+@query(
+    "phi_dictionary_audit",
+    f"""WITH {LOG_SQL}, {HITS_SQL}, {expected("extra", _EXTRA, ["ordinal", "clause"])}
+    SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY ordinal) AS ordinal, code, token, clause
+    FROM log JOIN hits USING (kind) WHERE layer = 'phi' AND code <> 'E204'
+    UNION ALL SELECT request_id, ordinal, 'E201', 'favourite_colour', clause FROM log JOIN extra USING (kind)""",
+)
+def _(spark, sf_dir):
+    # an organisation's own list of one name for every part, and one that a text of the log uses
+    parts = table(spark, sf_dir, "part")
+    own = parts.select(F.concat(F.lit("part-"), "p_partkey").alias("name"))
+    own = own.union(parts.select(F.lit("Favourite-Colour")).distinct()).withColumn("category", F.lit("direct"))
+    dictionary = voc.merge_dictionaries(voc.phi_dictionary(spark), own)
+    hits = violations(log(spark, sf_dir), dictionary, policy=ALL_ERRORS.only("phi")).where("code <> 'E204'")
+    order = Window.partitionBy("request_id").orderBy("ordinal")
+    return hits.select(
+        "request_id", F.row_number().over(order).cast("long").alias("ordinal"), "code", "token", "clause"
+    )
+
+
 @query(
     "identifier_type",
     f"""WITH {LOG_SQL}, {HITS_SQL}

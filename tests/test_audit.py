@@ -173,7 +173,7 @@ def test_custom_vocabulary_file(spark, tmp_path, log_of):
     got = [r["code"] for r in verdicts(log, vocab, policy=rules).orderBy("request_id").collect()]
     assert got == ["E201", "E203", None]
     wider = voc.DEFAULT.extended(direct=["chart_ref"])
-    got = [r["code"] for r in verdicts(log, wider).orderBy("request_id").collect()]
+    got = [r["code"] for r in verdicts(log, wider, policy=rules).orderBy("request_id").collect()]
     assert got == ["E201", None, "E201"]
 
 
