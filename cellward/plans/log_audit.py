@@ -13,14 +13,13 @@ from cellward.plans.sample_log import (
     LOG_SQL,
     VERDICT_SQL,
     expected,
-    log_from_orders,
     per_text,
     values,
 )
 from cellward.plans.vocabularies import ALL_ERRORS, log
 from cellward.policy import DEFAULT_LAYERS
 from cellward.session import fresh_path
-from cellward.sources import audit_files, guidance
+from cellward.sources import audit_files, audit_store, guidance, query_log
 from cellward.sources.tables import table
 from cellward.streaming import audit as streams
 
@@ -263,11 +262,21 @@ def _stream(spark, sf_dir, name):
     return files.parquet(sf_dir)
 
 
-@query("stream_failure_alert", _ALERT_SQL)
+@query(
+    "stream_failure_alert",
+    f"""SELECT a.*, 0 AS n_dropped FROM ({_ALERT_SQL}) a
+    WHERE CAST(window_end AS TIMESTAMP) <=
+          (SELECT max(ts) FROM events WHERE event_type = 'error') - INTERVAL 1 HOUR""",
+)
 def _(spark, sf_dir):
+    # windows that the watermark has closed, and how many rows came too late for theirs
     path = fresh_path(spark, "alerts")
-    streams.run_to_table(_alerts(_stream(spark, sf_dir, "events")), f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out")
+    alerts = _alerts(_stream(spark, sf_dir, "events"))
+    run = streams.stream_alerts(alerts, f"{path}/out", f"{path}/state", available_now=True)
+    run.awaitTermination()
+    streams.store_lateness(spark, run, f"{path}/late")
+    dropped = spark.read.parquet(f"{path}/late").agg(F.sum("n_dropped").cast("int").alias("n_dropped"))
+    return spark.read.parquet(f"{path}/out").join(dropped)
 
 
 @query(
@@ -279,15 +288,16 @@ def _(spark, sf_dir):
     FROM log JOIN verdict USING (kind) GROUP BY 1, 2, 3""",
 )
 def _(spark, sf_dir):
+    # a log of several files, read by the log's own reader
     path = fresh_path(spark, "audit")
-    source = log_from_orders(_stream(spark, sf_dir, "orders"))
+    log(spark, sf_dir).write.parquet(f"{path}/log")
     streams.stream_audit(
-        source,
+        query_log.stream_query_log(spark, f"{path}/log"),
         f"{path}/out",
         f"{path}/state",
         available_now=True,
     ).awaitTermination()
-    stored = audit_files.read_audit(spark, f"{path}/out")
+    stored = audit_store.read_store(spark, f"{path}/out")
     return stored.groupBy("validation_result", "layer_failed", "error_code").agg(
         F.count("*").alias("n_records"),
         F.min(reports.utc_text(F.col("timestamp"))).alias("first_seen"),

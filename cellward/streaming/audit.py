@@ -1,18 +1,16 @@
-"""The stateless audit as a stream, and the only stateful job: failures per hour.
-
-In append and update mode rows behind the watermark are dropped, and in append mode a window is
-emitted once the watermark has passed its end; complete mode (``run_to_table``) keeps all.
-"""
+"""The stateless audit as a stream, and the only stateful job: failures per hour."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cellward.operators.reports import audit_records, utc_day
+from cellward.operators.reports import audit_records
 from cellward.operators.verdicts import verdicts
 from cellward.policy import Policy
+from cellward.session import literal_table
+from cellward.sources import audit_store
 from cellward.sources.audit_files import audit_lines
 from cellward.sources.vocabulary import DEFAULT, Vocabulary
 
@@ -21,29 +19,25 @@ def stream_audit(
     log: DataFrame,
     path: str,
     checkpoint: str,
-    vocab: Vocabulary = DEFAULT,
+    vocab: Vocabulary | DataFrame = DEFAULT,
     *,
     policy: Policy = Policy(),
     available_now: bool = False,
-    files_per_day: int = 1,
+    rows_per_file: int = audit_store.ROWS_PER_FILE,
+    fan: int = audit_store.FAN,
 ) -> StreamingQuery:
-    """Append a log stream's audit records to day partitions of JSON lines.
+    """Append a log stream's audit records to the audit store at ``path``.
 
-    The file sink with its checkpoint writes every record exactly once. A batch writes at most
-    ``files_per_day`` files for a day: rows are gathered by day and a salt of the whole row, so
-    rows without an id are no hot key.
+    A batch is audited on the partitions in which its source reads it, whatever days it holds. Its
+    finished lines go to files by day, and the store takes each batch exactly once, also when it is
+    replayed. As every batch is a table of its own, the vocabulary may be a dictionary of any size.
     """
-    salt = F.pmod(F.xxhash64("request_id", "query"), F.lit(files_per_day))
-    dealt = log.withColumns({"_dt": utc_day(F.col("ts")), "_salt": salt})
-    dealt = dealt.repartition("_dt", "_salt").drop("_dt", "_salt")
-    lines = audit_lines(audit_records(verdicts(dealt, vocab, policy=policy), policy=policy))
-    writer = (
-        lines.writeStream.format("text")
-        .outputMode("append")
-        .partitionBy("dt")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        records = audit_records(verdicts(batch, vocab, policy=policy), policy=policy)
+        audit_store.append(audit_lines(records), path, batch_id, rows_per_file=rows_per_file, fan=fan)
+
+    writer = log.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -61,6 +55,8 @@ def failure_alert(
 ) -> DataFrame:
     """Windows with more failures than the threshold; batch or streaming input.
 
+    A stream in append mode shows a window once the watermark has passed its end; rows behind the
+    watermark are dropped.
     Event time must be a ``timestamp``, so one without time zone is cast.
     """
     limit = policy.alert_threshold if threshold is None else threshold
@@ -78,6 +74,47 @@ def failure_alert(
     )
 
 
+def stream_alerts(
+    alerts: DataFrame, path: str, checkpoint: str, *, available_now: bool = False
+) -> StreamingQuery:
+    """Append the windows that ``failure_alert`` has closed to Parquet files at ``path``, each exactly once.
+
+    With ``store_lateness`` the rows which the watermark dropped are kept next to them.
+    """
+    writer = (
+        alerts.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+LATENESS_DDL = "batch_id long, watermark string, n_rows long, n_dropped long"
+
+
+def lateness(query: StreamingQuery) -> list[tuple[int, str | None, int, int]]:
+    """Of the query's recent batches: their rows, and the rows behind the watermark as the stateful operator
+    counts them, that is after a task has combined its rows of one window."""
+    return [
+        (
+            p.batchId,
+            p.eventTime.get("watermark"),
+            p.numInputRows,
+            sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+        )
+        for p in query.recentProgress
+    ]
+
+
+def store_lateness(spark: SparkSession, query: StreamingQuery, path: str) -> None:
+    """Append ``lateness`` of a query's run to ``path``; nothing if it had no batch."""
+    if rows := lateness(query):
+        literal_table(spark, rows, LATENESS_DDL).coalesce(1).write.mode("append").parquet(path)
+
+
 def run_to_table(result: DataFrame, path: str, checkpoint: str) -> None:
     """Run a complete-mode stream over all available input; ``path`` keeps the last result."""
 

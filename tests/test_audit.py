@@ -11,7 +11,7 @@ from cellward.operators import log_tables, reports
 from cellward.operators.verdicts import verdicts
 from cellward.policy import ConfigError, Policy, load_policy
 from cellward.session import fresh_path, literal_table, shared_dir
-from cellward.sources import audit_files, catalog, query_log
+from cellward.sources import audit_files, audit_store, catalog, query_log
 from cellward.sources import vocabulary as voc
 from cellward.streaming import audit as streams
 
@@ -244,12 +244,95 @@ def test_stream_audit_equals_batch_and_resumes(spark):
         part.write.mode("append").parquet(path)
         source = query_log.stream_query_log(spark, path)
         streams.stream_audit(source, out, state, available_now=True).awaitTermination()
-    got = audit_files.read_audit(spark, out).drop("dt")
+    got = audit_store.read_store(spark, out).drop("dt")
     batch = reports.audit_records(verdicts(log)).select(got.columns)
     assert got.count() == 40
     assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
 
 
+def files_by_day(spark, path):
+    read = audit_store.read_store(spark, path).select("dt", F.input_file_name().alias("file"))
+    return {str(r["dt"]): r["n"] for r in read.groupBy("dt").agg(F.count_distinct("file").alias("n")).collect()}
+
+
+def test_many_small_batches_end_in_one_file_a_day(spark):
+    path, out, state = (fresh_path(spark, n) for n in ("log", "out", "state"))
+    log = make_log(spark, 60).withColumn("slice", F.expr("int(request_id) % 20"))
+    write_in_files(log, path, 20)
+    source = query_log.stream_query_log(spark, path, maxFilesPerTrigger=1)
+    streams.stream_audit(source, out, state, available_now=True, fan=20).awaitTermination()
+    last = audit_store.read_state(spark, out)
+    assert last.last_batch == 19 and [level for _, level in last.folders] == [1]
+    got = audit_store.read_store(spark, out).drop("dt")
+    batch = reports.audit_records(verdicts(make_log(spark, 60))).select(got.columns)
+    assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
+    assert set(files_by_day(spark, out).values()) == {1}
+    # what no manifest names any more can go
+    assert audit_store.vacuum(spark, out) >= 20
+    assert audit_store.read_store(spark, out).count() == 60
+
+
+def test_replayed_batches_count_once(spark):
+    out = fresh_path(spark, "out")
+    lines = audit_files.audit_lines(reports.audit_records(verdicts(make_log(spark, 30))))
+    for batch in (0, 1, 1, 0, 2):
+        audit_store.append(lines, out, batch, fan=3)
+    assert audit_store.read_store(spark, out).count() == 90
+    # a batch that was written, but not committed, is written again
+    folder = f"{out}/data/folder=batch-{3:012d}"
+    lines.limit(4).write.partitionBy("dt").text(folder)
+    spark.range(1).write.json(f"{out}/manifest/{99:012d}")
+    system, done = audit_store._files(spark, f"{out}/manifest/{99:012d}/_SUCCESS")
+    system.delete(done, False)
+    assert audit_store.read_store(spark, out).count() == 90
+    audit_store.append(lines, out, 3, fan=3)
+    assert audit_store.read_store(spark, out).count() == 120
+
+
+def test_levels_of_folders(spark):
+    out = fresh_path(spark, "out")
+    lines = audit_files.audit_lines(reports.audit_records(verdicts(make_log(spark, 2)))).cache()
+    for batch in range(9):
+        found = audit_store.append(lines, out, batch, fan=2)
+        assert audit_store.read_store(spark, out).count() == 2 * (batch + 1)
+    assert sorted(level for _, level in found.folders) == [0, 3]
+    assert audit_store.merge(spark, out).folders[0][1] == 3
+    assert set(files_by_day(spark, out).values()) == {1}
+    # an empty batch leaves no folder but counts as done
+    state = audit_store.append(lines.where("false"), out, 9)
+    assert state.last_batch == 9 and len(state.folders) == 1
+    assert audit_store.read_store(spark, fresh_path(spark, "none")).count() == 0
+
+
+def test_a_batch_of_one_day_is_audited_by_all_tasks(spark):
+    """The verdicts stay on the source's partitions, and the day gets files by its rows."""
+    path, out, state = (fresh_path(spark, n) for n in ("log", "out", "state"))
+    day = make_log(spark, 400, start=datetime(2024, 3, 1)).withColumn("ts", F.lit("2024-03-01 10:00:00").cast("timestamp"))
+    day.repartition(8).write.parquet(path)
+    source = query_log.stream_query_log(spark, path)
+    seen = []
+
+    def look(batch, _):
+        plan = verdicts(batch)._jdf.queryExecution().executedPlan().toString()
+        seen.append(("Exchange" in plan, batch.rdd.getNumPartitions()))
+
+    source.writeStream.foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    assert seen[0][0] is False and seen[0][1] > 1
+    streams.stream_audit(source, out, state, available_now=True, rows_per_file=100).awaitTermination()
+    assert audit_store.read_store(spark, out).count() == 400
+    assert 2 <= files_by_day(spark, out)["2024-03-01"] <= 4
+
+
+def test_expired_days_go_without_reading(spark):
+    out = fresh_path(spark, "out")
+    lines = audit_files.audit_lines(reports.audit_records(verdicts(make_log(spark, 30)))).cache()
+    audit_store.append(lines.where("dt < '2024-03-03'"), out, 0)
+    audit_store.append(lines, out, 1)
+    before = audit_store.read_store(spark, out).where("dt >= '2024-03-04'").count()
+    state = audit_store.expire(spark, out, "2024-03-04")
+    assert len(state.folders) == 1 and audit_store.read_store(spark, out).count() == before > 0
+
+
 def failures(spark):
     """Seven failures in the first hour, three in the second, and so on for ten hours."""
     start = datetime(2024, 1, 1)
@@ -282,6 +365,31 @@ def test_alert_stream_closed_windows_equal_batch(spark):
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == want and want
 
 
+def test_alerts_with_lateness(spark):
+    """Closed windows equal the batch, and dropped rows are counted next to them."""
+    path, out, state, late = (fresh_path(spark, n) for n in ("events", "alerts", "state", "late"))
+    start = datetime(2024, 1, 1)
+    slices = [
+        [start + timedelta(minutes=i) for i in range(6)],
+        [start + timedelta(hours=9, minutes=i) for i in range(6)],
+        [start + timedelta(minutes=50)] * 20 + [start + timedelta(hours=2)],  # two windows, hours late
+        [start + timedelta(hours=20)],
+    ]
+    for times in slices:
+        rows = literal_table(spark, [(t,) for t in times], "timestamp timestamp").coalesce(1)
+        rows.write.mode("append").parquet(path)
+        source = spark.readStream.schema("timestamp timestamp").parquet(path)
+        found = streams.failure_alert(source, failed=F.lit(True), threshold=5)
+        run = streams.stream_alerts(found, out, state, available_now=True)
+        run.awaitTermination()
+        streams.store_lateness(spark, run, late)
+    got = sorted((r["window_start"], r["n_failures"]) for r in spark.read.parquet(out).collect())
+    assert got == [(start, 6), (start + timedelta(hours=9), 6)]
+    stored = spark.read.parquet(late)
+    assert stored.agg(F.sum("n_dropped")).first()[0] == 2 and stored.agg(F.sum("n_rows")).first()[0] == 34
+    assert stored.where("n_dropped > 0").select("batch_id").distinct().count() == 1
+
+
 def test_alert_stream_complete_mode_equals_batch(spark):
     events, path = failures(spark), fresh_path(spark, "events")
     write_in_files(events, path, 5)
