@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cellward.policy import Policy
+from cellward.session import fresh_path
 
 # Field order of an audit record.
 AUDIT_FIELDS = (
@@ -140,13 +141,15 @@ def retain(audit: DataFrame, as_of: Column, *, time_col: str = "timestamp", poli
 
 
 def exact_percentile(
-    df: DataFrame, value: str, q: float, by: Sequence[str], *, per_octave: int = 64
+    df: DataFrame, value: str, q: float, by: Sequence[str], *, per_octave: int = 64, least: int = 50_000, fan: int = 1024
 ) -> DataFrame:
     """Exact interpolated percentile per group, for groups of any size.
 
-    ``percentile()`` keeps a group's distinct values in one task. Here equal values are counted
-    first; a fixed, monotone bucket of the value (about 1 % wide) then tells from bucket totals
-    alone which bucket holds the wanted ranks, and only that bucket is ordered.
+    ``percentile()`` keeps a group's distinct values in one task. Here equal values are counted first and kept in
+    the shared folder; a fixed, monotone bucket of the value (about 1 % wide) then tells from bucket totals alone which
+    buckets hold the wanted ranks. While such a bucket has more than ``least`` distinct values it is
+    cut into ``fan`` cells between its least and its greatest value, and again only the cells of the
+    wanted ranks stay. A double's digits end that after a few rounds. What is ordered in the end is small.
     """
     by = list(by)
     v = F.col("_v")
@@ -159,37 +162,55 @@ def exact_percentile(
         .when(v < 0, -size)
         .otherwise(F.lit(0).cast("long"))
     )
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_bucket", bucket)
-    )
+    path = fresh_path(df.sparkSession, "percentile")
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v"))
+    counted.agg(F.count("*").alias("_n")).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
     group = Window.partitionBy(*by)
-    ordered = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     rank = (F.col("_total") - 1) * F.lit(q)
-    wanted = (
-        counts.groupBy(*by, "_bucket")
-        .agg(F.sum("_n").alias("_size"))
-        .withColumns(
-            {
-                "_start": F.coalesce(F.sum("_size").over(ordered), zero),
-                "_total": F.sum("_size").over(group),
-            }
-        )
-        .where(
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+
+    def same(names):
+        # null is a group of its own
+        return [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in names]
+
+    def wanted(cells):
+        """Of a table of values with their ``_cell``, and what lies in front of all of them (``_before``):
+        the cells with the wanted ranks."""
+        sums = cells.groupBy(*by, "_cell").agg(
+            F.sum("_n").alias("_size"), F.count("*").alias("_values"), F.min("_v").alias("_low"), F.max("_v").alias("_top"),
+            F.min("_before").alias("_before"), F.max("_total").alias("_total"),
+        )
+        # all cells of a group, also those of two neighbouring buckets, follow one another
+        first = F.min("_before").over(group) + F.coalesce(F.sum("_size").over(ordered), zero)
+        found = sums.withColumn("_start", first).where(
             (F.col("_start") <= F.ceil(rank)) & (F.col("_start") + F.col("_size") > F.floor(rank))
         )
-        .select(*[F.col(c).alias(f"_by_{c}") for c in [*by, "_bucket"]], "_start", "_total")
-    )
-    # null is a group of its own
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in [*by, "_bucket"]]
-    inside = Window.partitionBy(*by, "_bucket").orderBy("_v")
+        return found.select(
+            *[F.col(c).alias(f"_by_{c}") for c in [*by, "_cell"]], "_start", "_low", "_top", "_values"
+        )
+
+    cells = counts.withColumns({"_cell": bucket, "_before": zero})
+    if by:
+        cells = cells.join(totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_total"), same(by))
+        cells = cells.drop(*[f"_by_{c}" for c in by])
+    else:
+        cells = cells.join(totals)
+    while True:
+        inside = wanted(cells)
+        placed = cells.drop("_before").join(inside, same([*by, "_cell"]))
+        if (inside.agg(F.max("_values")).first()[0] or 0) <= least:
+            break
+        share = (F.col("_v") - F.col("_low")) / (F.col("_top") - F.col("_low"))
+        place = F.when(F.col("_top") > F.col("_low"), F.least(F.floor(share * fan), F.lit(fan - 1))).otherwise(0)
+        # the cells of a greater bucket come after those of a smaller one
+        order = F.struct(F.col("_start"), F.coalesce(place, zero).alias("place"))
+        cells = placed.select(*by, "_v", "_n", "_total", F.col("_start").alias("_before"), order.alias("_cell"))
+    inside = Window.partitionBy(*by, "_cell").orderBy("_v")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.join(wanted, same).withColumn(
-        "_end", F.col("_start") + F.sum("_n").over(upto)
-    )
+    placed = placed.withColumn("_end", F.col("_start") + F.sum("_n").over(upto))
 
     def at(position):
         covers = (F.col("_end") - F.col("_n") <= position) & (position < F.col("_end"))
@@ -215,7 +236,6 @@ def exact_percentile(
         return found.withColumn("n", F.coalesce("n", zero))
     # a group with nothing but nulls has no place in the counts
     groups = df.select(*[F.col(c).alias(f"_by_{c}") for c in by]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    return groups.join(found, same, "left").select(
+    return groups.join(found, same(by), "left").select(
         *[F.col(f"_by_{c}").alias(c) for c in by], F.coalesce("n", zero).alias("n"), "value"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from cellward.operators import reports
@@ -17,7 +19,7 @@ from cellward.plans.sample_log import (
     values,
 )
 from cellward.plans.vocabularies import ALL_ERRORS, log
-from cellward.policy import DEFAULT_LAYERS
+from cellward.policy import DEFAULT_LAYERS, Policy
 from cellward.session import fresh_path
 from cellward.sources import audit_files, audit_store, guidance, query_log
 from cellward.sources.tables import table
@@ -191,9 +193,13 @@ def _(spark, sf_dir):
     WHERE ts >= TIMESTAMP '2004-01-01' - INTERVAL 2190 DAYS GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    records = reports.audit_records(v.verdicts(log(spark, sf_dir)))
-    as_of = F.from_utc_timestamp(F.lit("2004-01-01").cast("timestamp"), F.current_timezone())
-    kept = reports.retain(records, as_of)
+    # the log is audited once, into days; retention then drops old days unread and filters the first one left
+    path = fresh_path(spark, "retention")
+    lines = audit_files.audit_lines(reports.audit_records(v.verdicts(log(spark, sf_dir))))
+    audit_store.append(lines, path, 0)
+    as_of = datetime(2004, 1, 1, tzinfo=UTC)
+    audit_store.expire(spark, path, (as_of - timedelta(days=Policy().retention_days)).date())
+    kept = reports.retain(audit_store.read_store(spark, path), F.lit(as_of))
     return kept.groupBy("validation_result").agg(F.count("*").alias("n_records"))
 
 

@@ -1,6 +1,7 @@
 """Records, files, reports, configuration and streams."""
 
 import json
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -113,6 +114,28 @@ def test_educational_response_leaves_out_what_is_absent(spark, log_of):
     ]
 
 
+@pytest.mark.parametrize("q", [0.0, 0.013, 0.5, 0.95, 1.0])
+def test_percentile_of_values_close_together(spark, q):
+    """99 of 100 values within a hundredth of each other, a third of all equal, and two other groups: cells
+    are cut again and again until few values are left, and no task orders more."""
+    rng = random.Random(5)
+    close = [1000 + 9 * rng.random() ** 3 for _ in range(4000)] + [1004.5] * 2000 + [rng.uniform(-1e6, 1e6) for _ in range(60)]
+    near = [1.0 + k * 2.0**-52 for k in range(300)]  # neighbouring doubles
+    data = {"close": close, "near": near, None: [-3.5, -3.25, 2.0, float("inf")], "sign": [-1000 - 9 * rng.random() for _ in range(900)]}
+    rows = [(g, x) for g, xs in data.items() for x in xs]
+    df = literal_table(spark, rows, "g string, x double").repartition(4)
+    for by in (["g"], []):
+        found = reports.exact_percentile(df, "x", q, by, least=5, fan=16).collect()
+        groups = data if by else {"all": [x for xs in data.values() for x in xs]}
+        assert len(found) == len(groups)
+        for r in found:
+            xs = sorted(groups[r["g"]] if by else groups["all"])
+            at = (len(xs) - 1) * q
+            low, high = xs[math.floor(at)], xs[math.ceil(at)]
+            want = low if low == high else low + (high - low) * (at - math.floor(at))
+            assert r["n"] == len(xs) and (r["value"] == want or abs(r["value"] - want) <= 1e-12 * abs(want))
+
+
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
 def test_exact_percentile(spark, q):
     rng = random.Random(11)
