@@ -9,14 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cellward.functions import statements as st
+from cellward.functions.characters import first_forbidden
 from cellward.operators.deidentify import safe_view
 from cellward.operators.verdicts import drop_derived, read_statements, verdicts
 from cellward.policy import COUNT_ALIAS, PERSON_COLUMN, GuardError, Policy
-from cellward.session import literal_table
+from cellward.session import fresh_path, literal_table
 from cellward.sources.vocabulary import DEFAULT, Vocabulary
 
 # Parts of Spark's dialect that could forge the person count, show rows of withheld cells, or
@@ -38,6 +40,8 @@ _AGGREGATE_CALL = re.compile(
     r"CAST\s*\(\s*[\w.]+\s+AS\s+\w+\s*\))\s*\)",
     re.IGNORECASE,
 )
+# Aggregates that show the same whether equal rows stand once or many times.
+_SET_AGGREGATE = re.compile(r"\b(?:COUNT\s*\(\s*DISTINCT\b|(?:MIN|MAX)\s*\()", re.IGNORECASE)
 _ANY_AGGREGATE = re.compile(rf"\b(?:{'|'.join(st.AGGREGATES)})\s*\(", re.IGNORECASE)
 # One table after FROM or JOIN: a bare name with an optional alias, then join words.
 _TABLE_TERM = re.compile(
@@ -90,6 +94,11 @@ def check_sql(
 ) -> None:
     """Raise ``GuardError`` unless the text passes every layer, reads only ``tables``, joins them
     by their keys, and shows nothing but group items and plain aggregates."""
+    _checked(session, text, tables, vocab, policy)
+
+
+def _checked(session: SparkSession, text: str, tables, vocab: Vocabulary, policy: Policy) -> dict[str, list[str]]:
+    """Check a text. Returns its fact tables that may be read as sets, with the columns it names of them."""
     # the names of tables and columns are those of the session, which Spark resolves
     policy = policy.only(*(n for n in policy.layers if n != "schema"))
     log = literal_table(session, [("1", text)], "request_id string, query string")
@@ -103,6 +112,8 @@ def check_sql(
                 "functions": F.transform(
                     F.filter("_ids", lambda i: i["is_function"]), lambda i: i["name"]
                 ),
+                "names": F.array_distinct(F.transform("_ids", lambda i: i["name"])),
+                "bound": F.array_distinct(F.transform("_bound", lambda t: t["name"])),
                 "forbidden": F.col("_flat").rlike(_FORBIDDEN),
                 "items": st.select_items(F.col("_flat"), F.col("_lists")),
                 "counts": F.col("_counts"),
@@ -128,6 +139,12 @@ def check_sql(
     ):
         raise GuardError("E802", "an aggregate may only read one column, without a condition")
     _check_tables(session, [tuple(c) for c in facts["clauses"]], {t.lower() for t in tables})
+    code = facts["code_text"]
+    if len(facts["bound"]) < 2 or len(_ANY_AGGREGATE.findall(code)) != len(_SET_AGGREGATE.findall(code)):
+        return {}
+    named = {t: [c for c in session.table(t).columns if c.lower() in facts["names"]] for t in facts["bound"]}
+    # the table of persons has one row for each of them
+    return {t: c for t, c in named.items() if PERSON_COLUMN in (x.lower() for x in c) and t != "person"}
 
 
 def _check_tables(session: SparkSession, clauses: list[tuple[str, str]], allowed: set[str]) -> None:
@@ -186,11 +203,52 @@ def guarded_sql(
 ) -> DataFrame:
     """Result of a checked text: its cells with at least ``policy.min_cell`` persons.
 
-    ``session`` comes from ``guarded_session``; ``tables`` are the names registered there.
+    ``session`` comes from ``guarded_session``; ``tables`` are the names registered there. A text whose
+    aggregates do not count repeated rows reads the distinct rows of its fact tables, so that a
+    person with very many facts is collapsed before the join. A cell that is not printable ASCII stops the
+    query that shows it.
     """
-    check_sql(session, text, tables, vocab, policy=policy)
+    sets = _checked(session, text, tables, vocab, policy)
     # without comments: what the rules masked must not reach Spark
     code = _COMMENT.sub(lambda m: m[1] or " ", text)
-    result = session.sql(code.rstrip().rstrip(";"))
+    distinct = [f"{t} AS (SELECT DISTINCT {', '.join(f'`{c}`' for c in columns)} FROM {t})" for t, columns in sets.items()]
+    shadows = f"WITH {', '.join(distinct)} " if distinct else ""
+    result = session.sql(shadows + code.rstrip().rstrip(";"))
     kept = result.where(F.col(COUNT_ALIAS) >= F.lit(policy.min_cell))
-    return kept if policy.max_rows is None else kept.limit(policy.max_rows)
+    kept = kept if policy.max_rows is None else kept.limit(policy.max_rows)
+    return _printable(kept) if policy.scan_output else kept
+
+
+def _texts(result: DataFrame) -> list[str]:
+    return [f.name for f in result.schema if isinstance(f.dataType, StringType)]
+
+
+def _printable(result: DataFrame) -> DataFrame:
+    """The same cells; one with a forbidden character raises E001 where it is read."""
+
+    def checked(cell, field):
+        if not isinstance(field.dataType, StringType):
+            return cell.alias(field.name)
+        stop = F.raise_error(F.lit(f"E001 a cell of '{field.name}' is not printable ASCII; the result is withheld"))
+        return F.when(first_forbidden(cell) >= 0, stop.cast("string")).otherwise(cell).alias(field.name)
+
+    # by place, as a text may show two columns of one name
+    places = [f"_{i}" for i in range(len(result.columns))]
+    return result.toDF(*places).select(*[checked(F.col(p), f) for p, f in zip(places, result.schema)])
+
+
+def release(result: DataFrame) -> DataFrame:
+    """A guarded result as a stored table, or ``GuardError`` (E001) if one of its cells is not printable ASCII.
+
+    The job that writes the result also counts such cells, so there is no second pass, and nobody
+    sees the table before the count is known. For results read with ``scan_output=False``, or any other table.
+    """
+    path, seen = fresh_path(result.sparkSession, "released"), Observation()
+    bad = [F.count_if(first_forbidden(F.col(f"`{c}`")) >= 0).alias(f"n_{i}") for i, c in enumerate(_texts(result))]
+    watched = result.observe(seen, F.count(F.lit(1)).alias("n_rows"), *bad)
+    watched.write.parquet(path)
+    found = seen.get
+    columns = [c for i, c in enumerate(_texts(result)) if found[f"n_{i}"]]
+    if columns:
+        raise GuardError("E001", f"cells of {columns} are not printable ASCII; the result is withheld", {"columns": columns})
+    return result.sparkSession.read.parquet(path)

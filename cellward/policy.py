@@ -48,6 +48,7 @@ class Policy:
     retention_days: int = 2190
     alert_threshold: int = 10
     max_rows: int | None = None  # size limit of a guarded result
+    scan_output: bool = True  # a guarded result with a cell that is not printable ASCII is withheld
     # what answers and audit records show
     include_examples: bool = True
     include_links: bool = True

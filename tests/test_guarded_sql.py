@@ -4,7 +4,7 @@ from functools import partial
 
 import pytest
 
-from cellward.plans.guarded_sql import guarded_session, guarded_sql
+from cellward.plans.guarded_sql import guarded_session, guarded_sql, release
 from cellward.policy import GuardError, Policy
 
 COUNT = "COUNT(DISTINCT person_id) AS Count_Patients"
@@ -158,3 +158,83 @@ def test_no_cartesian_product(run):
     assert result.count() == 3
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+# ------------------------------------------------------------------ facts as sets
+
+
+def _hot(spark):
+    """One person with a third of all facts."""
+    return spark.range(30_000).selectExpr(
+        "id AS condition_occurrence_id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 300 END AS person_id",
+        "id % 4 AS condition_concept_id", "id % 11 AS visit_occurrence_id",
+    )
+
+
+_JOIN = "FROM person p JOIN condition_occurrence c ON p.person_id = c.person_id"
+_PERSONS = "COUNT(DISTINCT p.person_id) AS Count_Patients"
+
+
+@pytest.mark.parametrize(
+    "text, reduced",
+    [
+        (f"SELECT c.condition_concept_id, {_PERSONS} {_JOIN} GROUP BY c.condition_concept_id", True),
+        (f"SELECT p.gender_concept_id, {_PERSONS}, MAX(c.visit_occurrence_id) AS m {_JOIN} "
+         "WHERE c.condition_concept_id < 3 GROUP BY p.gender_concept_id", True),
+        (f"SELECT p.gender_concept_id, {_PERSONS}, COUNT(DISTINCT c.visit_occurrence_id) AS m {_JOIN} "
+         "GROUP BY p.gender_concept_id", True),
+        # sums and counts of rows need every row
+        (f"SELECT p.gender_concept_id, {_PERSONS}, COUNT(*) AS n {_JOIN} GROUP BY p.gender_concept_id", False),
+        (f"SELECT p.gender_concept_id, {_PERSONS}, AVG(c.visit_occurrence_id) AS n {_JOIN} "
+         "GROUP BY p.gender_concept_id", False),
+        (f"SELECT condition_concept_id, {COUNT} FROM condition_occurrence GROUP BY condition_concept_id", False),
+    ],
+)
+def test_facts_are_read_as_sets_where_repeats_do_not_count(spark, text, reduced):
+    tables = {"person": _person, "condition_occurrence": _hot}
+    session = guarded_session(spark, tables)
+    result = guarded_sql(session, text, tables, policy=Policy(min_cell=1))
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :] if "Join" in plan else ""
+    assert ("Aggregate" in below) == reduced
+    # the same cells as from the rows
+    rows = {n: load(spark) for n, load in tables.items()}
+    for n, df in rows.items():
+        df.createOrReplaceTempView(f"plain_{n}")
+    plain = text.replace("FROM person p", "FROM plain_person p").replace("JOIN condition", "JOIN plain_condition")
+    want = spark.sql(plain.replace("FROM condition", "FROM plain_condition")).collect()
+    assert sorted(map(tuple, result.collect())) == sorted(map(tuple, want)) and want
+
+
+# ------------------------------------------------------------------ output
+
+
+def _places(spark):
+    return spark.range(300).selectExpr(
+        "id AS person_id", "CASE id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN NULL ELSE 'caf' || chr(233) END AS gender_source_value"
+    )
+
+
+def test_result_with_a_bad_cell_is_withheld(spark):
+    tables = {"person": _places}
+    session = guarded_session(spark, tables)
+    ask = partial(guarded_sql, session, tables=tables)
+    text = f"SELECT gender_source_value, {COUNT} FROM person GROUP BY gender_source_value"
+    with pytest.raises(Exception, match="E001"):
+        ask(text, policy=Policy(min_cell=100)).collect()
+    with pytest.raises(GuardError) as error:
+        release(ask(text, policy=Policy(min_cell=100, scan_output=False)))
+    assert error.value.code == "E001" and error.value.details == {"columns": ["gender_source_value"]}
+    # a cell below the threshold is not shown and stops nothing
+    rare = f"SELECT gender_source_value, {COUNT} FROM person WHERE person_id % 3 < 2 OR person_id < 9 GROUP BY gender_source_value"
+    shown = ask(rare, policy=Policy(min_cell=50)).collect()
+    assert {r["gender_source_value"] for r in shown} == {"plain", None}
+    good = ask(f"SELECT gender_source_value, {COUNT} FROM person GROUP BY gender_source_value", policy=Policy(min_cell=101))
+    assert good.count() == 0 and release(good).count() == 0
+
+
+def test_released_result(run):
+    text = f"SELECT gender_concept_id, gender_concept_id, {COUNT} FROM person GROUP BY gender_concept_id"
+    assert run(text).count() == 3
+    text = f"SELECT gender_concept_id, {COUNT} FROM person GROUP BY gender_concept_id"
+    assert sorted(map(tuple, release(run(text)).collect())) == [(0, 100), (1, 100), (2, 100)]
