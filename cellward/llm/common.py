@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -18,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a local session without it (tests) gets one here."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
+        if folder is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder which all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellward-llm-"))
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

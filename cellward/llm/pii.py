@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and further identifiers found by bootstrapped contexts.
 
 The base finds e-mail addresses, IP addresses, card numbers and phone numbers by fixed rules. The
-method then learns from where they stand: the words around a base span are lexical patterns, the
-span's text is an instance. What looks like an identifier and is in no base span is an instance
+method then learns from where they stand and how they are written. The words around a base span (two on a
+side, one on each side, or, as a back-off, one on a side) and its shape (letters and digits as
+classes, all else as it is) are lexical patterns; the span's text is an instance. What looks like an identifier and is in no base span is an instance
 too, of no known kind: single words of five characters or more with three digits or an ``@``, and
 runs of numbers (digits, dots, dashes, parentheses, a plus sign) joined by blanks and dashes, of
 any length and without a checksum. Numbers side by side are one run, as nothing tells where an
 identifier in it would end; its words remain instances, and count with the run once. A pattern's
 confidence in a kind is the share of its distinct instances which are of that kind, where an
 unknown instance counts with its own score; an instance's score is the chance that one of its
-patterns is right. Both are
-computed in turn, ``ROUNDS`` times, as joins and sums over the pattern-instance graph. Unknown
+patterns of high confidence (``SURE`` or more) is right. Weak patterns add up to nothing, so that sixteen
+digits which are as often no card as one stay alone. Both are computed in turn, ``ROUNDS`` times, as joins and sums over the pattern-instance graph. Unknown
 instances with a score of ``ACCEPT`` or more are personal data wherever they were seen. A pattern
 counts only with ``SEEDS`` distinct base instances or more, so copies of one document teach nothing.
 
@@ -34,7 +35,7 @@ from pyspark.sql.types import StructType
 from cellward.llm.common import cut, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, SEEDS, ACCEPT = 3, 3, 0.8
+ROUNDS, SEEDS, ACCEPT, SURE = 3, 3, 0.8, 0.75
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +45,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\s]*[0-9@][^\s]*")
 _TOKEN = re.compile(r"\S+")
+_DIGIT, _LETTERS = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"[+(]*[0-9][0-9().+-]*")
 _JOINT = re.compile(r"[ \t\u00a0()-]+")
 _OUTER = ".,;:!?()[]{}<>\"'|"
@@ -97,8 +99,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def contexts(text: str, start: int, end: int, starts: list[int], ends: list[int]) -> list[str]:
-    """The lexical patterns around a span: two words before, two after, one on each side, however
-    far away. ``starts`` and ``ends`` are those of the text's words."""
+    """The lexical patterns around a span: two words before, two after, one on each side, one before, one after,
+    however far away. ``starts`` and ``ends`` are those of the text's words."""
     i, j = bisect_left(starts, start), bisect_right(ends, end)
     left = [_word(text[max(a, e - _NEXT_TO) : e]) for a, b in zip(starts[max(0, i - 2) : i], ends[max(0, i - 2) : i]) for e in [min(b, start)]]
     right = [_word(text[a : min(b, a + _NEXT_TO)]) for s, b in zip(starts[j : j + 2], ends[j : j + 2]) for a in [max(s, end)]]
@@ -109,9 +111,18 @@ def contexts(text: str, start: int, end: int, starts: list[int], ends: list[int]
         found.append("r " + " ".join(right))
     if left and right:
         found.append(f"b {left[-1]} {right[0]}")
+    if left:
+        found.append(f"p {left[-1]}")
+    if right:
+        found.append(f"n {right[0]}")
     return found
 
 
+def shape(instance: str) -> str:
+    """Digits as 9, runs of letters as a; long shapes as a digest."""
+    return _word(_DIGIT.sub("9", _LETTERS.sub("a", instance)))
+
+
 def _word(word: str) -> str:
     return word.lower() if len(word) <= _LONG else "#" + _digest(word.lower())
 
@@ -190,7 +201,7 @@ def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     for x in found:
         x["instance"] = text[x["start"] : x["end"]]
         x["run"] = x["run"] or x["instance"]
-        x["patterns"] = contexts(text, x["start"], x["end"], starts, ends)
+        x["patterns"] = [*contexts(text, x["start"], x["end"], starts, ends), f"s {shape(x['instance'])}"]
     return found
 
 
@@ -224,7 +235,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
-def discovered(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, accept: float = ACCEPT) -> DataFrame:
+def discovered(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, accept: float = ACCEPT, least: float = SURE) -> DataFrame:
     """``(instance, kind)`` of the unknown instances which the graph makes personal data.
 
     ``seen``: rows of single mentions. Every distinct (pattern, instance) is one edge. Patterns
@@ -248,6 +259,7 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, accept
         else:
             known = known.withColumn("gained", F.lit(0.0))
         sure = known.select("pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("all")).alias("sure"))
+        sure = sure.where(F.col("sure") >= least)
         wrong = F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))
         scores = cut(
             unknown.drop("run").distinct().join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(wrong))).alias("score"))

@@ -400,6 +400,32 @@ def test_contexts_find_spaced_identifiers(spark):
     assert redacted[33] == f"{long} mailto{far}<EMAIL>{far}or {long}"
 
 
+def test_shapes_find_unseen_identifiers(spark):
+    """Where no context repeats, the way they are written teaches: phones that the base pattern loses to a
+    number behind them are found, all of them and nothing else."""
+    draw = np.random.default_rng(8)
+    word = lambda: "".join(draw.choice(list("abcdefghij"), 7))
+    phone = lambda: f"+1 ({draw.integers(100, 999)}) 555-{draw.integers(1000, 9999)}"
+    rows = [(i, f"{word()} {phone()} {word()}") for i in range(60)]
+    hidden = [(100 + i, f"{word()} {phone()} 190.137.{i}.204 {word()}") for i in range(8)]
+    # numbers of sixteen digits, of which about one in ten is a card, dates, amounts, hashes
+    other = [(200 + i, f"{word()} {draw.integers(10**15, 10**16)} {word()} 2021-03-{i:02d} {word()} 1,{i:03d}.50 {word()}{i}x9{i}") for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in rows + hidden + other], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    more = {i: [tuple(s) for s in r["spans"] if s not in r["base"]] for i, r in found.items()}
+    for i, text in hidden:
+        assert [(3, text.index("+"), text.index(" 190"))] == more[i], text
+    assert not any(more[i] for i, _ in rows + other)
+
+
+def test_discovery_on_the_given_table(spark):
+    """Phones and cards of the given documents that the base rules miss are added, base spans stay."""
+    rows = pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()
+    added = [(r["doc_id"], s) for r in rows for s in r["spans"] if s not in r["base"]]
+    assert added and all(set(map(tuple, r["base"])) <= set(map(tuple, r["spans"])) for r in rows)
+    assert len(added) < 0.1 * sum(len(r["base"]) for r in rows)
+
+
 def test_mentions_of_runs():
     found = lambda text: [text[m["start"] : m["end"]] for m in pii.mentions(text, pii.base_spans(text)) if m["kind"] < 0]
     assert found("a (017) 555-7713, b 12 34") == ["(017) 555-7713", "555-7713", "12 34"]
