@@ -1,14 +1,15 @@
 """URL filters: rules of (host, path, verdict) judged by joins on short hash prefixes.
 
 Each URL is expanded into its host suffixes (whole labels) times the prefixes of its path, each
-expression is hashed, and the first eight hex digits of the digest meet the rules' in an equi-join.
-What meets is confirmed by the full digest. Of the rules that fit, the longest wins (host and path
+expression is hashed, and the first 32 bits of the digest, a whole number, meet the rules' in an equi-join.
+What meets is confirmed by the full digest, after the join, so that the number is the only key. Of the rules that fit, the longest wins (host and path
 together, then the longer host, then the verdict by name).
 
 Only shapes that a rule can have are expanded: suffixes of at most as many labels as a rule's host
-and path prefixes of the lengths which rules' paths have, so a hostile URL cannot blow up. Those
-lengths are few (``MOST_PATH`` bounds a rule's path); everything else about the rules stays a
-distributed table, and Spark broadcasts it only while it is small.
+and path prefixes of the lengths which rules' paths have, so a hostile URL cannot blow up. Of the rules only
+those distinct lengths come to the driver; everything else stays a distributed table, and
+Spark broadcasts it only while it is small. A URL also has a row of its own, which keeps URLs
+that meet nothing; its key is a negative number from the URL's hash, so these rows spread evenly.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule;
 repeated rows stay repeated; a null ``page_id`` is kept; rules with a null host or path are left
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from cellward.llm.common import table
 
 PREFIX = 8
-MOST_PATH = 2048
 RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -39,6 +39,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def short(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, PREFIX), 16, 10).cast("long")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
@@ -56,14 +60,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         "verdict",
         F.concat("host", "path").alias("rule"),
         F.sha2(whole, 256).alias("rule_digest"),
-        F.substring(F.sha2(whole, 256), 1, PREFIX).alias("short"),
+        short(F.sha2(whole, 256)).alias("short"),
         F.size(F.split("host", r"\.")).alias("labels"),
         F.length("path").alias("path_chars"),
     )
     shape = known.agg(F.max("labels"), F.sort_array(F.collect_set("path_chars"))).first()
     most_labels, lengths = shape[0] or 0, [int(n) for n in shape[1]]
-    if lengths and lengths[-1] > MOST_PATH:
-        raise ValueError(f"a rule's path may have {MOST_PATH} characters at most")
 
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
@@ -79,14 +81,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     digests = F.flatten(
         F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, F.lit(" "), p), 256)))
     )
-    # a row of its own for the URL itself, so that URLs without expressions stay
     expanded = split.select("*", F.explode(F.concat(F.array(F.lit("")), digests)).alias("digest"))
-    met = expanded.join(
-        known.drop("labels", "path_chars").distinct(),
-        (F.substring("digest", 1, PREFIX) == F.col("short")) & (F.col("digest") == F.col("rule_digest")),
-        "left",
-    )
-    fits = F.when(F.col("rule").isNotNull(), F.struct("chars", "host_chars", "verdict", "rule"))
+    itself = -1 - F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 31))
+    expanded = expanded.withColumn("key", F.when(F.col("digest") == "", itself).otherwise(short(F.col("digest"))))
+    met = expanded.join(known.drop("labels", "path_chars").distinct(), F.col("key") == F.col("short"), "left")
+    # the confirmation stands behind the join, where it cannot become a second key
+    fits = F.when(F.col("digest") == F.col("rule_digest"), F.struct("chars", "host_chars", "verdict", "rule"))
     judged = met.groupBy("page_id", "url", "host", "path").agg(
         F.max(fits).alias("best"), F.count_if(F.col("digest") == "").alias("copies")
     )

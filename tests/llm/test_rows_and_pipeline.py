@@ -105,6 +105,34 @@ def test_urls(spark):
     assert len(plain) == len(rows) and {r["verdict"] for r in plain} == {"block"}
 
 
+def test_url_prefix_is_the_only_key(spark, monkeypatch):
+    """URLs meet rules on the short number alone, in many partitions; the full digest decides behind the join."""
+    rules = spark.createDataFrame(list(urls.RULES), "host string, path string, verdict string")
+    pages = spark.range(4000).selectExpr("id AS page_id", "concat('https://www', id % 7, '.example.com/', if(id % 3 = 0, 'en/', 'x/'), id) AS url")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        judged = urls.judge_urls(pages, rules)
+        plan = judged._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+        assert len(joins) == 1 and joins[0].split("SortMergeJoin")[1].startswith(" [key#"), joins
+        assert joins[0].count("digest") == 0
+        want = sorted(map(tuple, judged.collect()))
+        # with one hex digit nearly everything meets, and what does not fit is still told apart
+        monkeypatch.setattr(urls, "PREFIX", 1)
+        assert sorted(map(tuple, urls.judge_urls(pages, rules).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert {r[5] for r in want} == {"allow", "block"} and len(want) == 4000
+    # a rule's path may be of any length
+    long = spark.createDataFrame([("example.com", "/" + "a" * 5000, "block")], "host string, path string, verdict string")
+    two = spark.createDataFrame([(1, "http://example.com/" + "a" * 5001), (2, "http://example.com/" + "a" * 4999)], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge_urls(two, long).collect()} == {1: "block", 2: "allow"}
+
+
 # ------------------------------------------------------------------ embeddings
 
 VECTORS = "vec_id long, embedding array<float>, label int, rep string"
