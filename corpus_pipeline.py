@@ -25,11 +25,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8, the smallest ``doc_id`` stays. Rows with
-    a null id have no place in a group and stay."""
-    groups = simhash.near_duplicate_groups(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Of rows whose SimHashes of three-word shingles are linked at 2 or fewer differing bits, the one with the
+    smallest ``doc_id`` stays, of several with that id the first.
+
+    Each row has a key of its own, its place in the table as it is read, so rows with a null id (after all others),
+    repeated rows and different texts under one id are each judged by their text.
+    """
+    rows = docs.withColumn("_row_key", F.monotonically_increasing_id())
+    groups = simhash.simhash_components(rows.select(F.col("_row_key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_row_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key")
+    first = rows.select("_row_key", "doc_id").join(groups, "_row_key").groupBy("component_id").agg(F.min(order)["_row_key"].alias("_row_key"))
+    return rows.join(first, "_row_key", "left_semi").select(*[docs[c] for c in docs.columns])
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
