@@ -9,7 +9,7 @@ runs of numbers (digits, dots, dashes, parentheses, a plus sign) joined by blank
 any length and without a checksum. Numbers side by side are one run, as nothing tells where an
 identifier in it would end; its words remain instances, and count with the run once. A pattern's
 confidence in a kind is the share of its distinct instances which are of that kind, where an
-unknown instance counts with its own score; an instance's score is the chance that one of its
+unknown instance counts with its own score (in patterns of two words); an instance's score is the chance that one of its
 patterns of high confidence (``SURE`` or more) is right. Weak patterns add up to nothing, so that sixteen
 digits which are as often no card as one stay alone. Both are computed in turn, ``ROUNDS`` times, as joins and sums over the pattern-instance graph. Unknown
 instances with a score of ``ACCEPT`` or more are personal data wherever they were seen. A pattern
@@ -258,7 +258,9 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, accept
             known = patterns.join(gained, ["pattern", "kind"], "left")
         else:
             known = known.withColumn("gained", F.lit(0.0))
-        sure = known.select("pattern", "kind", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("all")).alias("sure"))
+        # one word or a shape says little, so what was found elsewhere adds nothing to it
+        gains = F.when(F.left("pattern", F.lit(1)).isin("p", "n", "s"), 0.0).otherwise(F.coalesce("gained", F.lit(0.0)))
+        sure = known.select("pattern", "kind", ((F.col("seeds") + gains) / F.col("all")).alias("sure"))
         sure = sure.where(F.col("sure") >= least)
         wrong = F.log(F.greatest(1 - F.col("sure"), F.lit(1e-9)))
         scores = cut(
