@@ -1,13 +1,18 @@
 """I-Match fingerprints: hashes of the distinct terms in a band of inverse document frequency.
 
-A term is a lower-case run between white space and ASCII punctuation, hashed to one of ``SLOTS``
-lexicon slots. The document frequency of every slot is counted over all documents; slots within
-the band ``LOW`` to ``HIGH`` (shares of all documents) form the lexicon. Its bit map has a fixed
-size (32 KB), whatever the corpus, and goes into the plan as a literal, so fingerprints need no
-join. A document keeps its distinct slots of the lexicon in order; the first part of the
-fingerprint hashes all of them, and further parts hash randomised subsets of the lexicon, which
-hold one slot in 16, 64 or 256. Likeness is the share of equal parts among those that are not empty
-in both texts. A text without any slot of the lexicon hashes all its terms in the first part.
+A term is a lower-case run between white space and ASCII punctuation, known by its 64-bit hash. The
+document frequency of every term is counted over all documents; terms within the band ``LOW`` to
+``HIGH`` (shares of all documents) form the lexicon. As each of them stands in ``LOW`` of all
+documents or more, there are at most 1 / ``LOW`` times the mean number of distinct terms of a
+document, whatever the corpus and its vocabulary (200 times; a few thousand in natural text). The
+lexicon goes into the plan as a literal hash table, so fingerprints need no join.
+
+Each term of the lexicon carries a code for every part of the fingerprint it belongs to: the part's
+number in the high byte, then the low bits of its hash. Part 0 is the whole lexicon, further parts
+are randomised subsets of it which hold one term in 16, 64 or 256. The codes of a document are
+sorted once, the stretch of each part is hashed. Likeness is the share of equal parts among
+those that are not empty in both texts. A text without any term of the lexicon hashes all its terms
+in the first part.
 
 Defined results: null text is empty; rows with a null ``doc_id`` have no place in the order of
 ids and are left out; of rows that share an id the shortest text counts, then the smallest; in a
@@ -17,65 +22,71 @@ further columns are ignored; texts are hashed whole.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellward.llm.common import cut, table
 
-SLOTS = 1 << 18
 LOW, HIGH = 0.005, 0.25
-#: one slot in so many, and how many subsets of that kind
+#: one term in so many, and how many subsets of that kind
 SUBSETS = ((16, 4), (64, 12), (256, 16))
+SHARES = [share for share, many in SUBSETS for _ in range(many)]
+_PART = 56
 _SEPARATORS = r"[\s\p{Punct}]+"
 
 
-def term_slots(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), _SEPARATORS), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(SLOTS - 1).cast("long"))))
+def term_hashes(text: Column) -> Column:
+    words = F.array_distinct(F.array_remove(F.split(F.lower(text), _SEPARATORS), ""))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Column:
-    """The bit map of slots in the band, as a literal array of ``SLOTS / 64`` numbers."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """``(term, codes)``: the hashes in the band with their codes, that of part 0 first."""
     total = docs.count()
-    slots = docs.select(F.explode(term_slots(F.col("text"))).alias("slot"))
-    held = slots.groupBy("slot").count().where(F.col("count").between(low * total, high * total))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = held.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-    found = {r["word"]: r["bits"] for r in words.collect()}  # at most SLOTS / 64 rows
-    listed = ",".join(str(found.get(i, 0)) for i in range(SLOTS // 64))
-    return F.split(F.lit(listed), ",").cast("array<long>")
-
-
-def fingerprint_parts(text: Column, bits: Column) -> Column:
-    """The parts: first that of the whole lexicon, then one for each subset (null if empty)."""
-
-    def in_lexicon(slot: Column) -> Column:
-        word = F.element_at(bits, (F.shiftright(slot, 6) + 1).cast("int"))
-        shift = slot.bitwiseAND(F.lit(63).cast("long")).cast("int")
-        return F.call_function("shiftright", word, shift).bitwiseAND(F.lit(1).cast("long")) == 1
-
-    def parts(two: Column) -> Column:
-        terms, kept = two["terms"], two["kept"]
-        first = F.xxhash64(F.when(F.size(kept) > 0, kept).otherwise(F.array_sort(terms)))
-        rest, n = [], 0
-        for share, many in SUBSETS:
-            for _ in range(many):
-                n += 1
-                factor = (0x9E3779B97F4A7 * n * n + 2 * n + 1) % (1 << 40) | 1
-                rest.append(_subset(kept, factor, share))
-        return F.array(first, *rest)
-
-    terms = F.transform(F.array(term_slots(text)), lambda t: F.struct(t.alias("terms"), F.array_sort(F.filter(t, in_lexicon)).alias("kept")))
-    return F.element_at(F.transform(terms, parts), 1)
-
-
-def _subset(kept: Column, factor: int, share: int) -> Column:
-    """The hash of those slots that fall into one randomised subset, null if there are none."""
-    chosen = F.filter(
-        kept,
-        lambda s: F.shiftright(s * F.lit(factor).cast("long"), 22).bitwiseAND(F.lit(share - 1).cast("long")) == 0,
-    )
-    return F.element_at(F.transform(F.array(chosen), lambda c: F.when(F.size(c) > 0, F.xxhash64(c))), 1)
+    terms = docs.select(F.explode(term_hashes(F.col("text"))).alias("term"))
+    held = terms.groupBy("term").count().where(F.col("count").between(low * total, high * total))
+    rest = F.col("term").bitwiseAND(F.lit((1 << _PART) - 1).cast("long"))
+    own = lambda n: F.lit(n << _PART).cast("long") + rest
+    drawn = [F.when(F.pmod(F.xxhash64("term", F.lit(n)), F.lit(share)) == 0, own(n)) for n, share in enumerate(SHARES, 1)]
+    return held.select("term", F.array_compact(F.array(own(0), *drawn)).alias("codes"))
+
+
+def hash_table(terms: DataFrame) -> Column:
+    """The lexicon as a literal: an array of buckets by the low bits of the term, about one for each
+    term, with ``(t, c)`` of their terms. Its size is bounded as the lexicon is."""
+    rows = terms.collect()  # at most 1 / low times the mean number of distinct terms of a document
+    buckets: list[list[dict]] = [[] for _ in range(1 << len(rows).bit_length())]
+    for r in sorted(rows):
+        buckets[r["term"] & (len(buckets) - 1)].append({"t": r["term"], "c": r["codes"]})
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<t: long, c: array<long>>>>")
+
+
+def with_parts(df: DataFrame, text: str, name: str, held: Column) -> DataFrame:
+    """``df`` with the column ``name``: the parts of the fingerprint of the column ``text``, first that
+    of the whole lexicon, then one for each subset (null if empty).
+
+    Each step is a projection of its own, so that all parts read one list of sorted codes and their
+    stretches are found in generated code. A mark for the beginning of every part is sorted with the codes.
+    """
+    terms, found, ordered, marks = (F.col(f"_{name}_{c}") for c in ("terms", "found", "ordered", "marks"))
+    starts = [F.lit(n << _PART).cast("long") for n in range(len(SHARES) + 2)]
+    last = (F.size(held) - 1).cast("long")
+    bucket = lambda h: F.element_at(held, (h.bitwiseAND(last) + 1).cast("int"))
+    codes = F.flatten(F.transform(F.flatten(found), lambda e: e["c"]))
+
+    def part(n: int) -> Column:
+        at, to = (F.element_at(marks, i + 1).cast("int") for i in (n, n + 1))
+        return F.when(to > at + 1, F.xxhash64(F.slice(ordered, at + 1, to - at - 1)))
+
+    whole = F.coalesce(part(0), F.xxhash64(F.array_sort(terms)))
+    made = df.withColumn(f"_{name}_terms", term_hashes(F.col(text)))
+    made = made.withColumn(f"_{name}_found", F.transform(terms, lambda h: F.filter(bucket(h), lambda e: e["t"] == h)))
+    made = made.withColumn(f"_{name}_ordered", F.sort_array(F.concat(codes, F.array(*starts))))
+    made = made.withColumn(f"_{name}_marks", F.array(*[F.array_position(ordered, s) for s in starts]))
+    made = made.withColumn(name, F.array(whole, *[part(n) for n in range(1, len(SHARES) + 1)]))
+    return made.drop(*[f"_{name}_{c}" for c in ("terms", "found", "ordered", "marks")])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -138,15 +149,10 @@ def edited_texts(docs: DataFrame) -> DataFrame:
 
 
 def imatch(docs: DataFrame) -> DataFrame:
-    bits = lexicon(docs)
-    made = edited_texts(docs).select(
-        "doc_id",
-        "n_chars",
-        "next_id",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint_parts(F.col("text"), bits).alias("parts"),
-        fingerprint_parts(F.col("edited"), bits).alias("edited_parts"),
-    )
+    held = hash_table(lexicon(docs))
+    made = with_parts(edited_texts(docs), "text", "parts", held)
+    made = with_parts(made, "edited", "edited_parts", held)
+    made = made.select("doc_id", "n_chars", "next_id", F.sha2("edited", 256).alias("edited_sha256"), "parts", "edited_parts")
     made = cut(made)
     following = made.select(F.col("doc_id").alias("next_id"), F.col("parts").alias("next_parts"))
     return made.join(following, "next_id")

@@ -131,14 +131,42 @@ def test_imatch_edits(spark, texts):
     assert np.mean(near) > 10 * np.mean([r["near_next"] for r in rows.values()])
 
 
+def brute_terms(text):
+    words = {w for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower(), flags=re.ASCII) if w}
+    return {(h := xxhash.xxh64_intdigest(w, 42)) - (h >> 63 << 64) for w in words}
+
+
 def test_imatch_lexicon_band(spark):
-    """Slots within the band, by a count in Python."""
+    """Terms within the band, by a count in Python; terms which share low bits of their hash stay apart."""
     rows = [(i, "common " + ("half " if i % 2 else "") + f"rare{i}") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    slot = {w: spark.sql(f"SELECT xxhash64('{w}') & {imatch.SLOTS - 1}").first()[0] for w in ("common", "half")}
-    bits = spark.range(1).select(imatch.lexicon(docs, 0.3, 0.7).alias("b")).first()["b"]
-    held = {i * 64 + k for i, word in enumerate(bits) for k in range(64) if (word >> k) & 1}
-    assert held == {slot["half"]}
+    assert {r["term"] for r in imatch.lexicon(docs, 0.3, 0.7).collect()} == brute_terms("half")
+    assert {r["term"] for r in imatch.lexicon(docs, 0, 0.7).collect()} == brute_terms(" ".join(r[1] for r in rows)) - brute_terms("common")
+    bucket = spark.createDataFrame([(8, [8]), (16, [16]), (5, [5])], "term long, codes array<long>")
+    held = spark.range(1).select(imatch.hash_table(bucket).alias("h")).first()["h"]
+    assert [[(e["t"], e["c"]) for e in own] for own in held] == [[(8, [8]), (16, [16])], [(5, [5])], [], []]
+
+
+def test_imatch_parts(spark, docs, texts):
+    """Each part of the query is empty, or equal to another document's, just where the terms of its subset are."""
+    seen = Counter(t for text in texts.values() for t in brute_terms(text or ""))
+    low, high = imatch.LOW * len(texts), imatch.HIGH * len(texts)
+    codes = {r["term"]: r["codes"] for r in imatch.lexicon(docs).collect()}
+    assert set(codes) == {t for t, n in seen.items() if low <= n <= high}
+    shares = Counter(c >> 56 for own in codes.values() for c in own)
+    assert shares[0] == len(codes) and all(0.5 < shares[n] * s / len(codes) < 2 for n, s in enumerate(imatch.SHARES, 1) if s < 256)
+    held = {(c >> 56, t) for t, own in codes.items() for c in own}
+    rows = imatch.op4_imatch_fingerprints(spark, DATA).collect()
+    for n in range(len(imatch.SHARES) + 1):
+        part_of, set_of = {}, {}
+        for r in rows:
+            terms = brute_terms(texts[r["doc_id"]] or "")
+            own = frozenset(t for t in terms if (n, t) in held)
+            if not own and n == 0:
+                own = frozenset(terms)
+            part = r["fingerprint"].split(".")[n]
+            assert (part == "-") == (not own and n > 0)
+            assert part_of.setdefault(own, part) == part and set_of.setdefault(part, own) == own
 
 
 def test_imatch_odd(odd, none, clashing):
