@@ -8,7 +8,8 @@ mean chance over all of its windows, each weighted by its bytes, so texts count
 The network is trained here in numpy. It learns from a bounded sample of labelled documents:
 about ``PER_LANGUAGE`` documents of every label, chosen by a hash of their ids, and
 ``WINDOWS_EACH`` windows at even places of each. Only text and label are read; documents whose
-crc32(doc_id as text) mod 3 is 1 are held out. Prediction runs over batches of windows in tasks
+crc32(doc_id as text) mod 3 is 1 are held out. The sample is bounded in labels too: where there are
+more than ``LANGUAGES``, those with most labelled documents are learned (of equal ones the first by name). Prediction runs over batches of windows in tasks
 and sees nothing but bytes.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; without any
@@ -34,6 +35,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 PER_LANGUAGE = 600
 WINDOWS_EACH = 4
+LANGUAGES = 500
 UNKNOWN = "und"
 CLASSES = 64
 
@@ -53,7 +55,6 @@ def _byte_classes() -> np.ndarray:
 
 
 BYTE_CLASSES = _byte_classes()
-_MOST_LANGUAGES = 500
 
 
 @dataclass
@@ -165,20 +166,19 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return net
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int = WINDOWS_EACH) -> Network | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int = WINDOWS_EACH, languages: int = LANGUAGES) -> Network | None:
     """A network for the labels in ``docs``, from a sample bounded by the parameters."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(
         F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     )
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(_MOST_LANGUAGES + 1).collect()}
-    if len(counts) > _MOST_LANGUAGES:
-        raise ValueError(f"more than {_MOST_LANGUAGES} labels")
-    languages = sorted(counts)
-    if not languages:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in sizes.collect()}
+    names = sorted(counts)
+    if not names:
         return None
     # the share of each label that gives per_language documents on the average
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for l in languages for x in (l, min(1.0, per_language / counts[l]))])
+    share = F.create_map(*[F.lit(x) for l in names for x in (l, min(1.0, per_language / counts[l]))])
     chosen = labelled.where(draw < F.element_at(share, F.col("lang")))
     span = F.greatest(F.length("text") - WINDOW, F.lit(0))
     pieces = F.transform(
@@ -187,9 +187,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, windows_each: int =
     )
     rows = chosen.select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).collect()
     windows = np.concatenate([windows_of(r["piece"])[0][:1] for r in rows] or [np.zeros((0, WINDOW), np.uint8)])
-    labels = np.array([languages.index(r["lang"]) for r in rows], int)
+    labels = np.array([names.index(r["lang"]) for r in rows], int)
     order = np.lexsort([windows[:, k] for k in range(8)] + [labels]) if len(rows) else []
-    return fit(windows[order], labels[order], languages)
+    return fit(windows[order], labels[order], names)
 
 
 def predict_batch(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -16,6 +16,7 @@ place in the written ids; an empty table gives no rows; further columns are igno
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -33,6 +34,28 @@ CLOSING = 2
 DIMS, AXES, BITS = 256, 4, 12
 #: Words which a worker remembers with their ids; when full, it starts anew.
 REMEMBERED = 500_000
+#: The normalizer and split of a tokenizer file which ``_PLAIN`` and ``_WORDS`` follow.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_SUFFIX = "</w>"
 #: Text in which words can be encoded one by one: Latin letters and no special token.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*\Z")
 _WORDS = re.compile(
@@ -41,10 +64,12 @@ _WORDS = re.compile(
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer of the ``tokenizers`` library whose words do not interact.
+    """Ids of texts by a tokenizer of the ``tokenizers`` library, from any of its files.
 
-    A text of Latin letters is split here as the tokenizer splits it, and each distinct word goes
-    through the tokenizer once; any other text goes through it whole.
+    If the file says that it splits as ``_WORDS`` does and ends words with ``_SUFFIX``, a text of Latin
+    letters is split here, and each distinct word goes through the tokenizer once; any other text, and
+    all texts of any other tokenizer, go through it whole. Ids have 16 bits where the vocabulary
+    allows, else 32 (``kind``).
     """
 
     def __init__(self, path: str):
@@ -53,8 +78,17 @@ class WordEncoder:
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         pieces = self.whole.get_vocab()
-        self.last = np.zeros(max(pieces.values()) + 1, bool)
-        self.last[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
+        top = max(CLOSING, *pieces.values())
+        self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.last = np.zeros(top + 1, bool)
+        self.last[[i for piece, i in pieces.items() if piece.endswith(_SUFFIX)]] = True
+        with open(path, encoding="utf-8") as file:
+            self.by_word = self._splits_words(json.load(file))
+
+    @staticmethod
+    def _splits_words(spec: dict) -> bool:
+        alike = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
+        return alike and spec["model"].get("end_of_word_suffix") == _SUFFIX and all("<|" in t["content"] for t in spec["added_tokens"])
 
     def learn(self, words: list[str]) -> None:
         """Words go through the tokenizer in lines; a piece that ends a word shows where it ends."""
@@ -62,15 +96,16 @@ class WordEncoder:
         for at in range(0, len(lines), 50):
             some = lines[at : at + 50]
             for line, found in zip(some, self.whole.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False)):
-                ids = np.array(found.ids, np.uint16)
-                ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+                ids = np.array(found.ids, self.kind)
+                ends = (self.kind.itemsize * (np.flatnonzero(self.last[ids]) + 1)).tolist()
                 if len(ends) != len(line):
                     raise ValueError("the tokenizer does not end each word with one last piece")
                 raw = ids.tobytes()
                 self.known.update(zip(line, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORDS.findall(t.lower()) if _PLAIN.match(t) and "<|" not in t else None for t in texts]
+        plain = [self.by_word and _PLAIN.match(t) is not None and "<|" not in t for t in texts]
+        split = [_WORDS.findall(t.lower()) if yes else None for t, yes in zip(texts, plain)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         words: set[str] = set()
@@ -79,9 +114,9 @@ class WordEncoder:
         self.learn(list(words.difference(self.known)))
         look_up = self.known.__getitem__
         return [
-            np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
+            np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             if own is None
-            else np.frombuffer(b"".join(map(look_up, own)), np.uint16)
+            else np.frombuffer(b"".join(map(look_up, own)), self.kind)
             for text, own in zip(texts, split)
         ]
 
@@ -138,18 +173,18 @@ def curve_keys(ids: list[np.ndarray], seed: int = 11) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``(row, doc_id, key, n, ids)``, written; ``ids`` are 16-bit numbers and close with 2."""
+    """``(row, doc_id, key, n, ids)``, written; ``ids`` are ``n`` numbers of 16 or 32 bits and close with 2."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in small_batches(batches, 250):
-            ids = [np.append(i, np.uint16(CLOSING)) for i in own.encode([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [np.append(i, own.kind.type(CLOSING)) for i in own.encode([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(curve_keys(ids), pa.int64()),
                     pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([i.astype("<u2", copy=False).tobytes() for i in ids], pa.binary()),
+                    pa.array([i.astype(own.kind, copy=False).tobytes() for i in ids], pa.binary()),
                 ],
                 names=["doc_id", "key", "n", "ids"],
             )
@@ -178,8 +213,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 500):
             rows = []
-            for doc, begin, raw in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
+            for doc, begin, n, raw in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
                 at = 0
                 while at < len(ids):
                     sequence, offset = divmod(begin + at, length)
@@ -194,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     names = ["doc_id", "start", "length", "piece_ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 3
     schema = ", ".join(f"{n} {'binary' if n == 'piece_ids' else 'long'}" for n in names)
-    return placed.select("doc_id", F.col("start").alias("begin"), "ids").mapInArrow(run, schema)
+    return placed.select("doc_id", F.col("start").alias("begin"), "n", "ids").mapInArrow(run, schema)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

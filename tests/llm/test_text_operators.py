@@ -52,6 +52,16 @@ def test_language_whole_text_counts():
     assert pure > 0.9 and 0.45 < half < 0.75 and pure - half > 0.2
 
 
+def test_language_more_labels_than_the_bound(spark):
+    """The labels with most documents are learned, of equal ones the first by name."""
+    rows = [(i, f"text number {i} of many words", f"l{min(i % 9, 5)}") for i in range(360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    sizes = Counter(r[2] for r in learned)
+    want = sorted(sorted(sizes, key=lambda x: (-sizes[x], x))[:3])
+    assert language.train(docs, languages=3).languages == want and "l5" in want
+
+
 def test_language_odd(odd, none, clashing):
     for docs in (odd, clashing):
         found = language.identify(docs, language.train(docs))
@@ -591,6 +601,32 @@ def test_word_encoder_equals_the_tokenizer():
         assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_with_another_tokenizer(spark, odd):
+    """Texts go whole through a tokenizer that splits otherwise."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, own = Tokenizer.from_file(path), packing.WordEncoder(path)
+    assert not own.by_word and packing.WordEncoder(packing.default_tokenizer()).by_word
+    texts = ["", "A's don't WE'LL", "<|endoftext|> ok", "x  \n y"]
+    assert [i.tolist() for i in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    want = {r["doc_id"]: [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2] for r in odd.where("doc_id > 1").collect()}
+    check_packing(packing.digest(packing.pack(odd.where("doc_id > 1"), path)).collect(), want)
+
+
+def test_packing_with_a_large_vocabulary(spark, tmp_path):
+    """Ids beyond 16 bits."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    made.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "words.json")
+    made.save(path)
+    docs = spark.createDataFrame([(1, "w69999 w5 other"), (2, None), (3, "w65536 w65535")], "doc_id long, text string")
+    check_packing(packing.digest(packing.pack(docs, path)).collect(), {1: [69999, 5, 0, 2], 2: [2], 3: [65536, 65535, 2]})
+
+
 def test_hilbert_curve_is_continuous():
     from itertools import product
 
