@@ -82,13 +82,14 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.last = np.zeros(top + 1, bool)
         self.last[[i for piece, i in pieces.items() if piece.endswith(_SUFFIX)]] = True
-        with open(path, encoding="utf-8") as file:
-            self.by_word = self._splits_words(json.load(file))
-
-    @staticmethod
-    def _splits_words(spec: dict) -> bool:
-        alike = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _PRE_TOKENIZER
-        return alike and spec["model"].get("end_of_word_suffix") == _SUFFIX and all("<|" in t["content"] for t in spec["added_tokens"])
+        self.by_word = self._splits_words()
+
+    def _splits_words(self) -> bool:
+        """What the file says, read from the tokenizer's parts, so that its vocabulary is not parsed again."""
+        stated = [json.loads(x.__getstate__()) if x else None for x in (self.whole.normalizer, self.whole.pre_tokenizer)]
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        special = self.whole.get_added_tokens_decoder().values()
+        return stated == [_NORMALIZER, _PRE_TOKENIZER] and suffix == _SUFFIX and all("<|" in t.content for t in special)
 
     def learn(self, words: list[str]) -> None:
         """Words go through the tokenizer in lines; a piece that ends a word shows where it ends."""
