@@ -16,9 +16,10 @@ Several predictors give each bit a chance: the counts of zeros and ones that the
 bit's place in the tree alone and with hashed contexts - the symbol before, the two before, the last two
 frequent words - or, in spelling, with the one to five bytes before. Their logits are
 combined by weights that a gate chooses (the depth, or the state of the repetition) and the result is refined
-by a table of how often such chances came true. The weights are learned online over a bounded sample of
-training texts, with each bit's own count taken out; then every text goes on learning its own weights,
-block by block, from what it has shown so far. The chances of all continuations sum to at most 1.
+by a table of how often such chances came true. The weights and that table are learned from every bit of all
+training texts, and of all words known once, with each bit's own count taken out: tasks sum slopes and
+curvatures of the cost, gate by gate, and a Newton step follows from the sums. Then every text goes on learning
+its own weights, block by block, from what it has shown so far. The chances of all continuations sum to at most 1.
 
 The count of every word of the corpus is gathered; that table grows with the input and is never in
 one place. Texts are cut into chunks of bounded size whose distinct words meet the counts by a join.
@@ -51,10 +52,10 @@ from cellward.llm.words import number, split_words, text_slices
 
 #: Words with a symbol of their own, slots of a hashed context, bytes of text in a chunk.
 FREQUENT, SLOT_BITS, SLICE = 1024, 18, 3 << 20
-#: The weights are first learned from so many training texts of at most so many characters.
-SAMPLE, SAMPLE_CHARS = 500, 1 << 16
+#: Weights before anything is learned; passes over all training bits that learn them; what holds them where little is known.
+FIRST, ROUNDS, RIDGE = (0.4, 0.5, 0.2, 0.2, 0.0), 1, 10.0
 #: Tokens of a text between two changes of its weights, and the rate of change.
-BLOCK, RATE, LEARN = 64, 0.015, 0.002
+BLOCK, RATE = 64, 0.015
 SLOTS = 1 << SLOT_BITS
 #: Slots for the places of bits alone, and the bits of a repetition's length in words (0 to 15).
 NODES, REPEATS = 4096, 16
@@ -64,6 +65,8 @@ CLASSES = 16
 #: Gates: depths 0 to 5 of the tree, a repetition's first bit and its further bits.
 GATES, INPUTS = 8, 5
 STEPS, TOP = 33, 8.0
+#: Sums of a lesson for each gate.
+LESSON = INPUTS + INPUTS**2 + 2 * STEPS
 CONSTANT = np.float32(0.3)
 
 
@@ -506,34 +509,50 @@ def logits(counts: np.ndarray) -> np.ndarray:
     return np.log((pairs[:, 1] + 0.4) / (pairs[:, 0] + 0.4)).astype(np.float32)
 
 
-def _without(counts: np.ndarray, slots: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The same for a bit that has been counted, without it."""
-    slots = slots.astype(np.int64)
-    zeros, ones = counts[2 * slots], counts[2 * slots + 1]
-    return np.log((np.maximum(ones - value, 0) + 0.4) / (np.maximum(zeros - ~value, 0) + 0.4)).astype(np.float32)
+def logits_without(counts: np.ndarray) -> np.ndarray:
+    """What each slot says about a bit that has been counted, without it: for a zero, then for a one."""
+    zeros, ones = counts.reshape(-1, 2).T
+    of_zero = np.log((ones + 0.4) / (np.maximum(zeros - 1, 0) + 0.4))
+    return np.stack([of_zero, np.log((np.maximum(ones - 1, 0) + 0.4) / (zeros + 0.4))], 1).astype(np.float32).ravel()
+
+
+def _straight(gates: int) -> np.ndarray:
+    """The table that leaves mixed chances as they are."""
+    return np.tile(1 / (1 + np.exp(-np.linspace(-TOP, TOP, STEPS, dtype=np.float32))), (gates, 1))
 
 
 class Mixer:
     """Gated weights, and the table that refines their result."""
 
     def __init__(self, gates: int):
-        self.weights = np.zeros((gates, INPUTS), np.float32)
-        self.weights[:, : INPUTS - 1] = 0.4
-        self.refined = np.tile(1 / (1 + np.exp(-np.linspace(-TOP, TOP, STEPS, dtype=np.float32))), (gates, 1))
+        self.weights = np.tile(np.array(FIRST, np.float32), (gates, 1))
+        self.refined = _straight(gates)
+
+    def lesson(self, columns: list[np.ndarray], gate: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """What bits teach, as sums for each gate in which their order does not matter: slope and curvature of the
+        cost by the weights, and for each cell how many mixed chances fell there and how many of them came true."""
+        out = np.zeros((len(self.weights), LESSON))
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        inputs, value = np.stack([*[c[order] for c in columns], np.full(len(gate), CONSTANT)]), value[order]
+        ends = np.cumsum(np.bincount(gate, minlength=len(out)))
+        for sums, weights, begin, end in zip(out, self.weights, [0, *ends[:-1]], ends):
+            if begin < end:
+                x, v = inputs[:, begin:end], value[begin:end]
+                mixed = weights @ x
+                p = chance(mixed)
+                cell = _cell(mixed)
+                curve = (x * (p * (1 - p))) @ x.T
+                sums[:] = np.concatenate([x @ (v - p), curve.ravel(), np.bincount(cell, minlength=STEPS), np.bincount(cell, v, STEPS)])
+        return out
 
-    def learn(self, inputs: np.ndarray, gate: np.ndarray, value: np.ndarray, rate: float = LEARN, rounds: int = 2, step: int = 512) -> None:
-        """Online over bits in order, then count how often mixed chances came true."""
-        for _ in range(rounds):
-            for at in range(0, len(gate), step):
-                x, g = inputs[at : at + step], gate[at : at + step]
-                error = value[at : at + step] - chance((self.weights[g] * x).sum(1))
-                for k in range(INPUTS):
-                    self.weights[:, k] += rate * np.bincount(g, error * x[:, k], len(self.weights))
-        mixed = (self.weights[gate] * inputs).sum(1)
-        cell = gate * STEPS + _cell(mixed)
-        many = np.bincount(cell, minlength=self.refined.size).reshape(self.refined.shape)
-        ones = np.bincount(cell, value, minlength=self.refined.size).reshape(self.refined.shape)
-        self.refined = ((ones + 20 * self.refined) / (many + 20)).astype(np.float32)
+    def learn(self, lesson: np.ndarray) -> float:
+        """One Newton step from the sums over all bits; the greatest change of a weight."""
+        slope, curve, many, ones = np.split(lesson, np.cumsum([INPUTS, INPUTS**2, STEPS]), 1)
+        self.refined = ((ones + 20 * _straight(len(ones))) / (many + 20)).astype(np.float32)
+        held = curve.reshape(-1, INPUTS, INPUTS) + RIDGE * np.eye(INPUTS)
+        change = np.clip(np.linalg.solve(held, slope[:, :, None])[:, :, 0], -1, 1)
+        self.weights = (self.weights + change).astype(np.float32)
+        return float(np.abs(change).max())
 
     def bits(self, mixed: np.ndarray, gate: np.ndarray, value: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
         """Cost of each bit, from the mean of the mixed and the refined chance."""
@@ -633,27 +652,64 @@ class Model:
         }
 
 
-def train(docs: DataFrame, words: DataFrame, joined: DataFrame, code: Code, sample: int = SAMPLE) -> Model:
+def _added(lessons: DataFrame, gates: int) -> np.ndarray:
+    """The sum of all tasks' lessons; a few hundred numbers come to the driver."""
+    out = np.zeros(gates * LESSON)
+    for at, total in lessons.groupBy("at").agg(F.sum("part")).collect():
+        out[at] = total
+    return out.reshape(gates, LESSON)
+
+
+def _lesson_rows(lesson: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(lesson)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(lesson.ravel()[at])], names=["at", "part"])
+
+
+def text_lessons(joined: DataFrame, code: Code, table, mixer: Mixer) -> np.ndarray:
+    """What every bit of all training texts teaches; ``table`` has the broadcast logits without a bit's own count."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lesson = np.zeros((GATES, LESSON))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tokens = _tokens(code, batch, row, less=True)[0]
+                train = ~batch.column("held")[row].values.to_numpy(zero_copy_only=False)
+                chosen = np.flatnonzero(train[tokens.doc])
+                for at in range(0, len(chosen), 1 << 13):
+                    _, places, gate, value = tokens.bits(code, chosen[at : at + (1 << 13)])
+                    lesson += mixer.lesson([table.value[2 * base :][2 * place + value] for base, place in zip(TABLES, places)], gate, value)
+        yield from _lesson_rows(lesson)
+
+    return _added(joined.mapInArrow(run, "at long, part double"), GATES)
+
+
+def spelling_lessons(words: DataFrame, table, mixer: Mixer) -> np.ndarray:
+    """What every byte of all words that the training texts hold once teaches."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lesson = np.zeros((8, LESSON))
+        for batch in batches:
+            for slots, step, value in spelled_bits(batch.column(0))[1]:
+                lesson += mixer.lesson([table.value[2 * s + value] for s in slots], np.full(len(value), step), value)
+        yield from _lesson_rows(lesson)
+
+    return _added(words.where("c = 1").select("word").mapInArrow(run, "at long, part double"), 8)
+
+
+def train(docs: DataFrame, words: DataFrame, joined: DataFrame, code: Code, rounds: int = ROUNDS) -> Model:
+    """Learned from all training texts; at most ``rounds`` passes over their bits, fewer when weights no longer change."""
     table_counts, spelling = bit_counts(joined, code), spelling_counts(words)
-    chosen = docs.where(~F.col("held_out") & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
-    texts = [r["text"] for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     mixer, speller = Mixer(GATES), Mixer(8)
-    if texts:
-        flat, bounds = split_words(pc.ascii_lower(pa.array(texts, pa.string())))
-        codes, distinct = number(flat)
-        spark = docs.sparkSession
-        asked = spark.createDataFrame(pa.table({"pos": pa.array(range(len(distinct)), pa.int64()), "word": distinct})) if len(distinct) else None
-        counts = np.zeros(len(distinct), np.int64)
-        for r in asked.join(words, "word").collect() if asked else ():
-            counts[r["pos"]] = r["c"]
-        tokens = Tokens(code, codes.astype(np.int64), np.diff(bounds), code.less(code.symbols(distinct, counts), counts))
-        _, places, gate, value = tokens.bits(code, np.arange(len(tokens.doc)))
-        mixer.learn(_inputs(*[_without(table_counts[2 * base :], p, value) for base, p in zip(TABLES, places)]), gate, value)
-        once = distinct.filter(pa.array(counts == 1))
-        if len(once):
-            made = [(_inputs(*[_without(spelling, s, v) for s in slots]), np.full(len(v), step), v) for slots, step, v in spelled_bits(once)[1]]
-            x, g, v = (np.stack(part, 1) for part in zip(*made))  # byte by byte, the eight bits in turn
-            speller.learn(x.reshape(-1, INPUTS), g.ravel(), v.ravel())
+    context = docs.sparkSession.sparkContext
+    for learner, counts, lessons in (
+        (mixer, table_counts, lambda table: text_lessons(joined, code, table, mixer)),
+        (speller, spelling, lambda table: spelling_lessons(words, table, speller)),
+    ):
+        table = context.broadcast(logits_without(counts))
+        for _ in range(rounds):
+            if learner.learn(lessons(table)) < 1e-3:
+                break
+        table.destroy()
     return Model(code, logits(table_counts), logits(spelling), mixer, speller)
 
 

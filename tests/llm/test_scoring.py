@@ -228,3 +228,31 @@ def test_packing():
         assert sc.unpack_words(sc.pack_words(pa.array(["skip", *words], pa.string()).slice(1))).to_pylist() == words
     some = pa.array(["a", "é", "ab", "abc", "日本"])
     assert sc.classes(some).tolist() == [zlib.crc32(w.encode()[:2]) % sc.CLASSES for w in some.to_pylist()]
+
+
+def test_all_training_texts_teach(spark):
+    """Also those of any length, and each of their bits once, however they are cut."""
+    draw = np.random.default_rng(5)
+    long = " ".join(f"w{i}" for i in draw.zipf(1.4, 20_000) % 3000)
+    rows = [(i, long[: 70_000 + i] if i < 3 else f"a b a b c w{i} w{i % 7} a b a") for i in range(620)]
+    docs = sc.held_out(spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 10], "doc_id long, text string"))
+
+    def taught(docs, size):
+        parts = sc.chunks(docs, size).cache()
+        counted = sc.counted_words(parts).cache()
+        words = sc.vocabulary(counted)
+        code = sc.make_code(words, docs.count())
+        joined = sc.with_counts(parts, counted, code).cache()
+        counts = sc.bit_counts(joined, code)
+        table = spark.sparkContext.broadcast(sc.logits_without(counts))
+        return sc.train(docs, words, joined, code), counts, sc.text_lessons(joined, code, table, sc.Mixer(sc.GATES))
+
+    model, counts, lesson = taught(docs.repartition(3), 1 << 14)
+    # every bit that the table of places counts is in one cell
+    many, ones = np.split(lesson[:, -2 * sc.STEPS :], 2, 1)
+    assert many.sum() == counts[: 2 * sc.NODES].sum() and ones.sum() == counts[1 : 2 * sc.NODES : 2].sum()
+    other = taught(docs.repartition(2), 1 << 22)
+    assert np.allclose(model.mixer.weights, other[0].mixer.weights, atol=1e-4) and np.allclose(lesson, other[2], rtol=1e-3, atol=0.1)
+    # long texts alone teach, too
+    alone = taught(docs.where("doc_id < 3").repartition(2), 1 << 16)[0]
+    assert not np.allclose(alone.mixer.weights, sc.Mixer(sc.GATES).weights, atol=1e-3)
