@@ -473,3 +473,32 @@ def test_include_flags(spark, tmp_path, log_of):
     file.write_text(json.dumps({"security": {"strict_mode": "yes"}}))
     with pytest.raises(ConfigError):
         load_policy(file)
+
+
+def test_names_and_times_are_read_once(spark):
+    """What a lambda uses several times is computed once for each element, and times need no decimals."""
+    from cellward.functions import statements as st
+    from cellward.operators import reports
+
+    shown = lambda c: spark.createDataFrame([("x", 0)], "t string, s long").select(c)._jdf.queryExecution().optimizedPlan().expressions().apply(0).sql()
+    assert shown(st.segments(F.col("t"))).lower().count("regexp_extract(") <= 2  # 4 when the word was read again for its outcome
+    assert "decimal" not in shown(reports.utc_text(F.timestamp_micros("s"))).lower()
+    times = ["1969-12-31T23:59:59.999999Z", "1900-03-01T00:00:00.000001Z", "2024-02-29T23:59:59.000000Z", "9999-12-31T12:00:00.500000Z", "1582-10-15T00:00:00.000000Z"]
+    rows = spark.createDataFrame([(t,) for t in times], "t string").select("t", F.to_timestamp("t").alias("at"))
+    rows = rows.select("t", reports.utc_text(F.col("at")).alias("text"), reports.utc_day(F.col("at")).cast("string").alias("day"))
+    assert all(r["text"] == r["t"] and r["day"] == r["t"][:10] for r in rows.collect())
+
+
+def test_names_of_hard_texts(spark):
+    """Keywords in any case, quoted keywords, functions, and clause words inside of names."""
+    from cellward.functions import statements as st
+
+    text = 'sElEcT "iN", a.`In`, in_x, IN (x.Month), IN, fromage FROM "t" wHeRe grouped /* from */ - 1 -- in\n and `a`.b - \'c\' GROUP  by u Group By v'
+    row = spark.createDataFrame([(text,)], "t string").select(st.segments(st.flat(F.col("t"))).alias("p"))
+    got = row.select("p", st.identifiers(F.col("p")).alias("i")).first()
+    assert [s["clause"] for s in got["p"]] == ["SELECT", "FROM", "WHERE", "GROUP BY", "GROUP BY"]
+    assert [(i["clause"], i["name"], i["is_function"]) for i in got["i"]] == [
+        ("SELECT", "in", False), ("SELECT", "in", False), ("SELECT", "in_x", False), ("SELECT", "month", False),
+        ("SELECT", "fromage", False), ("FROM", "t", False), ("WHERE", "grouped", False), ("WHERE", "b", False),
+        ("GROUP BY", "u", False), ("GROUP BY", "v", False),
+    ]
