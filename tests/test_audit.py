@@ -502,3 +502,42 @@ def test_names_of_hard_texts(spark):
         ("SELECT", "fromage", False), ("FROM", "t", False), ("WHERE", "grouped", False), ("WHERE", "b", False),
         ("GROUP BY", "u", False), ("GROUP BY", "v", False),
     ]
+
+
+def test_only_doubtful_names_and_lists_are_read(spark, log_of):
+    """What surely passes is left out before it is read, and no text gets another verdict by that."""
+    from cellward.operators import verdicts as v
+
+    count = "COUNT(DISTINCT person_id) AS Count_Patients"
+    sure = [
+        f"SELECT gender_concept_id, {count} FROM person WHERE location_id > 5 GROUP BY gender_concept_id",
+        f"SELECT p.gender_concept_id, {count.replace('person_id', 'p.person_id')} FROM person p "
+        "WHERE p.location_id > 5 GROUP BY p.gender_concept_id",
+    ]
+    doubtful = {
+        f"SELECT p, {count} FROM person p GROUP BY p": ["E102"],  # an alias is no column
+        f"SELECT x.gender_concept_id, {count} FROM person p GROUP BY x.gender_concept_id": ["E102"],
+        f"SELECT a.p.gender_concept_id, a.p.npi, {count} FROM person p GROUP BY gender_concept_id": ["E201"],
+        f"SELECT GENDER_CONCEPT_ID, {count} FROM person, death GROUP BY day_of_birth, SSN": ["E203", "E201"],
+        f"SELECT gender_concept_id, {count} FROM person GROUP BY person_id": ["E305"],
+        f"SELECT gender_concept_id, {count} FROM person": ["E301"],
+        f"SELECT f(a, {count}) FROM encounters GROUP BY gender_concept_id": ["E101", "E302"],
+        f"SELECT 1 FROM encounters, {count} GROUP BY gender_concept_id": ["E101", "E302", "E304"],
+        f"WITH person AS (SELECT npi FROM death) SELECT gender_concept_id, {count} FROM person "
+        "GROUP BY gender_concept_id": ["E102", "E201", "E402", "E401"],  # not the catalog's person
+    }
+    log = log_of(*sure, *doubtful)
+    read = {r["query"]: r for r in v.read_statements(log, policy=Policy()).collect()}
+    assert all(read[t]["_ids"] == [] and read[t]["_lists"] is None for t in sure)
+    rows = v.violations(log, policy=Policy(max_errors=None)).collect()
+    found = [list(dict.fromkeys(r["code"] for r in rows if r["request_id"] == str(i))) for i in range(len(read))]
+    assert found == [[], [], *doubtful.values()]
+
+
+def test_rules_stand_in_no_generator(log_of):
+    """Generators are interpreted as a whole; the hits are made in a projection below."""
+    from cellward.operators import verdicts as v
+
+    plan = v.layer_hits(log_of("SELECT 1"))._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate inline" in line)
+    assert "lambda" not in generate and "CASE" not in generate
