@@ -56,6 +56,8 @@ FREQUENT, SLOT_BITS, SLICE = 1024, 18, 3 << 20
 FIRST, ROUNDS, RIDGE = (0.4, 0.5, 0.2, 0.2, 0.0), 1, 10.0
 #: Tokens of a text between two changes of its weights, and the rate of change.
 BLOCK, RATE = 64, 0.015
+#: Texts that take their blocks in step.
+TEXTS = 128
 SLOTS = 1 << SLOT_BITS
 #: Slots for the places of bits alone, and the bits of a repetition's length in words (0 to 15).
 NODES, REPEATS = 4096, 16
@@ -322,7 +324,8 @@ class Tokens:
         self.sizes = sizes + 1
         ends = np.cumsum(self.sizes)
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
-        first = (ends - self.sizes)[self.doc]
+        self.first = ends - self.sizes
+        first = self.first[self.doc]
         self.place = np.arange(n) - first
         word = np.full(n, len(symbols), np.int64)
         word[self.place < self.sizes[self.doc] - 1] = codes
@@ -348,7 +351,11 @@ class Tokens:
 
         # the word that followed the two words before when they last stood in this text
         some = np.flatnonzero(self.place >= 2)
-        pair = (self.doc[some] * (len(symbols) + 1) + word[some - 2]) * (len(symbols) + 1) + word[some - 1]
+        pairs = self.doc * (len(symbols) + 1)
+        pairs[2:] += word[: max(n - 2, 0)]
+        pairs *= len(symbols) + 1
+        pairs[1:] += word[: max(n - 1, 0)]
+        pair = pairs[some]
         # most pairs stand once; only the others need an order that keeps their places
         order = np.argsort(pair)
         same = pair[order[1:]] == pair[order[:-1]]
@@ -356,7 +363,7 @@ class Tokens:
         more[1:] |= same
         more[:-1] |= same
         some = np.sort(some[order[more]])
-        pair = (self.doc[some] * (len(symbols) + 1) + word[some - 2]) * (len(symbols) + 1) + word[some - 1]
+        pair = pairs[some]
         order = np.argsort(pair, kind="stable")
         again = np.flatnonzero(pair[order[1:]] == pair[order[:-1]]) + 1
         self.repeat = np.zeros(n, bool)
@@ -380,15 +387,39 @@ class Tokens:
         run = self.run[chosen[asked]]
         first = begin[asked]
         node[first], value[first], gate[first] = NODES - REPEATS + run, self.hit[chosen[asked]], 6 + (run > 0)
+        return many, self._places(np.repeat(chosen, many), node), gate, value
+
+    def _places(self, owner: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        """The places of bits alone and in the tables of the contexts, given each bit's token and its place in the tree."""
         spread = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
         places = [node]
         for context in self.contexts:
-            place = np.repeat(context[chosen], many)
+            place = context[owner]
             place ^= spread
             place *= np.uint32(0xC2B2AE35)
             place >>= np.uint32(32 - SLOT_BITS)
             places.append(place)
-        return many, places, gate, value
+        return places
+
+    def gated_bits(self, code: Code, chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+        """The same bits gate by gate, those of a gate in the tokens' order: gate, each bit's token, places and values.
+        The first bits of all symbols are one gate, then the second ones, so that nothing has to be sorted."""
+        left = chosen[~self.hit[chosen]]
+        along, many = code.first[self.symbol[left]], code.lengths[self.symbol[left]]
+        for gate in range(5):
+            if (many <= gate).any():
+                more = many > gate
+                left, along, many = left[more], along[more], many[more]
+            yield gate, left, self._places(left, code.nodes[along + gate]), code.bits[along + gate]
+        many = many - 5
+        begin = np.cumsum(many) - many
+        along = np.repeat(along + 5 - begin, many) + np.arange(int(many.sum()))
+        left = np.repeat(left, many)
+        yield 5, left, self._places(left, code.nodes[along]), code.bits[along]
+        asked = chosen[self.repeat[chosen]]
+        later = self.run[asked] > 0
+        for gate, some in ((6, asked[~later]), (7, asked[later])):
+            yield gate, some, self._places(some, NODES - REPEATS + self.run[some]), self.hit[some]
 
 
 #: Where the tables of the places alone and of the contexts begin.
@@ -528,22 +559,18 @@ class Mixer:
         self.weights = np.tile(np.array(FIRST, np.float32), (gates, 1))
         self.refined = _straight(gates)
 
-    def lesson(self, columns: list[np.ndarray], gate: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """What bits teach, as sums for each gate in which their order does not matter: slope and curvature of the
+    def lesson(self, columns: list[np.ndarray], gate: int, value: np.ndarray) -> np.ndarray:
+        """What a gate's bits teach, as sums in which their order does not matter: slope and curvature of the
         cost by the weights, and for each cell how many mixed chances fell there and how many of them came true."""
-        out = np.zeros((len(self.weights), LESSON))
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        inputs, value = np.stack([*[c[order] for c in columns], np.full(len(gate), CONSTANT)]), value[order]
-        ends = np.cumsum(np.bincount(gate, minlength=len(out)))
-        for sums, weights, begin, end in zip(out, self.weights, [0, *ends[:-1]], ends):
-            if begin < end:
-                x, v = inputs[:, begin:end], value[begin:end]
-                mixed = weights @ x
-                p = chance(mixed)
-                cell = _cell(mixed)
-                curve = (x * (p * (1 - p))) @ x.T
-                sums[:] = np.concatenate([x @ (v - p), curve.ravel(), np.bincount(cell, minlength=STEPS), np.bincount(cell, v, STEPS)])
-        return out
+        x = np.empty((INPUTS, len(value)), np.float32)
+        for row, column in zip(x, columns):
+            row[:] = column
+        x[-1] = CONSTANT
+        mixed = self.weights[gate] @ x
+        p = chance(mixed)
+        cell = _cell(mixed)
+        curve = (x * (p * (1 - p))) @ x.T
+        return np.concatenate([x @ (value - p), curve.ravel(), np.bincount(cell, minlength=STEPS), np.bincount(cell, value, STEPS)])
 
     def learn(self, lesson: np.ndarray) -> float:
         """One Newton step from the sums over all bits; the greatest change of a weight."""
@@ -558,7 +585,8 @@ class Mixer:
         """Cost of each bit, from the mean of the mixed and the refined chance."""
         p = chance(mixed) if p is None else p
         p = (p + self.refined.ravel()[gate * STEPS + _cell(mixed)]) / 2
-        return -np.log2(np.clip(np.where(value, p, 1 - p), 1e-6, 1 - 1e-6))
+        # what came true had the chance p or 1 - p; a choice by masks takes ten times as long
+        return -np.log2(np.clip(np.abs(~value - p), 1e-6, 1 - 1e-6))
 
 
 def chance(logit: np.ndarray) -> np.ndarray:
@@ -595,45 +623,66 @@ class Model:
         return out
 
     def text_bits(self, tokens: Tokens) -> np.ndarray:
-        """Bits of each text's symbols and repetitions. All texts take their blocks in step, and each changes its own
-        weights after each of its blocks."""
-        n = len(tokens.sizes)
-        # long texts first, so that those which still have blocks are the first ones
-        rank = np.empty(n, np.int64)
-        rank[np.argsort(-tokens.sizes, kind="stable")] = np.arange(n)
-        own = rank[tokens.doc]
-        block = tokens.place // BLOCK
-        order = np.lexsort((tokens.place, own, block))
-        cost = np.zeros(n)
-        weights = [np.tile(column, n) for column in self.mixer.weights.T]
+        """Bits of each text's symbols and repetitions. Texts of like length take their blocks in step, and each changes
+        its own weights after each of its blocks. They are as few as a processor's cache can hold the bits of."""
+        cost = np.zeros(len(tokens.sizes))
+        order = np.argsort(-tokens.sizes, kind="stable")
+        for at in range(0, len(order), TEXTS):
+            texts = order[at : at + TEXTS]
+            cost[texts] = self._bits_in_step(tokens, texts)
+        return cost
+
+    def _bits_in_step(self, tokens: Tokens, texts: np.ndarray) -> np.ndarray:
+        """``text_bits`` of some texts, long ones first, so that those which still have blocks are the first ones."""
+        sizes, first = tokens.sizes[texts], tokens.first[texts]
+        blocks = -(-sizes // BLOCK)
+        own = np.repeat(np.arange(len(texts)), blocks)
+        step = np.arange(len(own)) - (np.cumsum(blocks) - blocks)[own]
+        turn = np.argsort(step, kind="stable")
+        own, step = own[turn], step[turn]
+        begin, size = first[own] + BLOCK * step, np.minimum(BLOCK, sizes[own] - BLOCK * step)
+        ends = np.append(np.flatnonzero(step[1:] != step[:-1]) + 1, len(step))  # of the steps, in blocks
+        cost = np.zeros(len(texts))
+        weights = [np.repeat(column, len(texts)) for column in self.mixer.weights.T]
+        rank = np.zeros(len(tokens.sizes), np.int64)
+        rank[texts] = np.arange(len(texts))
         at = 0
-        while at < len(order):
-            chosen = order[at : at + (1 << 16)]
-            if at + len(chosen) < len(order):  # whole blocks
-                cut = np.searchsorted(block[chosen], block[chosen[-1]])
-                chosen = chosen[: cut or len(chosen)]
-            many, places, gate, value = tokens.bits(self.code, chosen)
-            inputs = [self.table[base:][place] for base, place in zip(TABLES, places)]
-            where = np.repeat(own[chosen] * GATES, many) + gate
-            step = block[chosen]
-            bounds = np.append(np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])), len(step))
-            bounds = np.concatenate([[0], np.cumsum(many)])[bounds]
+        while at < len(ends):
+            # as many whole steps as make up a full one
+            low = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, low + TEXTS, "right")))
+            of = slice(low, ends[upto - 1])
+            many = size[of]
+            chosen = np.repeat(begin[of] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            gates, owners, places, values = zip(*tokens.gated_bits(self.code, chosen))
+            gate, value = np.repeat(np.arange(GATES)[list(gates)], [len(v) for v in values]), np.concatenate(values)
+            inputs = [self.table[base:].take(np.concatenate(p)) for base, p in zip(TABLES, zip(*places))]
+            owner = np.concatenate(owners)
+            where = rank[tokens.doc[owner]] + len(texts) * gate
+            bounds = np.array([0, len(where)])
+            if upto - at > 1:  # bits of one step together
+                turn = np.argsort((tokens.place[owner] // BLOCK - step[low]).astype(np.uint16), kind="stable")
+                bounds = np.searchsorted((tokens.place[owner] // BLOCK)[turn], step[low] + np.arange(upto - at + 1))
+                inputs, gate, value, where = [column[turn] for column in inputs], gate[turn], value[turn], where[turn]
             for b, e in zip(bounds[:-1], bounds[1:]):
                 if b == e:
                     continue
                 x, g, v, w = [column[b:e] for column in inputs], gate[b:e], value[b:e], where[b:e]
-                mixed = weights[-1][w] * CONSTANT
+                # bits of one text and gate stand together
+                start = np.append(0, np.flatnonzero(w[1:] != w[:-1]) + 1)
+                kind, length = w[start], np.diff(np.append(start, len(w)))
+                mixed = np.repeat(weights[-1][kind] * CONSTANT, length)
                 for own_weights, column in zip(weights, x):
-                    mixed += own_weights[w] * column
+                    mixed += np.repeat(own_weights[kind], length) * column
                 p = chance(mixed)
-                top = int(w.max()) // GATES + 1
-                cost[:top] += np.bincount(w // GATES, self.mixer.bits(mixed, g, v, p), top)
+                bits = np.add.reduceat(self.mixer.bits(mixed, g, v, p), start, dtype=float)
+                cost += np.bincount(kind % len(texts), bits, len(texts))
                 error = (v - p) * np.float32(RATE)
                 for own_weights, column in zip(weights, x):
-                    own_weights[: top * GATES] += np.bincount(w, error * column, top * GATES)
-                weights[-1][: top * GATES] += np.bincount(w, error * CONSTANT, top * GATES)
-            at += len(chosen)
-        return cost[rank]
+                    own_weights[kind] += np.add.reduceat(error * column, start, dtype=float)
+                weights[-1][kind] += np.add.reduceat(error * CONSTANT, start, dtype=float)
+            at = upto
+        return cost
 
     def score(self, tokens: Tokens, counts: np.ndarray, symbols: np.ndarray, unknown: pa.Array) -> dict[str, np.ndarray]:
         """Of texts whose distinct words have ``counts`` and ``symbols``; ``unknown`` are those without a count."""
@@ -676,8 +725,9 @@ def text_lessons(joined: DataFrame, code: Code, table, mixer: Mixer) -> np.ndarr
                 train = ~batch.column("held")[row].values.to_numpy(zero_copy_only=False)
                 chosen = np.flatnonzero(train[tokens.doc])
                 for at in range(0, len(chosen), 1 << 13):
-                    _, places, gate, value = tokens.bits(code, chosen[at : at + (1 << 13)])
-                    lesson += mixer.lesson([table.value[2 * base :][2 * place + value] for base, place in zip(TABLES, places)], gate, value)
+                    for gate, _, places, value in tokens.gated_bits(code, chosen[at : at + (1 << 13)]):
+                        columns = [table.value[2 * base :].take(2 * place + value) for base, place in zip(TABLES, places)]
+                        lesson[gate] += mixer.lesson(columns, gate, value)
         yield from _lesson_rows(lesson)
 
     return _added(joined.mapInArrow(run, "at long, part double"), GATES)
@@ -690,7 +740,7 @@ def spelling_lessons(words: DataFrame, table, mixer: Mixer) -> np.ndarray:
         lesson = np.zeros((8, LESSON))
         for batch in batches:
             for slots, step, value in spelled_bits(batch.column(0))[1]:
-                lesson += mixer.lesson([table.value[2 * s + value] for s in slots], np.full(len(value), step), value)
+                lesson[step] += mixer.lesson([table.value[2 * s + value] for s in slots], step, value)
         yield from _lesson_rows(lesson)
 
     return _added(words.where("c = 1").select("word").mapInArrow(run, "at long, part double"), 8)

@@ -140,6 +140,30 @@ def test_one_text_bit_by_bit(made, docs):
     assert np.allclose(scored(model, counts, texts), want, rtol=1e-4)
 
 
+def test_company_does_not_matter(made):
+    """Many texts of a chunk learn in step, each from its own whole blocks alone."""
+    counts, model = made
+    draw, words = np.random.default_rng(3), list(counts)[:200]
+    texts = [[*(words[k] for k in draw.integers(0, 200, 49)), END] for _ in range(1400)]
+    together = scored(model, counts, texts)
+    assert np.allclose(together, np.concatenate([scored(model, counts, texts[at : at + 100]) for at in range(0, 1400, 100)]), rtol=1e-9)
+
+
+def test_bits_gate_by_gate(made):
+    counts, model = made
+    words = ["the", "of", "the", "of", "the", "zq", "of", "the", *list(counts)[:300], "", "the", "of", "the", "of"]
+    codes, distinct = sc.number(pa.array(words, pa.string()))
+    symbols = model.code.symbols(distinct, np.array([counts.get(w, 0) for w in distinct.to_pylist()], np.int64))
+    tokens = sc.Tokens(model.code, codes.astype(int), np.array([100, 0, 200, len(words) - 300]), symbols)
+    chosen = np.arange(3, len(tokens.doc))
+    many, places, gate, value = tokens.bits(model.code, chosen)
+    owner = np.repeat(chosen, many)
+    for g, some, at, v in tokens.gated_bits(model.code, chosen):
+        same = gate == g
+        assert some.tolist() == owner[same].tolist() and v.tolist() == value[same].tolist()
+        assert all(a.tolist() == b[same].tolist() for a, b in zip(at, places))
+
+
 def test_chances_sum_to_one(made):
     counts, model = made
     code, some = model.code, list(counts)[:7]
