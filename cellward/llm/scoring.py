@@ -22,7 +22,8 @@ curvatures of the cost, gate by gate, and a Newton step follows from the sums. T
 its own weights, block by block, from what it has shown so far. The chances of all continuations sum to at most 1.
 
 The count of every word of the corpus is gathered; that table grows with the input and is never in
-one place. Texts are cut into chunks of bounded size whose distinct words meet the counts by a join.
+one place. Texts are cut into chunks of bounded size whose distinct words meet the counts by a join; the larger a
+chunk, the fewer such rows. Its texts are then learned and scored a group at a time.
 Hashed contexts have tables of a fixed size, which tasks fill and Spark sums block by block.
 
 Defined results: null text is empty, and an empty text is an end alone; a null ``doc_id`` counts as
@@ -37,6 +38,7 @@ import heapq
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import product
 
 import numpy as np
@@ -51,7 +53,9 @@ from cellward.llm.common import shared_path, table
 from cellward.llm.words import number, split_words, text_slices
 
 #: Words with a symbol of their own, slots of a hashed context, bytes of text in a chunk.
-FREQUENT, SLOT_BITS, SLICE = 1024, 18, 3 << 20
+FREQUENT, SLOT_BITS, SLICE = 1024, 18, 12 << 20
+#: Words of a chunk whose contexts and bits are in memory at a time; a longer text is alone.
+GROUP = 1 << 19
 #: Weights before anything is learned; passes over all training bits that learn them; what holds them where little is known.
 FIRST, ROUNDS, RIDGE = (0.4, 0.5, 0.2, 0.2, 0.0), 1, 10.0
 #: Tokens of a text between two changes of its weights, and the rate of change.
@@ -204,6 +208,11 @@ class Code:
     first: np.ndarray  # where each symbol's begin
     lengths: np.ndarray
 
+    @cached_property
+    def spread(self) -> np.ndarray:
+        """The places as they enter the hashes of contexts."""
+        return _spread(self.nodes)
+
     @property
     def rare(self) -> int:
         return len(self.frequent)
@@ -311,13 +320,18 @@ def make_code(words: DataFrame, ends: int, frequent: int = FREQUENT) -> Code:
 def _hash(*parts: np.ndarray) -> np.ndarray:
     out = np.uint32(0x811C9DC5)
     for p in parts:
-        out = (out ^ p.astype(np.uint32)) * np.uint32(0x9E3779B1)
+        out = out ^ p.astype(np.uint32, copy=False)
+        out *= np.uint32(0x9E3779B1)
         out ^= out >> np.uint32(15)
     return out
 
 
+def _spread(nodes: np.ndarray) -> np.ndarray:
+    return nodes.astype(np.uint32) * np.uint32(0x85EBCA6B)
+
+
 class Tokens:
-    """The tokens of a chunk's texts with their contexts, text by text or by blocks of texts."""
+    """The tokens of a chunk's texts, or of some of them, with their contexts, text by text or by blocks of texts."""
 
     def __init__(self, code: Code, codes: np.ndarray, sizes: np.ndarray, symbols: np.ndarray):
         n = len(codes) + len(sizes)
@@ -325,29 +339,35 @@ class Tokens:
         ends = np.cumsum(self.sizes)
         self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
         self.first = ends - self.sizes
-        first = self.first[self.doc]
-        self.place = np.arange(n) - first
+        first = np.repeat(self.first, self.sizes)
+        at = np.arange(n)
+        self.place = at - first
+        written = np.ones(n, bool)
+        written[ends - 1] = False
         word = np.full(n, len(symbols), np.int64)
-        word[self.place < self.sizes[self.doc] - 1] = codes
+        word[written] = codes
         self.word = word
-        self.symbol = np.concatenate([symbols, [code.end]])[word]
+        self.symbol = np.append(symbols, code.end).take(word)
+        second = self.first[self.sizes > 1] + 1
 
         def before(values, by, fill):
-            out = np.full(n, fill, np.int64)
-            out[by:] = values[: n - by]
-            out[self.place < by] = fill
+            out = np.empty(n, values.dtype)
+            out[by:] = values[: max(n - by, 0)]
+            out[self.first] = fill
+            if by > 1:
+                out[second] = fill
             return out
 
-        one, two = before(self.symbol, 1, code.start), before(self.symbol, 2, code.start)
+        short = self.symbol.astype(np.uint32)
+        one, two = before(short, 1, code.start), before(short, 2, code.start)
         # the last two frequent words before each token
-        at = np.arange(n)
         last = np.maximum.accumulate(np.where(self.symbol < code.rare, at, -1)) if n else at
         seen = before(last, 1, -1)
         seen[seen < first] = -1
-        earlier = np.where(seen > 0, last[np.maximum(seen - 1, 0)], -1)
+        earlier = np.where(seen > 0, last.take(np.maximum(seen - 1, 0)), -1)
         earlier[(seen < 0) | (earlier < first)] = -1
-        name = lambda where: np.where(where >= 0, self.symbol[where], code.start)
-        self.contexts = [_hash(one), _hash(one, two), _hash(name(seen), name(earlier) + 70_000)]
+        named = np.append(short, np.uint32(code.start))  # -1 is the last one
+        self.contexts = [_hash(one), _hash(one, two), _hash(named.take(seen, mode="wrap"), named.take(earlier, mode="wrap") + np.uint32(70_000))]
 
         # the word that followed the two words before when they last stood in this text
         some = np.flatnonzero(self.place >= 2)
@@ -358,7 +378,8 @@ class Tokens:
         pair = pairs[some]
         # most pairs stand once; only the others need an order that keeps their places
         order = np.argsort(pair)
-        same = pair[order[1:]] == pair[order[:-1]]
+        pair = pair.take(order)
+        same = pair[1:] == pair[:-1]
         more = np.zeros(len(order), bool)
         more[1:] |= same
         more[:-1] |= same
@@ -387,39 +408,43 @@ class Tokens:
         run = self.run[chosen[asked]]
         first = begin[asked]
         node[first], value[first], gate[first] = NODES - REPEATS + run, self.hit[chosen[asked]], 6 + (run > 0)
-        return many, self._places(np.repeat(chosen, many), node), gate, value
-
-    def _places(self, owner: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        """The places of bits alone and in the tables of the contexts, given each bit's token and its place in the tree."""
-        spread = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
-        places = [node]
-        for context in self.contexts:
-            place = context[owner]
-            place ^= spread
-            place *= np.uint32(0xC2B2AE35)
-            place >>= np.uint32(32 - SLOT_BITS)
-            places.append(place)
-        return places
+        owner = np.repeat(chosen, many)
+        return many, _places([c.take(owner) for c in self.contexts], node, _spread(node)), gate, value
 
     def gated_bits(self, code: Code, chosen: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
         """The same bits gate by gate, those of a gate in the tokens' order: gate, each bit's token, places and values.
         The first bits of all symbols are one gate, then the second ones, so that nothing has to be sorted."""
         left = chosen[~self.hit[chosen]]
-        along, many = code.first[self.symbol[left]], code.lengths[self.symbol[left]]
+        symbol = self.symbol.take(left)
+        along, many = code.first.take(symbol), code.lengths.take(symbol)
+        contexts = [c.take(left) for c in self.contexts]
         for gate in range(5):
-            if (many <= gate).any():
-                more = many > gate
-                left, along, many = left[more], along[more], many[more]
-            yield gate, left, self._places(left, code.nodes[along + gate]), code.bits[along + gate]
+            if (more := many > gate).all():
+                more = slice(None)
+            left, along, many, contexts = left[more], along[more], many[more], [c[more] for c in contexts]
+            yield gate, left, _places(contexts, code.nodes.take(along), code.spread.take(along)), code.bits.take(along)
+            along = along + 1
         many = many - 5
         begin = np.cumsum(many) - many
-        along = np.repeat(along + 5 - begin, many) + np.arange(int(many.sum()))
-        left = np.repeat(left, many)
-        yield 5, left, self._places(left, code.nodes[along]), code.bits[along]
+        along = np.repeat(along - begin, many) + np.arange(int(many.sum()))
+        left, contexts = np.repeat(left, many), [np.repeat(c, many) for c in contexts]
+        yield 5, left, _places(contexts, code.nodes.take(along), code.spread.take(along)), code.bits.take(along)
         asked = chosen[self.repeat[chosen]]
         later = self.run[asked] > 0
         for gate, some in ((6, asked[~later]), (7, asked[later])):
-            yield gate, some, self._places(some, NODES - REPEATS + self.run[some]), self.hit[some]
+            node = NODES - REPEATS + self.run[some]
+            yield gate, some, _places([c.take(some) for c in self.contexts], node, _spread(node)), self.hit[some]
+
+
+def _places(contexts: list[np.ndarray], node: np.ndarray, spread: np.ndarray) -> list[np.ndarray]:
+    """The places of bits alone and in the tables of the contexts, given each bit's contexts and its place in the tree."""
+    places = [node]
+    for context in contexts:
+        place = context ^ spread
+        place *= np.uint32(0xC2B2AE35)
+        place >>= np.uint32(32 - SLOT_BITS)
+        places.append(place)
+    return places
 
 
 #: Where the tables of the places alone and of the contexts begin.
@@ -463,7 +488,12 @@ def spelled_bits(words: pa.Array) -> tuple[np.ndarray, Iterator[tuple[list[np.nd
 
 
 def _add(counts: np.ndarray, slots: np.ndarray, value: np.ndarray) -> None:
-    counts += np.bincount((slots.astype(np.int64) << 1) + value, minlength=len(counts))
+    counts += np.bincount(_valued(slots, value), minlength=len(counts))
+
+
+def _valued(slots: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Two numbers for each slot, for a zero and for a one."""
+    return (slots << slots.dtype.type(1)) + value
 
 
 def _blocks(counts: np.ndarray, size: int = 1 << 14) -> Iterator[pa.RecordBatch]:
@@ -493,9 +523,34 @@ def _summed(blocks: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _tokens(code: Code, batch: pa.RecordBatch, row: int, less: bool = False) -> tuple[Tokens, np.ndarray, np.ndarray]:
+def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[slice, slice]]:
+    """Texts in groups of at most ``most`` words, or one that is longer, and their words; at least one group."""
+    ends = np.cumsum(sizes)
+    at = low = 0
+    while True:
+        upto = max(min(at + 1, len(sizes)), int(np.searchsorted(ends, low + most, "right")))
+        high = int(ends[upto - 1]) if upto else 0
+        yield slice(at, upto), slice(low, high)
+        at, low = upto, high
+        if at >= len(sizes):
+            return
+
+
+def _tokens(code: Code, batch: pa.RecordBatch, row: int, less: bool = False) -> Iterator[tuple[Tokens, slice, np.ndarray, np.ndarray]]:
+    """A chunk's tokens, group by group: the tokens, which texts, and counts and symbols of the chunk's distinct words."""
     codes, sizes, counts, symbols = (unpack(batch.column(name)[row].as_py()) for name in ("codes", "sizes", "counts", "symbols"))
-    return Tokens(code, codes, sizes, code.less(symbols, counts) if less else symbols), counts, symbols
+    own = code.less(symbols, counts) if less else symbols
+    for texts, words in _groups(sizes, GROUP):
+        yield Tokens(code, codes[words], sizes[texts], own), texts, counts, symbols
+
+
+def _train_tokens(code: Code, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Tokens, np.ndarray]]:
+    """The tokens of all chunks, and which of them belong to training texts."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            train = ~batch.column("held")[row].values.to_numpy(zero_copy_only=False)
+            for tokens, texts, _, _ in _tokens(code, batch, row, less=True):
+                yield tokens, np.flatnonzero(train[texts][tokens.doc])
 
 
 def bit_counts(joined: DataFrame, code: Code) -> np.ndarray:
@@ -503,15 +558,12 @@ def bit_counts(joined: DataFrame, code: Code) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * TABLE, np.int64)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                tokens = _tokens(code, batch, row, less=True)[0]
-                train = ~batch.column("held")[row].values.to_numpy(zero_copy_only=False)
-                chosen = np.flatnonzero(train[tokens.doc])
-                for at in range(0, len(chosen), 1 << 16):
-                    _, places, _, value = tokens.bits(code, chosen[at : at + (1 << 16)])
-                    for base, place, size in zip(TABLES, places, (NODES, *[SLOTS] * 3)):
-                        _add(counts[2 * base : 2 * (base + size)], place, value)
+        for tokens, chosen in _train_tokens(code, batches):
+            for at in range(0, len(chosen), 1 << 16):
+                _, _, places, values = zip(*tokens.gated_bits(code, chosen[at : at + (1 << 16)]))
+                value = np.concatenate(values)
+                for base, place, size in zip(TABLES, zip(*places), (NODES, *[SLOTS] * 3)):
+                    _add(counts[2 * base : 2 * (base + size)], np.concatenate(place), value)
         yield from _blocks(counts)
 
     return _summed(joined.mapInArrow(run, "at long, part binary"), 2 * TABLE)
@@ -565,12 +617,16 @@ class Mixer:
         x = np.empty((INPUTS, len(value)), np.float32)
         for row, column in zip(x, columns):
             row[:] = column
+        return self.lesson_of(x, gate, value)
+
+    def lesson_of(self, x: np.ndarray, gate: int, value: np.ndarray) -> np.ndarray:
+        """``lesson`` of columns that are rows of one array, with a last one for the constant."""
         x[-1] = CONSTANT
         mixed = self.weights[gate] @ x
         p = chance(mixed)
-        cell = _cell(mixed)
+        cell = np.bincount(_valued(_cell(mixed), value), minlength=2 * STEPS).reshape(STEPS, 2)
         curve = (x * (p * (1 - p))) @ x.T
-        return np.concatenate([x @ (value - p), curve.ravel(), np.bincount(cell, minlength=STEPS), np.bincount(cell, value, STEPS)])
+        return np.concatenate([x @ (value - p), curve.ravel(), cell.sum(1), cell[:, 1]])
 
     def learn(self, lesson: np.ndarray) -> float:
         """One Newton step from the sums over all bits; the greatest change of a weight."""
@@ -590,11 +646,17 @@ class Mixer:
 
 
 def chance(logit: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    out = np.clip(logit, -30, 30)
+    np.exp(np.negative(out, out=out), out=out)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 def _cell(mixed: np.ndarray) -> np.ndarray:
-    return ((np.clip(mixed, -TOP, TOP) + (TOP + TOP / (STEPS - 1))) * ((STEPS - 1) / (2 * TOP))).astype(np.int64)
+    out = np.clip(mixed, -TOP, TOP)
+    out += TOP + TOP / (STEPS - 1)
+    out *= (STEPS - 1) / (2 * TOP)
+    return out.astype(np.int64)
 
 
 def _inputs(*columns: np.ndarray) -> np.ndarray:
@@ -627,13 +689,17 @@ class Model:
         its own weights after each of its blocks. They are as few as a processor's cache can hold the bits of."""
         cost = np.zeros(len(tokens.sizes))
         order = np.argsort(-tokens.sizes, kind="stable")
+        rank = np.zeros(len(order), np.int32)
+        rank[order] = np.arange(len(order)) % TEXTS
+        rank = rank.take(tokens.doc)
         for at in range(0, len(order), TEXTS):
             texts = order[at : at + TEXTS]
-            cost[texts] = self._bits_in_step(tokens, texts)
+            cost[texts] = self._bits_in_step(tokens, texts, rank)
         return cost
 
-    def _bits_in_step(self, tokens: Tokens, texts: np.ndarray) -> np.ndarray:
-        """``text_bits`` of some texts, long ones first, so that those which still have blocks are the first ones."""
+    def _bits_in_step(self, tokens: Tokens, texts: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """``text_bits`` of some texts, long ones first, so that those which still have blocks are the first ones.
+        ``rank`` is the place among them of each token's text."""
         sizes, first = tokens.sizes[texts], tokens.first[texts]
         blocks = -(-sizes // BLOCK)
         own = np.repeat(np.arange(len(texts)), blocks)
@@ -644,8 +710,6 @@ class Model:
         ends = np.append(np.flatnonzero(step[1:] != step[:-1]) + 1, len(step))  # of the steps, in blocks
         cost = np.zeros(len(texts))
         weights = [np.repeat(column, len(texts)) for column in self.mixer.weights.T]
-        rank = np.zeros(len(tokens.sizes), np.int64)
-        rank[texts] = np.arange(len(texts))
         at = 0
         while at < len(ends):
             # as many whole steps as make up a full one
@@ -655,10 +719,10 @@ class Model:
             many = size[of]
             chosen = np.repeat(begin[of] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
             gates, owners, places, values = zip(*tokens.gated_bits(self.code, chosen))
-            gate, value = np.repeat(np.arange(GATES)[list(gates)], [len(v) for v in values]), np.concatenate(values)
-            inputs = [self.table[base:].take(np.concatenate(p)) for base, p in zip(TABLES, zip(*places))]
+            gate, value = np.repeat(np.array(gates, np.int32), [len(v) for v in values]), np.concatenate(values)
+            inputs = [self.table[base:].take(np.concatenate(p), mode="clip") for base, p in zip(TABLES, zip(*places))]
             owner = np.concatenate(owners)
-            where = rank[tokens.doc[owner]] + len(texts) * gate
+            where = rank.take(owner) + np.int32(len(texts)) * gate
             bounds = np.array([0, len(where)])
             if upto - at > 1:  # bits of one step together
                 turn = np.argsort((tokens.place[owner] // BLOCK - step[low]).astype(np.uint16), kind="stable")
@@ -686,9 +750,16 @@ class Model:
 
     def score(self, tokens: Tokens, counts: np.ndarray, symbols: np.ndarray, unknown: pa.Array) -> dict[str, np.ndarray]:
         """Of texts whose distinct words have ``counts`` and ``symbols``; ``unknown`` are those without a count."""
-        code, n = self.code, len(tokens.sizes)
-        extra = code.shared_bits(symbols, counts)
+        return self.scores(tokens, counts, self.extra_bits(counts, symbols, unknown))
+
+    def extra_bits(self, counts: np.ndarray, symbols: np.ndarray, unknown: pa.Array) -> np.ndarray:
+        """What each distinct word costs beyond its symbol."""
+        extra = self.code.shared_bits(symbols, counts)
         extra[counts == 0] = self.spelled(unknown)
+        return extra
+
+    def scores(self, tokens: Tokens, counts: np.ndarray, extra: np.ndarray) -> dict[str, np.ndarray]:
+        code, n = self.code, len(tokens.sizes)
         bits = self.text_bits(tokens)
         bits += np.bincount(tokens.doc, np.where(tokens.hit, 0, np.append(extra, 0)[tokens.word]), n)
         every = np.append(counts, code.ends)
@@ -719,15 +790,14 @@ def text_lessons(joined: DataFrame, code: Code, table, mixer: Mixer) -> np.ndarr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lesson = np.zeros((GATES, LESSON))
-        for batch in batches:
-            for row in range(batch.num_rows):
-                tokens = _tokens(code, batch, row, less=True)[0]
-                train = ~batch.column("held")[row].values.to_numpy(zero_copy_only=False)
-                chosen = np.flatnonzero(train[tokens.doc])
-                for at in range(0, len(chosen), 1 << 13):
-                    for gate, _, places, value in tokens.gated_bits(code, chosen[at : at + (1 << 13)]):
-                        columns = [table.value[2 * base :].take(2 * place + value) for base, place in zip(TABLES, places)]
-                        lesson[gate] += mixer.lesson(columns, gate, value)
+        tables = [table.value[2 * base :] for base in TABLES]
+        for tokens, chosen in _train_tokens(code, batches):
+            for at in range(0, len(chosen), 1 << 13):
+                for gate, _, places, value in tokens.gated_bits(code, chosen[at : at + (1 << 13)]):
+                    x = np.empty((INPUTS, len(value)), np.float32)
+                    for said, place, row in zip(tables, places, x):
+                        said.take(_valued(place, value), out=row, mode="clip")
+                    lesson[gate] += mixer.lesson_of(x, gate, value)
         yield from _lesson_rows(lesson)
 
     return _added(joined.mapInArrow(run, "at long, part double"), GATES)
@@ -780,15 +850,19 @@ def score_texts(docs: DataFrame, chunk_bytes: int = SLICE) -> DataFrame:
         model = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                found = model.score(*_tokens(model.code, batch, row), unpack_words(batch.column("unknown")[row].as_py()))
-                size = np.maximum(unpack(batch.column("bytes")[row].as_py()), 1)
-                columns = {
-                    "doc_id": batch.column("doc_ids")[row].values, "held_out": batch.column("held")[row].values,
-                    "n_tokens": found["n_tokens"], "n_known": found["n_known"],
-                    "train_tokens": np.full(len(size), model.code.tokens), "base_score": found["base_score"],
-                    "score": found["score"], "bits_per_byte": found["bits"] / size,
-                }
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+                doc_ids, held = batch.column("doc_ids")[row].values, batch.column("held")[row].values
+                sizes, extra = np.maximum(unpack(batch.column("bytes")[row].as_py()), 1), None
+                for tokens, texts, counts, symbols in _tokens(model.code, batch, row):
+                    if extra is None:  # of all the chunk's words
+                        extra = model.extra_bits(counts, symbols, unpack_words(batch.column("unknown")[row].as_py()))
+                    found, size = model.scores(tokens, counts, extra), sizes[texts]
+                    columns = {
+                        "doc_id": doc_ids[texts], "held_out": held[texts],
+                        "n_tokens": found["n_tokens"], "n_known": found["n_known"],
+                        "train_tokens": np.full(len(size), model.code.tokens), "base_score": found["base_score"],
+                        "score": found["score"], "bits_per_byte": found["bits"] / size,
+                    }
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
 
     return joined.mapInArrow(
         run,

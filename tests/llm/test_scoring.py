@@ -280,3 +280,37 @@ def test_all_training_texts_teach(spark):
     # long texts alone teach, too
     alone = taught(docs.where("doc_id < 3").repartition(2), 1 << 16)[0]
     assert not np.allclose(alone.mixer.weights, sc.Mixer(sc.GATES).weights, atol=1e-3)
+
+
+def test_large_chunks_go_group_by_group(spark, made, docs, monkeypatch):
+    """Six MB of text are one chunk, whose words have one row each; its texts are learned and scored in groups, each as
+    with all others at once."""
+    texts = [" ".join(f"w{(i * k) % 5000}" for i in range(1, 200_000)) for k in range(1, 6)]
+    large = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    parts = sc.chunks(sc.held_out(large)).cache()
+    assert parts.count() == 1 and sc.counted_words(parts).count() == 5000
+
+    counts, model = made
+    parts = sc.chunks(docs.coalesce(1)).cache()
+    joined = sc.with_counts(parts, sc.counted_words(parts), model.code).toArrow().combine_chunks().to_batches()[0]
+
+    def seen():
+        groups = [*sc._tokens(model.code, joined, 0)]
+        extra = model.extra_bits(groups[0][2], groups[0][3], sc.unpack_words(joined.column("unknown")[0].as_py()))
+        found = [model.scores(tokens, c, extra) for tokens, _, c, _ in groups]
+        trained = [(t.doc.max() + 1, t.contexts[2][chosen].tolist()) for t, chosen in sc._train_tokens(model.code, [joined.slice(0, 1)])]
+        return found, sum(n for n, _ in trained), [x for _, some in trained for x in some]
+
+    (whole,), n, contexts = seen()
+    monkeypatch.setattr(sc, "GROUP", 300)
+    found, many, others = seen()
+    assert len(found) > 5 and many == n and contexts == others
+    for name, values in whole.items():
+        assert np.allclose(np.concatenate([f[name] for f in found]), values, rtol=1e-9)
+
+
+def test_groups_of_texts():
+    for sizes, most, want in (([], 5, [0]), ([0], 5, [1]), ([3, 2, 1, 9, 0, 4], 5, [2, 1, 1, 2]), ([7, 0, 0], 5, [1, 2])):
+        got = [*sc._groups(np.array(sizes, np.int64), most)]
+        assert [t.stop - t.start for t, _ in got] == want
+        assert [w.stop - w.start for _, w in got] == [sum(sizes[t]) for t, _ in got] and got[-1][1].stop == sum(sizes)
