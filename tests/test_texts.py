@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cellward.functions import characters as ch
 from cellward.functions import statements as st
 from cellward.operators import conformance
-from cellward.operators.verdicts import audit_log, violations
+from cellward.operators.verdicts import _facts, audit_log, read_statements, violations
 from cellward.policy import Policy
 from cellward.session import literal_table
 
@@ -209,3 +209,30 @@ def test_global_aggregates(log_of):
 def test_quoted_names_are_no_keywords(log_of):
     row = facts(log_of, 'SELECT "date", `rows`, range FROM t')
     assert [i["name"] for i in row["ids"]] == ["date", "rows", "t"]
+
+
+def test_quick_paths_do_not_show(log_of):
+    """What a quick look spares the patterns never changes their result."""
+    texts = [
+        "", "select a from t", "a - b / c", "x -- rest\ny", "a /* b */ c", "it's", "'a' \"b\" `c`", "/* open", "a - - b",
+        "p . x, q .y, r. z, a.b", ". a", "a .", " . ", "trim(both x from y) from t . u", "a . b",
+        "SELECT 1", "select (SeLeCt 2)", "selected select", "SELECTSELECT", "ſelect select", "select select_a, select", "no",
+    ]
+    masked = F.regexp_replace("query", st._MASK, "$1 ")
+    dotted = F.regexp_replace(ch.collapse(masked), r"(?=[ .])(?: \. ?|\. )", ".")
+    plain = F.regexp_replace(dotted, st._INNER_FROM, "$1 ,")
+    twice = F.col("query").rlike(r"(?is)\bSELECT\b.*?\bSELECT\b")
+    rows = log_of(*texts).select("query", st.mask(F.col("query")), masked, st.flat(F.col("query")), plain, st.has_subquery(F.col("query")), twice)
+    for query, m, want_m, f, want_f, s, want_s in rows.collect():
+        assert (m, f, s) == (want_m, want_f, want_s), query
+    nothing = log_of("a").select(F.lit(None).cast("string").alias("n")).select(st.mask(F.col("n")), st.flat(F.col("n")), st.has_subquery(F.col("n")))
+    assert nothing.first() == (None, None, None)
+
+
+def test_grouping_is_looked_for_once(log_of):
+    """The facts read what was found with the statement, and do not search its text again."""
+    facts = _facts(Policy())
+    assert not [name for name, fact in facts.items() if "(?=GR)" in str(fact)]
+    rows = log_of("select a from t group  by a", "select count(distinct person_id) as Count_Patients from person", "")
+    read = read_statements(rows, policy=Policy()).withColumns({n: facts[n] for n in ("_grouped", "_global")})
+    assert [tuple(r) for r in read.orderBy("request_id").select("_grouped", "_global").collect()] == [(True, False), (False, True), (False, False)]
